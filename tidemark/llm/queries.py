@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op5_token_files, op6_simhash
+from . import op3_pii, op4_decontaminate, op5_token_files, op6_simhash, op7_quality
 from .common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(op5_token_files.TOKENIZER))
 
@@ -26,9 +34,16 @@ def op6_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii_query,
+    "op4_decontaminate": op4_decontaminate_query,
     "op5_token_files": op5_token_files_query,
     "op6_simhash": op6_simhash_query,
+    "op7_quality": op7_quality_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
