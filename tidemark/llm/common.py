@@ -56,3 +56,10 @@ def let(value: Column, use) -> Column:
 def doc_bucket(col: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod `modulus`; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def tokenizer_path(name: str) -> str:
+    """The file of a public tokenizer, where its package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

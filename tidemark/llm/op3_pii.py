@@ -65,7 +65,7 @@ def valid(kind: Kind, m: Column) -> Column:
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
         return m.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind.name == "card":
-        return F.length(digits(m)).between(14, 19) & F.luhn_check(digits(m))
+        return F.length(digits(m)).between(14, 19) & F.call_function("luhn_check", digits(m))
     if kind.name == "phone":
         return F.length(digits(m)).between(10, 15)
     if kind.name == "iban":
@@ -120,8 +120,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with every span replaced by its kind in angle brackets; where spans overlap, the one that starts first (the longer of two) covers the rest."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """`docs` with every span replaced by its kind in angle brackets, and `length_col`, if given, following the text.
+
+    Where spans overlap, the one that starts first (the longer of two) is named and all are covered.
+    """
     mine = "__spans"
     while mine in docs.columns:
         mine += "_"
@@ -137,4 +140,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
     clean = F.aggregate(ordered, zero, add, lambda acc: F.array_join(F.concat(acc["o"], F.array(F.substring(text, acc["p"] + 1, F.length(text)))), ""))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    out = found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col)))
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.select(*docs.columns)

@@ -4,46 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op3_pii, op4_decontaminate, op5_token_files, op6_simhash, op7_quality
-from .common import table
+from . import (
+    op1_piece_samples,
+    op2_licenses,
+    op3_pii,
+    op4_decontaminate,
+    op5_token_files,
+    op6_simhash,
+    op7_quality,
+    op8_quality_classifier,
+    op9_language,
+    op10_toxicity,
+)
+from .common import table, tokenizer_path
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
+def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_piece_samples.sample(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True)
 
-    return public_tokenizers.path(name)
 
+def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_licenses.scan(table(spark, sf_dir, "documents"))
 
-def op3_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_pii.detect(table(spark, sf_dir, "documents"))
 
 
-def op4_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op5_token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(op5_token_files.TOKENIZER))
 
 
-def op6_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op6_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def op7_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality_classifier.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_language.predict(table(spark, sf_dir, "documents"))
+
+
+def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_pii": op3_pii_query,
-    "op4_decontaminate": op4_decontaminate_query,
-    "op5_token_files": op5_token_files_query,
-    "op6_simhash": op6_simhash_query,
-    "op7_quality": op7_quality_query,
+    "pipeline": corpus_pipeline.run,
+    "op1_piece_samples": op1_query,
+    "op2_licenses": op2_query,
+    "op3_pii": op3_query,
+    "op4_decontaminate": op4_query,
+    "op5_token_files": op5_query,
+    "op6_simhash": op6_query,
+    "op7_quality": op7_query,
+    "op8_quality_classifier": op8_query,
+    "op9_language": op9_query,
+    "op10_toxicity": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": op2_licenses.oracle_sql()}
