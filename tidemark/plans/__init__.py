@@ -1 +1,3 @@
-"""Part of tidemark, a PySpark-native panel analytics engine."""
+"""Registered queries; importing this package fills the registry."""
+
+from . import joins, panels, statistics, summaries, texts, windows  # noqa: F401
