@@ -45,6 +45,6 @@ def day_text(c: str = "day"):
 
 
 def r6(c, name: str | None = None):
-    """Rounded to six digits, so that sums in any order compare equal."""
+    """Rounded to six digits, so that sums in any order compare equal; -0.0 becomes 0.0."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, 6).alias(name or c)
+    return (F.round(col, 6) + 0.0).alias(name or c)

@@ -27,12 +27,12 @@ def _of(spark, sf_dir, asset):
 
 @register(
     "asof_join",
-    f"WITH {SERIES_SQL}, {MARKET_CHANGE_SQL} SELECT CAST(s.day AS VARCHAR) AS day, s.asset, round(m.level, 4) AS level, round(m.level_return, 6) AS level_return, CAST(m.day AS VARCHAR) AS source_date, CAST(s.day - m.day AS INTEGER) AS age_days FROM series s ASOF LEFT JOIN m ON s.day > m.day",
+    f"WITH {SERIES_SQL}, {MARKET_CHANGE_SQL} SELECT CAST(s.day AS VARCHAR) AS day, s.asset, round(m.level, 7) AS level, round(m.level_return, 6) AS level_return, CAST(m.day AS VARCHAR) AS source_date, CAST(s.day - m.day AS INTEGER) AS age_days FROM series s ASOF LEFT JOIN m ON s.day > m.day",
 )
 def asof_join(spark, sf_dir):
     left = base_series(spark, sf_dir).select("day", "asset")
     out = joins.asof_join(left, _market(spark, sf_dir), "day", ["level", "level_return"])
-    return out.select(day_text(), "asset", F.round("level", 4).alias("level"), r6("level_return"), day_text("source_date"), F.datediff("day", "source_date").alias("age_days"))
+    return out.select(day_text(), "asset", F.round("level", 7).alias("level"), r6("level_return"), day_text("source_date"), F.datediff("day", "source_date").alias("age_days"))
 
 
 @register(
@@ -54,17 +54,17 @@ def join_inner(spark, sf_dir):
 
 @register(
     "join_outer_indicator",
-    f"WITH {SERIES_SQL}, {MARKET_SQL} SELECT CAST(coalesce(a.day, m.day) AS VARCHAR) AS day, round(a.price, 6) AS price_a, round(m.level, 4) AS level, CASE WHEN a.day IS NULL THEN 'right_only' WHEN m.day IS NULL THEN 'left_only' ELSE 'both' END AS matched FROM (SELECT * FROM series WHERE asset = 'A') a FULL JOIN market m ON a.day = m.day",
+    f"WITH {SERIES_SQL}, {MARKET_SQL} SELECT CAST(coalesce(a.day, m.day) AS VARCHAR) AS day, round(a.price, 6) AS price_a, round(m.level, 7) AS level, CASE WHEN a.day IS NULL THEN 'right_only' WHEN m.day IS NULL THEN 'left_only' ELSE 'both' END AS matched FROM (SELECT * FROM series WHERE asset = 'A') a FULL JOIN market m ON a.day = m.day",
 )
 def join_outer_indicator(spark, sf_dir):
     out = joins.with_indicator(_of(spark, sf_dir, "A"), market(spark, sf_dir), ["day"])
-    return out.select(day_text(), r6("price_a"), F.round("level", 4).alias("level"), "matched")
+    return out.select(day_text(), r6("price_a"), F.round("level", 7).alias("level"), "matched")
 
 
-@register("join_many_to_one", f"WITH {SERIES_SQL}, {MARKET_SQL} SELECT CAST(s.day AS VARCHAR) AS day, asset, round(price, 6) AS price, round(level, 4) AS level FROM series s LEFT JOIN market m ON s.day = m.day")
+@register("join_many_to_one", f"WITH {SERIES_SQL}, {MARKET_SQL} SELECT CAST(s.day AS VARCHAR) AS day, asset, round(price, 6) AS price, round(level, 7) AS level FROM series s LEFT JOIN market m ON s.day = m.day")
 def join_many_to_one(spark, sf_dir):
     out = joins.checked_join(base_series(spark, sf_dir), market(spark, sf_dir), ["day"], validate="many_to_one")
-    return out.select(day_text(), "asset", r6("price"), F.round("level", 4).alias("level"))
+    return out.select(day_text(), "asset", r6("price"), F.round("level", 7).alias("level"))
 
 
 @register("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -85,13 +85,13 @@ def join_offset(spark, sf_dir):
 
 @register(
     "join_lookup",
-    f"WITH {SERIES_SQL}, {MARKET_SQL}, s AS (SELECT s.day, s.asset, m.day AS source_date FROM series s ASOF LEFT JOIN market m ON s.day > m.day) SELECT CAST(s.day AS VARCHAR) AS day, asset, CAST(source_date AS VARCHAR) AS source_date, round(level, 4) AS rebuilt FROM s LEFT JOIN market m ON m.day = s.source_date",
+    f"WITH {SERIES_SQL}, {MARKET_SQL}, s AS (SELECT s.day, s.asset, m.day AS source_date FROM series s ASOF LEFT JOIN market m ON s.day > m.day) SELECT CAST(s.day AS VARCHAR) AS day, asset, CAST(source_date AS VARCHAR) AS source_date, round(level, 7) AS rebuilt FROM s LEFT JOIN market m ON m.day = s.source_date",
 )
 def join_lookup(spark, sf_dir):
     level = market(spark, sf_dir)
     aligned = joins.asof_join(base_series(spark, sf_dir).select("day", "asset"), level, "day", ["level"])
     out = joins.lookup(aligned, level, "day", "source_date", "level", "rebuilt")
-    return out.select(day_text(), "asset", day_text("source_date"), F.round("rebuilt", 4).alias("rebuilt"))
+    return out.select(day_text(), "asset", day_text("source_date"), F.round("rebuilt", 7).alias("rebuilt"))
 
 
 @register("join_compare", f"WITH {SERIES_SQL} SELECT CAST(a.day AS VARCHAR) AS day, a.n_rows AS n_rows_r, b.n_rows AS n_rows_n, round(a.volume, 4) AS volume_r, round(b.volume, 4) AS volume_n FROM series a JOIN series b ON a.day = b.day AND a.asset = 'R' AND b.asset = 'N'")
@@ -149,8 +149,8 @@ def duplicate_keys(spark, sf_dir):
 
 @register(
     "append_verified",
-    f"WITH {MARKET_SQL} SELECT CAST(day AS VARCHAR) AS day, round(level, 4) AS level FROM market UNION ALL SELECT '1990-01-01', 1.5",
+    f"WITH {MARKET_SQL} SELECT CAST(day AS VARCHAR) AS day, round(level, 7) AS level FROM market UNION ALL SELECT '1990-01-01', 1.5",
 )
 def append_verified(spark, sf_dir):
     literal = spark.createDataFrame([("1990-01-01", 1.5)], "day string, level double").withColumn("day", F.to_date("day"))
-    return joins.append_verified(market(spark, sf_dir), literal, ["day"], "level").select(day_text(), F.round("level", 4).alias("level"))
+    return joins.append_verified(market(spark, sf_dir), literal, ["day"], "level").select(day_text(), F.round("level", 7).alias("level"))

@@ -51,7 +51,7 @@ def model_suite(spark, sf_dir):
     return joined.select("asset", "model", "parameter", "n", *(r6(c) for c in ("coefficient", "se", "p_value", "ci_low", "ci_high", "r2", "incremental_r2")), scalar.stars("p_value").alias("stars"))
 
 
-@register("vif", f"WITH {CHANGES_SQL}, s AS (SELECT * FROM r WHERE ret_lag IS NOT NULL AND activity_lag IS NOT NULL), c AS (SELECT asset, corr(ret_lag, activity_lag) AS r FROM s GROUP BY 1) SELECT asset, v AS variable, round(1 / (1 - r * r), 6) AS vif, 'low' AS band FROM c, (SELECT unnest(['ret_lag', 'activity_lag']) AS v)")
+@register("vif", f"WITH {CHANGES_SQL}, s AS (SELECT * FROM r WHERE ret_lag IS NOT NULL AND activity_lag IS NOT NULL), k AS (SELECT asset, corr(ret_lag, activity_lag) AS r FROM s GROUP BY 1) SELECT asset, v AS variable, round(1 / (1 - r * r), 6) AS vif, 'low' AS band FROM k, (SELECT unnest(['ret_lag', 'activity_lag']) AS v)")
 def vif(spark, sf_dir):
     return ols.vif(modelling(spark, sf_dir), XS, ["asset"]).select("asset", "variable", r6("vif"), scalar.vif_band("vif").alias("band"))
 
@@ -85,7 +85,7 @@ def ljung_box(spark, sf_dir):
 
 @register(
     "jarque_bera",
-    f"WITH {CHANGES_SQL}, m AS (SELECT asset, avg(ret) AS mu FROM r GROUP BY 1), c AS (SELECT r.asset, count(ret)::DOUBLE AS n, avg((ret - mu) ** 2) AS m2, avg((ret - mu) ** 3) AS m3, avg((ret - mu) ** 4) AS m4 FROM r JOIN m USING (asset) WHERE ret IS NOT NULL GROUP BY 1) SELECT asset, CAST(n AS BIGINT) AS n, round(n / 6 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4), 4) AS jarque_bera, round(exp(-n / 12 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4)), 6) AS p_value FROM c",
+    f"WITH {CHANGES_SQL}, m AS (SELECT asset, avg(ret) AS mu FROM r GROUP BY 1), k AS (SELECT r.asset, count(ret)::DOUBLE AS n, avg((ret - mu) ** 2) AS m2, avg((ret - mu) ** 3) AS m3, avg((ret - mu) ** 4) AS m4 FROM r JOIN m USING (asset) WHERE ret IS NOT NULL GROUP BY 1) SELECT asset, CAST(n AS BIGINT) AS n, round(n / 6 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4), 4) AS jarque_bera, round(exp(-n / 12 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4)), 6) AS p_value FROM k",
 )
 def jarque_bera(spark, sf_dir):
     return diagnostics.jarque_bera(modelling(spark, sf_dir), "ret", ["asset"]).select("asset", "n", F.round("jarque_bera", 4).alias("jarque_bera"), r6("p_value"))
@@ -128,7 +128,7 @@ def _pairs(spark, sf_dir):
 
 @register(
     "expanding_forecasts",
-    FORECAST_SQL + " SELECT asset, CAST(day AS VARCHAR) AS day, 'mean' AS model, train_n, CAST(a AS VARCHAR) AS train_start, CAST(b AS VARCHAR) AS train_end, round(f0, 6) AS forecast, round(e0, 6) AS error FROM p UNION ALL SELECT asset, CAST(day AS VARCHAR), 'lag', train_n, CAST(a AS VARCHAR), CAST(b AS VARCHAR), round(f1, 6), round(e1, 6) FROM p",
+    FORECAST_SQL + " SELECT asset, CAST(day AS VARCHAR) AS day, 'mean' AS model, train_n, CAST(a AS VARCHAR) AS train_start, CAST(b AS VARCHAR) AS train_end, round(f0, 6) + 0.0 AS forecast, round(e0, 6) + 0.0 AS error FROM p UNION ALL SELECT asset, CAST(day AS VARCHAR), 'lag', train_n, CAST(a AS VARCHAR), CAST(b AS VARCHAR), round(f1, 6) + 0.0, round(e1, 6) + 0.0 FROM p",
 )
 def expanding_forecasts(spark, sf_dir):
     return _forecasts(spark, sf_dir).select("asset", day_text(), "model", "train_n", day_text("train_start"), day_text("train_end"), r6("forecast"), r6("error"))
@@ -146,7 +146,7 @@ def forecast_metrics(spark, sf_dir):
 def _long_run_sql(d: str, correction: bool) -> str:
     parts = ", ".join(f"lag(e, {k}) OVER w AS e{k}" for k in LAGS)
     weighted = " + ".join(f"{1 - k / 8} * sum(coalesce(e * e{k}, 0))" for k in LAGS)
-    return FORECAST_SQL + f", d AS (SELECT asset, day, {d} AS d FROM p), c AS (SELECT asset, day, d, d - avg(d) OVER (PARTITION BY asset) AS e FROM d), l AS (SELECT asset, d, e, {parts} FROM c WINDOW w AS (PARTITION BY asset ORDER BY day)), v AS (SELECT asset, count(*) AS n, avg(d) AS mean, (sum(e * e) + 2 * ({weighted})) / count(*) AS lrv FROM l GROUP BY 1) SELECT asset, n, round(mean, 8) AS mean, round(mean / sqrt(lrv / (n - {int(correction)})), 4) AS z FROM v"
+    return FORECAST_SQL + f", d AS (SELECT asset, day, {d} AS d FROM p), cd AS (SELECT asset, day, d, d - avg(d) OVER (PARTITION BY asset) AS e FROM d), l AS (SELECT asset, d, e, {parts} FROM cd WINDOW w AS (PARTITION BY asset ORDER BY day)), v AS (SELECT asset, count(*) AS n, avg(d) AS mean, (sum(e * e) + 2 * ({weighted})) / count(*) AS lrv FROM l GROUP BY 1) SELECT asset, n, round(mean, 8) AS mean, round(mean / sqrt(lrv / (n - {int(correction)})), 4) AS z FROM v"
 
 
 @register("clark_west", _long_run_sql("e0 * e0 - (e1 * e1 - (f0 - f1) ** 2)", True))
