@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import probability
 from ..operators.frames import listwise
 
-COEFFICIENTS = "parameter string, coefficient double, se double, stat double, p_value double, ci_low double, ci_high double, n long, k int, r2 double, adj_r2 double, llf double, aic double, bic double, ssr double"
+COEFFICIENTS = "parameter string, coefficient double, se double, stat double, p_value double, ci_low double, ci_high double, n long, n_parameters int, r2 double, adj_r2 double, llf double, aic double, bic double, ssr double"
 
 
 def _names(xs: Sequence[str]) -> list[str]:
