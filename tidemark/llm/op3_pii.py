@@ -35,14 +35,15 @@ class Kind:
     bonus: int
 
 
+_EDGE, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: The order is that of ties at one start.
 KINDS = (
     Kind("email", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 80, "e-?mail|contact|write|mailto", 10),
-    Kind("ip", r"[0-9]\.[0-9]", r"[0-9]++(?:\.[0-9]++){3}", 60, r"\bip\b|address|host|server", 20),
+    Kind("ip", r"[0-9]\.[0-9]", r"[0-9]++(?:\.[0-9]++){3}", 60, r"(?<![a-z0-9_])ip(?![a-z0-9_])|address|host|server", 20),
     Kind("card", "[0-9]", r"[0-9](?:[\x20-]?+[0-9])++", 90, "card|visa|mastercard|credit|payment", 10),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 70, "phone|call|tel|mobile|fax", 20),
-    Kind("iban", "[A-Z]{2}[0-9]{2}", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", 90, "iban|account|bank|konto|cuenta|compte", 10),
-    Kind("ssn", "[0-9]-[0-9]", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 40, "ssn|social security|tax id", 45),
+    Kind("iban", "[A-Z]{2}[0-9]{2}", rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{_END}", 90, "iban|account|bank|konto|cuenta|compte", 10),
+    Kind("ssn", "[0-9]-[0-9]", rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}", 40, "ssn|social security|tax id", 45),
 )
 BASE = 4
 
@@ -144,3 +145,30 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     if length_col:
         out = out.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """detect() in DuckDB SQL; the patterns without possessive quantifiers, word edges as \\b."""
+    plain = lambda p: p.replace("++", "+").replace("?+", "?").replace(_EDGE, r"\b").replace(_END, r"\b").replace("(?<![a-z0-9_])ip(?![a-z0-9_])", r"\bip\b")
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN CAST({digits}[length({digits}) - i + 1] AS INTEGER) * (1 + (i - 1) % 2) > 9 THEN CAST({digits}[length({digits}) - i + 1] AS INTEGER) * (1 + (i - 1) % 2) - 9 ELSE CAST({digits}[length({digits}) - i + 1] AS INTEGER) * (1 + (i - 1) % 2) END)) % 10 = 0"
+    bare = "replace(m, ' ', '')"
+    turned = f"({bare}[5:] || {bare}[1:4])"
+    values = f"list_transform(range(1, length({turned}) + 1), lambda i: CASE WHEN {turned}[i] BETWEEN '0' AND '9' THEN ascii({turned}[i]) - 48 ELSE ascii({turned}[i]) - 55 END)"
+    check = {
+        "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) <= 255))",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": f"list_reduce(list_prepend(0, {values}), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1",
+    }
+    parts = []
+    for k, kind in enumerate(KINDS):
+        near = f"lower(substring(t, greatest(s + 1 - {REACH}, 1), least(s, {REACH})) || ' ' || substring(t, e + 1, {REACH}))"
+        score = f"{kind.score} + CASE WHEN regexp_matches({near}, '{plain(kind.context)}') THEN {kind.bonus} ELSE 0 END"
+        places = f"SELECT rid, t, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT rid, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, t, regexp_extract_all(t, '{plain(kind.pattern)}') AS ms, regexp_split_to_array(t, '{plain(kind.pattern)}') AS gs FROM d))"
+        limit = "" if k < BASE else f" WHERE score >= {THRESHOLD}"
+        parts.append(f"SELECT rid, {k} AS k, '{kind.name}' AS kind, s, e, score FROM (SELECT *, {score} AS score FROM (SELECT *, s + length(m) AS e FROM ({places})) WHERE {check.get(kind.name, 'true')}){limit}")
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) {where}, '')"
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{KINDS[k].name}" for k in range(BASE))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), x AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts}, sha256({joined(f"FILTER (k < {BASE})")}) AS base_sha256, {joined("FILTER (k IS NOT NULL)")} AS spans, CAST(coalesce(max(score), 0) AS BIGINT) AS top_score FROM d LEFT JOIN x USING (rid) GROUP BY rid, doc_id"""

@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": op2_licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": op2_licenses.oracle_sql(), "op3_pii": op3_pii.oracle_sql()}
