@@ -30,19 +30,25 @@ UNITS = (
     "|meter|meters|metre|metres|kilometer|kilometers|kilometre|kilometres|mile|miles|foot|feet|inch|inches|yard|yards|gram|grams|kilogram|kilograms|pound|pounds|ounce|ounces|ton|tons|liter|liters|litre|litres|gallon|gallons"
     "|percent|degrees|celsius|fahrenheit|dollar|dollars|euro|euros|cent|cents|usd|eur|gbp"
 )
-_NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
-_NAMES = r"\p{Lu}\p{Ll}+(?:[ ]\p{Lu}\p{Ll}+)*"
+#: Joins the parts of one number and the words of one name, so that a slot's value is one token.
+JOIN = "\u0005"
+_WORD = "\\p{L}\\p{N}"
+_NUMBER = f"\\p{{N}}+(?:{JOIN}\\p{{N}}+)*"
 
 
 def tokens(text: Column, values: bool) -> Column:
     """The canonical tokens of `text`; with `values`, a placeholder is followed by what it stands for."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + "\n\t\r", "      ")
-    keep = (lambda group: group) if values else (lambda group: "")
-    # Runs of names follow a word or comma in the same sentence; their blanks become underscores with the values.
-    t = F.regexp_replace(t, rf"(?<=[^.!?:\s] )({_NAMES})(?![\p{{L}}\p{{N}}])", f" {NAME}{keep('$1')} ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NUM}])({_NUMBER})[ ]?(?:({UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUM}{keep('$1')} {UNIT}{keep('$2')} ")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{NUM}{NAME}])({_NUMBER})(?![\p{{L}}\p{{N}}])", f" {NUM}{keep('$1')} ")
-    parted = F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUM}{NAME}{UNIT}]+")
+    t = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + JOIN + "\n\t\r", "       ")
+    t = F.regexp_replace(t, r"[.,:/](?<=\p{N}.)(?=\p{N})", JOIN)
+    # Names are capitalised words after a word or comma in the same sentence; neighbours make one name.
+    t = F.regexp_replace(t, rf"(?<=[^.!?:\s] )(\p{{Lu}}\p{{Ll}}+)(?![{_WORD}])", f" {NAME}$1 ")
+    for _ in range(3):  # pairs, then fours, then eights
+        t = F.regexp_replace(t, rf"({NAME}[{_WORD}{JOIN}]+) +{NAME}([{_WORD}{JOIN}]+)", f"$1{JOIN}$2")
+    t = F.regexp_replace(t, rf"(?<![{_WORD}{NUM}])({_NUMBER}) ?(?:({UNITS})(?![{_WORD}]))", f" {NUM}$1 {UNIT}$2 ")
+    t = F.regexp_replace(t, rf"(?<![{_WORD}{NUM}{JOIN}])({_NUMBER})(?![{_WORD}{JOIN}])", f" {NUM}$1 ")
+    if not values:
+        t = F.regexp_replace(t, rf"([{NUM}{NAME}{UNIT}])[{_WORD}{JOIN}]+", "$1")
+    parted = F.split(F.lower(t), f"[^{_WORD}{NUM}{NAME}{UNIT}{JOIN}]+")
     return F.filter(parted, lambda x: x != "")
 
 
