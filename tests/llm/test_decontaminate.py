@@ -40,13 +40,13 @@ def _docs():
 
 def canon(text):
     """Tokens as (placeholder or word, value)."""
-    t = (text or "").translate({1: " ", 2: " ", 3: " ", 5: " ", 10: " ", 13: " ", 9: " "})
+    t = (text or "").translate({1: " ", 2: " ", 3: " ", 5: " "})
     t = re.sub(r"(?<=[0-9])[.,:/](?=[0-9])", "\x05", t)
-    t = re.sub(r"(?<=[^.!?:\s] )([A-Z][a-z]+)(?![^\W_])", lambda m: f" \x02{m[1]} ", t)
-    while (u := re.sub("(\x02[^\\W_\x05]+(?:\x05[^\\W_]+)*) +\x02", "\\1\x05", t)) != t:
+    t = re.sub(r"(?<=[^.!?:\s]\s)([A-Z][a-z]+)(?![^\W_])", lambda m: f" \x02{m[1]} ", t)
+    while (u := re.sub("(\x02[^\\W_\x05]+(?:\x05[^\\W_]+)*)\\s+\x02", "\\1\x05", t)) != t:
         t = u
     num = "[0-9]+(?:\x05[0-9]+)*"
-    t = re.sub(rf"(?<![^\W_])(?<!\x01)({num}) ?(?:({D.UNITS})(?![^\W_]))", lambda m: f" \x01{m[1]} \x03{m[2]} ", t)
+    t = re.sub(rf"(?<![^\W_])(?<!\x01)({num})\s?(?:({D.UNITS})(?![^\W_]))", lambda m: f" \x01{m[1]} \x03{m[2]} ", t)
     t = re.sub(rf"(?<![^\W_])(?<![\x01\x05])({num})(?![^\W_])(?!\x05)", lambda m: f" \x01{m[1]} ", t)
     return [(w[0] if w[0] in "\x01\x02\x03" else w, w) for w in re.split("[^\\w\x01\x02\x03\x05]+", t.lower().replace("_", " ")) if w]
 

@@ -33,23 +33,23 @@ UNITS = (
 #: Joins the parts of one number and the words of one name, so that a slot's value is one token.
 JOIN = "\u0005"
 _WORD = "\\p{L}\\p{N}"
-_NUMBER = f"\\p{{N}}+(?:{JOIN}\\p{{N}}+)*"
+#: Patterns begin with the rare character that they look for and look behind from there: most of a text costs one test a character.
+_NUMBER = f"(?:{JOIN}?\\p{{N}})*+"
 
 
 def tokens(text: Column, values: bool) -> Column:
     """The canonical tokens of `text`; with `values`, a placeholder is followed by what it stands for."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUM + NAME + UNIT + JOIN + "\n\t\r", "       ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUM}{NAME}{UNIT}{JOIN}]", " ")
     t = F.regexp_replace(t, r"[.,:/](?<=\p{N}.)(?=\p{N})", JOIN)
     # Names are capitalised words after a word or comma in the same sentence; neighbours make one name.
-    t = F.regexp_replace(t, rf"(?<=[^.!?:\s] )(\p{{Lu}}\p{{Ll}}+)(?![{_WORD}])", f" {NAME}$1 ")
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^.!?:\s]\s\p{{Lu}})\p{{Ll}}+(?![{_WORD}])", f" {NAME}$0 ")
     for _ in range(3):  # pairs, then fours, then eights
-        t = F.regexp_replace(t, rf"({NAME}[{_WORD}{JOIN}]+) +{NAME}([{_WORD}{JOIN}]+)", f"$1{JOIN}$2")
-    t = F.regexp_replace(t, rf"(?<![{_WORD}{NUM}])({_NUMBER}) ?(?:({UNITS})(?![{_WORD}]))", f" {NUM}$1 {UNIT}$2 ")
-    t = F.regexp_replace(t, rf"(?<![{_WORD}{NUM}{JOIN}])({_NUMBER})(?![{_WORD}{JOIN}])", f" {NUM}$1 ")
+        t = F.regexp_replace(t, rf"({NAME}[{_WORD}{JOIN}]+)\s+{NAME}([{_WORD}{JOIN}]+)", f"$1{JOIN}$2")
+    t = F.regexp_replace(t, rf"(\p{{N}}(?<![{_WORD}{NUM}]\p{{N}}){_NUMBER})\s?({UNITS})(?![{_WORD}])", f" {NUM}$1 {UNIT}$2 ")
+    t = F.regexp_replace(t, rf"\p{{N}}(?<![{_WORD}{NUM}{JOIN}]\p{{N}}){_NUMBER}(?![{_WORD}{JOIN}])", f" {NUM}$0 ")
     if not values:
         t = F.regexp_replace(t, rf"([{NUM}{NAME}{UNIT}])[{_WORD}{JOIN}]+", "$1")
-    parted = F.split(F.lower(t), f"[^{_WORD}{NUM}{NAME}{UNIT}{JOIN}]+")
-    return F.filter(parted, lambda x: x != "")
+    return F.array_remove(F.split(F.lower(t), f"[^{_WORD}{NUM}{NAME}{UNIT}{JOIN}]+"), "")
 
 
 def _windows(words: Column, size: int) -> Column:
@@ -57,6 +57,14 @@ def _windows(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), at)).otherwise(F.array().cast("array<long>"))
 
 
+def _hashes(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, hash) of every window, in compiled code: one row per place, no lambda. The outer explode keeps the optimizer from testing the tokens for emptiness first, which would compute them twice."""
+    words = rows.select(key, tokens(F.col("text"), False).alias("w"))
+    places = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))
+    placed = words.select(key, "w", F.explode_outer(places).alias("at")).where("at is not null")
+    return placed.select(key, F.xxhash64(*(F.col("w")[F.col("at") + k] for k in range(size))).alias("hash"))
+
+
 def _slots(plain: Column, full: Column, size: int) -> Column:
     """Per window, the values in its slots."""
 
@@ -108,8 +116,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = bench.where(F.col("size") == size)
         hashes = own.select("hash", "item_id", "n_windows").distinct()
         # First by hash alone: no values, no alignment, and little else than the texts is read.
-        words = texts.select("doc_id", let(tokens(F.col("text"), False), lambda w: _windows(w, size)).alias("hashes"))
-        met = words.select("doc_id", F.explode("hashes").alias("hash")).join(hint(hashes), "hash")
+        met = _hashes(texts, "doc_id", size).join(hint(hashes), "hash")
         near = met.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("hash").alias("n")).where(F.col("n") >= CONTAINED * F.col("n_windows"))
         near = park(near.select("doc_id", "item_id"), "near")
         # Then the few documents left, with values and alignment.
