@@ -20,9 +20,11 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -35,13 +37,16 @@ from .common import new_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Words whose ids a worker remembers; it starts anew beyond.
-MEMORY = 400_000
+MEMORY = 800_000
+#: Marks (not the apostrophe, which may begin a contraction) between a letter, ASCII or Latin-1, and white space.
+_MARKS = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]))([!-&(-/:-@\[-`{-~]+)(?=\s)")
 
 
 class WordTokens:
-    """A tokenizer whose vocabulary never spans ASCII white space, with the ids of words seen before remembered.
+    """A tokenizer whose pre-tokens never span white space or go from a letter to a mark, with the ids of words remembered.
 
-    White space ends every pre-token of such a tokenizer, so a text's ids are its words' ids in a row.
+    White space ends every pre-token, and so does a mark after a letter: a text's ids are the ids of its parts in a
+    row. Letters A-Z count as a-z before anything else, but for texts that may name a special token.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -52,7 +57,8 @@ class WordTokens:
 
     def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text, as bytes of `dtype`, with `end` after them."""
-        known, words = self.known, [t.split() for t in texts]
+        known = self.known
+        words = [(t if b"<|" in t else _MARKS.sub(rb" \1", t.lower())).split() for t in texts]
         if len(known) > MEMORY:
             known.clear()
         new = list(set().union(*words).difference(known))
@@ -62,6 +68,12 @@ class WordTokens:
         return [b"".join(map(look, w)) + end for w in words]
 
 
+@cache
+def word_tokens(path: str, dtype: str) -> WordTokens:
+    """One tokenizer a worker process, whatever number of tasks it runs."""
+    return WordTokens(path, dtype)
+
+
 def _store(uri: str):
     """A pyarrow file system and the path in it."""
     from pyarrow import fs
@@ -81,7 +93,7 @@ def write_parts(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
         fs, root = _store(folder)
         part, trial = TaskContext.get().partitionId(), uuid.uuid4().hex
         name, out = f"part-{part:05d}", None
-        words, end = WordTokens(vocabulary, dtype), np.array([end_id], dtype).tobytes()
+        words, end = word_tokens(vocabulary, dtype), np.array([end_id], dtype).tobytes()
         width, sizes, ids, named = len(end), [], [], []
         for batch in batches:
             out = out or fs.open_output_stream(f"{root}/.{name}-{trial}.bin")
