@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import doc_bucket
 from .sampling import labelled
 
-SAMPLE, LONGEST, VOCABULARY = 4000, 20_000, 512
+SAMPLE, LONGEST, VOCABULARY = 3000, 20_000, 512
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 STEMS = (5, 7)
 ROUNDS, RATE, RIDGE = 400, 0.05, 1e-3
@@ -88,17 +88,15 @@ class Model:
         return float(1 / (1 + np.exp(-(self.slope * np.log(evidence + 1e-3) + self.offset))))
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Learn from (text, label) pairs."""
+def fit(rows: list[tuple[bytes, int]], totals: dict[int, int]) -> Model:
+    """Learn from (text, label) pairs; `totals` has the classes' sizes in the whole table, to which scores are fitted."""
     y = np.array([label for _, label in rows], float)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, 0.0, 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
-    bags = []
-    for text, _ in rows:
-        bags.append([{f for w in _WORD.findall(s.lower()) for f in features(w)} for s in _SENTENCE.findall(text.decode("utf-8", "replace"))])
     toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (toxic if label else clean).update(set().union(*bag) if bag else ())
+    for text, label in rows:
+        words = set(_WORD.findall(text.decode("utf-8", "replace").lower()))
+        (toxic if label else clean).update({f for w in words for f in features(w)})
     n1, n0 = y.sum(), len(y) - y.sum()
     gain = {}
     for f, a in toxic.items():
@@ -111,9 +109,9 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     at = {f: i for i, f in enumerate(names)}
     owner, bag_of, column = [], [], []  # one entry per feature of a sentence
     sentences = 0
-    for i, bag in enumerate(bags):
-        for s in bag:
-            own = [at[f] for f in s if f in at]
+    for i, (text, _) in enumerate(rows):
+        for s in _SENTENCE.findall(text.decode("utf-8", "replace").lower()):
+            own = [at[f] for f in {f for w in _WORD.findall(s) for f in features(w)} if f in at]
             if own:
                 owner += [sentences] * len(own)
                 column += own
@@ -137,17 +135,19 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
         weights, bias = weights + move[:-1], bias + move[-1]
     z = np.clip(bias + np.bincount(owner, weights[column], sentences), -30, 30)
     evidence = np.log(np.bincount(bag_of, np.log1p(np.exp(z)), len(y)) + 1e-3)
-    slope, offset = platt(evidence, y)
+    share = np.where(y == 1, totals[1] / n1, totals[0] / n0)
+    slope, offset = platt(evidence, y, share / share.mean())
     return Model(dict(zip(names, weights.tolist(), strict=True)), float(bias), slope, offset)
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and offset of the logistic curve of y over x, by Newton steps."""
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (positive) and offset of the weighted logistic curve of y over x, by Newton steps."""
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((y - p) * x).sum() - 1e-3 * a, (y - p).sum()])
+        w = weight * p * (1 - p) + 1e-6
+        r = weight * (y - p)
+        g = np.array([(r * x).sum() - 1e-3 * a, r.sum()])
         h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]])
         da, db = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a + da, b + db
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n_offending: sentences of probability 0.5 or more; worst_*: code points of the sentence of highest probability.
     """
     held = doc_bucket("doc_id", FOLDS) == HELD_OUT
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, "toxic", ~held, SAMPLE, LONGEST)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, "toxic", ~held, SAMPLE, LONGEST)))
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
     schema = "doc_id long, held_out boolean, score double, predicted int, n_offending long, worst_start long, worst_end long"
 

@@ -175,7 +175,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Field:
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`."""
     held = doc_bucket("doc_id", FOLDS) == HELD_OUT
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, "quality", ~held, SAMPLE, LONGEST)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, "quality", ~held, SAMPLE, LONGEST)[0]))
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
