@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return op6_simhash.deduplicate(docs)
+    """One document of each group of near copies stays: linked by fingerprint or by a shingle Jaccard of 0.8."""
+    return op6_simhash.deduplicate(docs, near_copies=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
