@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import near_copies as N
-from tidemark.llm.op6_simhash import fingerprint
+from tidemark.llm.op6_simhash import deduplicate, fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +80,14 @@ def test_a_large_bucket_proposes_a_forest():
     rows[:, 0] ^= np.uint64(1) << rng.integers(0, 64, len(rows)).astype(np.uint64)
     pairs = N.proposed(rows)
     assert len(pairs) == len(rows) - 3 and all(a // 100 == b // 100 for a, b in pairs)
+
+
+@pytest.mark.parametrize("near_copies", [False, True])
+def test_rows_that_share_an_id_are_decided_by_their_text(spark, near_copies):
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choices([f"v{i}" for i in range(300)], k=120)) for _ in range(3))
+    kept = lambda rows: sorted(map(tuple, deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), near_copies=near_copies).collect()))
+    assert kept([(5, a), (5, b), (3, b)]) == sorted([(5, a), (3, b)])
+    assert kept([(5, a), (5, b), (5, a)]) == sorted([(5, a), (5, b)])
+    shouted = a.upper()
+    assert len(kept([(5, a), (5, shouted), (6, a), (5, c)])) == 2
