@@ -13,10 +13,19 @@ from pyspark.sql.types import StructType
 from ..operators.joins import upsert
 
 
-def read_folder(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
-    """The Parquet file or files at `path` as a stream."""
+def read_folder(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """The Parquet file at `path`, or the files of that folder, as a stream.
+
+    Unless `files_per_trigger` is given, all files that are there make one batch, so that none of their rows is late.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def _marked(events: DataFrame, ts: str, late: str) -> DataFrame:
