@@ -1,18 +1,22 @@
 """License scans: named phrases, and an exact set-similarity join of license templates with text blocks.
 
-Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. A block is a line; templates of
-`LONG` words or more are also sought in paragraphs (lines up to a blank one), since they are often wrapped. The join
-finds every block that holds at least `CONTAINED` of a template's distinct words:
+Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. A template's blocks are the runs of
+consecutive words of a text, over line ends too, of up to 1 / `contained` times the template's words (a longer run
+could hold its words by chance). The join finds every block that holds at least `contained` of a template's distinct
+words:
 
-* the templates' words are ordered by the number of blocks of the whole table that hold them, rarest first;
+* the templates' words are ordered by the number of texts of the whole table that hold them, rarest first;
 * a block that holds enough words must hold one of the template's first |T| - needed + 1 (prefix filter), so only
-  those words are looked up, and almost every block ends there;
-* a block needs as many distinct words as the template needs (length filter);
+  those words are looked up, and almost every text ends there;
+* a text needs as many distinct words of the template as a block does (length filter);
 * a first match at place i leaves |T| - i words, which must be enough (positional filter);
-* what passes is counted.
+* what passes is counted: the places of the template's words are walked with two pointers a block's width apart, which
+  meets every block that begins at one of them, and no other block holds more.
 
 Filters only skip what can't pass, so the finds depend on no frequency. Templates are a parameter of bounded size and
-go to the workers with the code; the first pass counts only their words.
+go to the workers with the code; the first pass counts only their words. Labels with siblings (versions, variants) have
+telling words, one of which a block must hold to earn them; else a notice of one would be named by all. A notice that
+holds the words of two labels is named by both.
 
 Null and empty texts have no words and no labels, score 0. Rows pass one by one: repeated or null doc_ids and empty
 tables need no rule. Extra columns are ignored.
@@ -22,29 +26,48 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values.
+#: Notices and characteristic sentences of public licenses.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 TEMPLATES = (
     ("mit", "released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("mit", "licensed under the MIT License, see the LICENSE file for details"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache-2", "licensed under the Apache License, Version 2.0"),
-    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied"),
-    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("gpl-3", "this work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    ("bsd", "licensed under the BSD 3-Clause License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("gpl-2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl-3", "this work is licensed under the GNU General Public License, version 3"),
+    ("gpl-3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "licensed under CC BY 4.0"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 )
-CONTAINED, LONG = 0.8, 15
+#: Words that tell a label from its siblings: a block without them does not earn it.
+TELLING = {"gpl-2": "2", "gpl-3": "3", "lgpl": "lesser", "agpl": "affero", "cc-by": "attribution by", "cc-by-sa": "sharealike sa", "cc-by-nc": "noncommercial nc", "isc": "fee"}
+CONTAINED = 0.8
 
-_CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
+_CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -59,11 +82,9 @@ def needed(size: int, contained: float) -> int:
     return max(1, n)
 
 
-def blocks_of(text: bytes) -> tuple[list[list[bytes]], list[list[bytes]]]:
-    """The words of each line, and of each paragraph of several lines."""
-    lines = [line.split() for line in text.translate(_CLEAN).split(b"\n")]
-    runs = [list(run) for filled, run in groupby(lines, bool) if filled]
-    return [line for line in lines if line], [sum(run, []) for run in runs if len(run) > 1]
+def width(size: int, contained: float) -> int:
+    """The most words of a block for a template of `size` words."""
+    return int(size / contained + 1e-9)
 
 
 class Templates:
@@ -71,31 +92,53 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], contained: float):
         self.index: dict[bytes, list[tuple[int, int]]] = {}
-        self.all: list[tuple[str, list[bytes], frozenset, int]] = []
+        self.all: list[tuple[str, list[bytes], frozenset, frozenset, int, int]] = []
         for t, (label, words) in enumerate(templates):
             ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             least = needed(len(ordered), contained)
-            self.all.append((label, ordered, frozenset(ordered), least))
+            self.all.append((label, ordered, frozenset(ordered), telling_of(label, words), least, width(len(words), contained)))
             for place, word in enumerate(ordered[: len(ordered) - least + 1]):
                 self.index.setdefault(word, []).append((t, place))
         self.prefixes = frozenset(self.index)
 
-    def search(self, block: list[bytes], long_only: bool = False) -> Iterator[tuple[str, float]]:
-        """The label and containment of every template that `block` holds."""
-        if self.prefixes.isdisjoint(block):
+    def search(self, text: list[bytes]) -> Iterator[tuple[str, float]]:
+        """The label and best containment of every template that a block of `text` holds."""
+        if self.prefixes.isdisjoint(text):
             return
-        own = frozenset(block)
+        own = frozenset(text)
         first: dict[int, int] = {}
         for word in own & self.prefixes:
             for t, place in self.index[word]:
                 first[t] = min(place, first.get(t, place))
         for t, place in sorted(first.items()):
-            label, ordered, words, least = self.all[t]
-            if len(own) < least or len(ordered) - place < least or (long_only and len(ordered) < LONG):
+            label, ordered, words, telling, least, span = self.all[t]
+            if len(ordered) - place < least or len(own & words) < least:
                 continue
-            found = len(own & words)
-            if found >= least:
-                yield label, found / len(ordered)
+            best = most_words([(i, w) for i, w in enumerate(text) if w in words], span, telling)
+            if best >= least:
+                yield label, best / len(ordered)
+
+
+def telling_of(label: str, words: list[bytes]) -> frozenset:
+    """The telling words of `label` that the template has; all its words where it has none."""
+    return frozenset(words).intersection(words_of(TELLING.get(label, "").encode())) or frozenset(words)
+
+
+def most_words(places: list[tuple[int, bytes]], span: int, telling: frozenset) -> int:
+    """The most distinct words within `span` neighbouring positions that hold a telling one; places in order."""
+    inside: Counter = Counter()
+    best = tail = 0
+    for at, word in places:
+        inside[word] += 1
+        while places[tail][0] <= at - span:
+            gone = places[tail][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            tail += 1
+        if len(inside) > best and not telling.isdisjoint(inside):
+            best = len(inside)
+    return best
 
 
 def find_phrases(words: list[bytes], phrases) -> tuple[int, int | None, int | None, set[str]]:
@@ -123,8 +166,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contained: float
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for line in (text or b"").translate(_CLEAN).split(b"\n"):
-                    seen.update(vocabulary.intersection(line.split()))
+                seen.update(vocabulary.intersection(words_of(text or b"")))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
     counted = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -136,10 +178,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contained: float
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                lines, paragraphs = blocks_of(text or b"")
-                words = [w for line in lines for w in line]
+                words = words_of(text or b"")
                 n, first, last, base = find_phrases(words, phrases)
-                found = [x for line in lines for x in known.search(line)] + [x for run in paragraphs for x in known.search(run, True)]
+                found = list(known.search(words))
                 labels = base | {label for label, _ in found}
                 out.append((len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), max([1.0 if n else 0.0, *(s for _, s in found)])))
             columns = list(zip(*out, strict=True)) or [()] * 7
@@ -154,25 +195,26 @@ def _sql_words(text: str) -> str:
 
 
 def oracle_sql(templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINED) -> str:
-    """The same result in DuckDB SQL, by counting every block against every template."""
+    """The same result in DuckDB SQL, by counting the words of every template in every block."""
     quoted = lambda words: "[" + ", ".join("'" + w.decode().replace("'", "''") + "'" for w in words) + "]"
     rows = []
     for t, (label, text) in enumerate(templates):
         words = sorted(set(words_of(text.encode())))
-        rows.append(f"({t}, '{label}', {quoted(words)}, {len(words)}, {needed(len(words), contained)})")
+        telling = sorted(telling_of(label, words))
+        rows.append(f"({t}, '{label}', {quoted(words)}, {quoted(telling)}, {len(words)}, {needed(len(words), contained)}, {width(len(words_of(text.encode())), contained)})")
     phrase_rows = ", ".join(f"({quoted(p.encode().split())}, '{label}')" for p, label in phrases)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, text, {_sql_words("text")} AS words FROM d),
+w AS (SELECT rid, doc_id, {_sql_words("text")} AS words FROM d),
 p(phrase, label) AS (VALUES {phrase_rows}),
-t(tid, label, words, size, least) AS (VALUES {", ".join(rows)}),
+t(tid, label, words, telling, size, least, span) AS (VALUES {", ".join(rows)}),
+tw AS (SELECT tid, word, span, list_contains(telling, word) AS tells FROM (SELECT tid, unnest(words) AS word, span, telling FROM t)),
+spot AS (SELECT rid, i AS pos, words[i] AS word FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
 place AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w) x JOIN p ON x.words[i] = phrase[1] AND x.words[i:i + len(phrase) - 1] = phrase),
 base AS (SELECT rid, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY rid),
-line AS (SELECT rid, unnest(string_split(text, chr(10))) AS block FROM d),
-lw AS (SELECT rid, list_distinct({_sql_words("block")}) AS words, false AS long_only FROM line),
-par AS (SELECT rid, unnest(regexp_split_to_array(text, '\\n[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\n')) AS block FROM d),
-pw AS (SELECT rid, list_distinct({_sql_words("block")}) AS words, true AS long_only FROM par),
-hit AS (SELECT rid, t.label, len(list_intersect(b.words, t.words)) / t.size::DOUBLE AS s FROM (SELECT * FROM lw UNION ALL SELECT * FROM pw) b JOIN t ON (NOT long_only OR t.size >= {LONG}) AND len(list_intersect(b.words, t.words)) >= t.least),
+block AS (SELECT rid, tid, count(DISTINCT word) OVER (PARTITION BY rid, tid ORDER BY pos RANGE BETWEEN CURRENT ROW AND (span - 1) FOLLOWING) AS n, bool_or(tells) OVER (PARTITION BY rid, tid ORDER BY pos RANGE BETWEEN CURRENT ROW AND (span - 1) FOLLOWING) AS told FROM spot JOIN tw USING (word)),
+most AS (SELECT rid, tid, max(n) AS n FROM block WHERE told GROUP BY rid, tid),
+hit AS (SELECT rid, label, n / size::DOUBLE AS s FROM most JOIN t USING (tid) WHERE n >= least),
 named AS (SELECT rid, label FROM hit UNION SELECT rid, label FROM place),
 lab AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM named GROUP BY rid),
 best AS (SELECT rid, max(s) AS s FROM hit GROUP BY rid)
