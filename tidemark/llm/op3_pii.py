@@ -2,7 +2,9 @@
 
 A kind's pattern is marked in the text in one pass (\\u0001 before and \\u0002 after each leftmost match), the text is
 split at the marks, and the parts' lengths give the spans: code points, end exclusive. The patterns are possessive
-where that changes no match, so that Java's matcher neither recurses nor backtracks over long runs.
+where that changes no match, so that Java's matcher neither recurses nor backtracks over long runs, and those that
+begin with a run are tried at its start alone (or where the last match ended): what follows the run decides for all of
+its places, and a long run is read once.
 
 Base kinds (email, ip, card, phone) always stay once their check passes. Beyond them, `iban` (confirmed by mod-97) and
 `ssn` are kept when the score reaches `THRESHOLD`. Score: the kind's base, plus its checksum, plus a context word
@@ -36,10 +38,11 @@ class Kind:
 
 
 _EDGE, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_RUN, _DIGITS = r"(?:\G|(?<![A-Za-z0-9._%+-]))", "(?<![0-9])"
 #: The order is that of ties at one start.
 KINDS = (
-    Kind("email", "@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 80, "e-?mail|contact|write|mailto", 10),
-    Kind("ip", r"[0-9]\.[0-9]", r"[0-9]++(?:\.[0-9]++){3}", 60, r"(?<![a-z0-9_])ip(?![a-z0-9_])|address|host|server", 20),
+    Kind("email", "@", rf"{_RUN}[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 80, "e-?mail|contact|write|mailto", 10),
+    Kind("ip", r"[0-9]\.[0-9]", rf"{_DIGITS}[0-9]++(?:\.[0-9]++){{3}}", 60, r"(?<![a-z0-9_])ip(?![a-z0-9_])|address|host|server", 20),
     Kind("card", "[0-9]", r"[0-9](?:[\x20-]?+[0-9])++", 90, "card|visa|mastercard|credit|payment", 10),
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 70, "phone|call|tel|mobile|fax", 20),
     Kind("iban", "[A-Z]{2}[0-9]{2}", rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}{_END}", 90, "iban|account|bank|konto|cuenta|compte", 10),
@@ -148,8 +151,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
 
 
 def oracle_sql() -> str:
-    """detect() in DuckDB SQL; the patterns without possessive quantifiers, word edges as \\b."""
-    plain = lambda p: p.replace("++", "+").replace("?+", "?").replace(_EDGE, r"\b").replace(_END, r"\b").replace("(?<![a-z0-9_])ip(?![a-z0-9_])", r"\bip\b")
+    """detect() in DuckDB SQL; the patterns without possessive quantifiers and run starts, word edges as \\b."""
+    plain = lambda p: p.removeprefix(_RUN).removeprefix(_DIGITS).replace("++", "+").replace("?+", "?").replace(_EDGE, r"\b").replace(_END, r"\b").replace("(?<![a-z0-9_])ip(?![a-z0-9_])", r"\bip\b")
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN CAST({digits}[length({digits}) - i + 1] AS INTEGER) * (1 + (i - 1) % 2) > 9 THEN CAST({digits}[length({digits}) - i + 1] AS INTEGER) * (1 + (i - 1) % 2) - 9 ELSE CAST({digits}[length({digits}) - i + 1] AS INTEGER) * (1 + (i - 1) % 2) END)) % 10 = 0"
     bare = "replace(m, ' ', '')"
