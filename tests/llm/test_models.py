@@ -121,3 +121,84 @@ def test_offending_sentences_are_located(spark):
     found = [r for r in T.predict(d, y).collect() if r.doc_id is not None and r.doc_id < 500 and r.doc_id % 4 == 1]
     marked = [any(w in text[r.doc_id][r.worst_start : r.worst_end] for w in ("vile", "rotten", "nasty")) for r in found if r.worst_start is not None]
     assert len(marked) > 100 and np.mean(marked) > 0.97
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 50, 257])
+def test_long_chains_have_the_same_marginals(n):
+    r = np.random.default_rng(n)
+    e, move = r.normal(size=n) * 3, r.normal(size=(2, 2))
+    p, _ = C.marginals(e[None], move, np.array([n]))
+    assert C.long_marginals(e, move) == pytest.approx(p[0], abs=1e-9)
+
+
+def plain_score(model, text):
+    """A document's score line by line: features with their neighbours', enumerated marginals, weights by length."""
+    from itertools import product
+
+    x, size, n = C.line_features([text])
+    e = x @ model.weights
+    z, good = 0.0, np.zeros(len(e))
+    for y in product((0, 1), repeat=len(e)):
+        w = np.exp(sum(e[t] * y[t] for t in range(len(e))) + sum(model.move[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z, good = z + w, good + w * np.array(y)
+    return float((good / z * (size + 1)).sum() / (size + 1).sum())
+
+
+def test_scores_equal_plain_ones(monkeypatch):
+    r = np.random.default_rng(3)
+    model = C.Field(r.normal(size=3 * C.OWN + 1), r.normal(size=(2, 2)))
+    lines = [b"", b"plain words in a line.", b"$$$ %% | <a>", b"ALL CAPS 12 34", b"plain words in a line.", b"x"]
+    texts = [b"\n".join(lines[j] for j in r.integers(0, len(lines), r.integers(1, 9))) for _ in range(40)] + [b"", b"\n\n"]
+    want = [plain_score(model, t) for t in texts]
+    assert model.scores(texts) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(C, "CELLS", 12)
+    monkeypatch.setattr(C, "LONG", 5)
+    assert model.scores(texts) == pytest.approx(want, abs=1e-9)
+    alone = [float(model.scores([t])[0]) for t in texts]
+    assert alone == pytest.approx(want, abs=1e-9)
+
+
+def test_features_of_lines():
+    x, size, n = C.line_features([b"One two two\n#12 a.\n\nOne two two", b"z"])
+    assert n.tolist() == [4, 1] and size.tolist() == [11, 6, 0, 11, 1]
+    own = x[:, : C.OWN]
+    assert own[0] == pytest.approx([0, 0, 1 / 9, 0, 1 / 3, np.log1p(3) / 6, 3 / 8, 0, 1])
+    assert own[1] == pytest.approx([1, 2 / 5, 0, 4 / 5, 0, np.log1p(2) / 6, 2.5 / 8, 0, 1])
+    assert own[2] == pytest.approx([0, 0, 0, 0, 0, 0, 0, 0, 1]) and own[3, 7] == 1
+    assert (x[0, C.OWN : 2 * C.OWN] == 0).all() and (x[1, C.OWN : 2 * C.OWN] == own[0]).all() and (x[1, 2 * C.OWN : -1] == own[2]).all()
+    assert (x[3, 2 * C.OWN : -1] == 0).all() and (x[4, C.OWN : -1] == 0).all() and (x[:, -1] == 1).all()
+
+
+def test_a_text_of_a_million_lines():
+    import resource
+    import time
+
+    model = C.Field(np.linspace(-1, 1, 3 * C.OWN + 1), np.eye(2))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+    got = model.scores([b"a line\n" * 1_000_000] + [b"one line"] * 63)
+    assert time.monotonic() - began < 60 and (got[1:] == got[1]).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kilobytes
+
+
+def test_noisy_or_of_documents_equals_a_plain_one(spark):
+    """Toxicity: sentence by sentence, feature by feature, for scores, counts and places."""
+    import math
+    import re as regex
+
+    from tidemark.llm import op10_toxicity as T
+
+    model = T.Model({"awful": 1.5, "stink*": 2.0, "vile": 0.7, "stinker": -0.4}, -1.0, 1.3, 0.2)
+    texts = ["You are awful. A nice day!\nThis stinks, vile thing", "nothing here", "", "stinker. stinker! awfulness", "AWFUL vile? ok. Vile", "İ awful. fine"]
+    for text in texts:
+        found, evidence = [], 0.0
+        for m in regex.finditer(r"[^.!?\n]+[.!?]*", text):
+            words = [w.lower() for w in regex.findall(r"[^\W\d_]+", m[0])]
+            own = {f for w in words for f in [w, *(w[:n] + "*" for n in (5, 7) if len(w) >= n)]} & set(model.weights)
+            if own:
+                p = 1 / (1 + math.exp(1.0 - sum(model.weights[f] for f in own)))
+                evidence -= math.log1p(-p)
+                found.append((m.start(), m.end(), p))
+        got = model.sentences(text)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in found]
+        assert [p for *_, p in got] == pytest.approx([p for *_, p in found])
+        assert model.score(got) == pytest.approx(1 / (1 + math.exp(-(1.3 * math.log(evidence + 1e-3) + 0.2))))

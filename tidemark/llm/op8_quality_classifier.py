@@ -6,7 +6,8 @@ taken from the document's label; forward-backward then gives each line's margina
 document's quality is their mean weighted by line length.
 
 Training reads a bounded sample: `SAMPLE` documents of each class, of `LONGEST` characters at most. Every document is
-scored whole.
+scored whole. Texts of like line counts are walked side by side, at most `CELLS` padded lines at once; a chain of `LONG`
+lines or more is cut into blocks whose transfer matrices are multiplied side by side, which gives the same marginals.
 
 Null and empty texts are one empty line. No labels, or labels of one class: every score is the share of label 1 (0.5
 without labels). Rows with equal or null doc_id stay rows of their own. An empty table gives an empty result.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ from .sampling import labelled
 SAMPLE, LONGEST = 800, 8_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 ROUNDS, RATE, RIDGE = 120, 0.1, 1e-3
-#: Documents scored side by side.
-GROUP = 512
+#: Documents, and bytes but for a single longer one, whose lines are described at once.
+GROUP, GROUP_BYTES = 512, 1 << 23
+#: Documents and padded lines walked side by side, and lines from which a text's chain is walked in blocks.
+ABREAST, CELLS, LONG = 64, 1 << 16, 4096
 
 _SYMBOL, _DIGIT, _UPPER, _POINT, _BLANK = 1, 2, 3, 4, 5
 _CLASS = np.zeros(256, np.uint8)
@@ -37,8 +41,8 @@ for _of, _chars in ((_SYMBOL, b"#*$%&|<>{}[]=\\^~@"), (_DIGIT, b"0123456789"), (
 OWN = 9  # features of a line before its neighbours'
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line of all texts, the lines' lengths in bytes, and each text's number of lines."""
+def own_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's features without its neighbours', the lines' lengths in bytes, and each text's number of lines."""
     lines = [t.split(b"\n") for t in texts]
     n_lines = np.fromiter(map(len, lines), np.int64, len(lines))
     flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -80,11 +84,29 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         ],
         axis=1,
     )
+    return own, size, n_lines
+
+
+def beside(own: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the line before and the line after have (rows of `own`), 0 beyond a text's ends."""
     first = np.cumsum(n_lines) - n_lines
     before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
     before[first] = 0
     after[first + n_lines - 1] = 0
-    return np.concatenate((own, before, after, np.ones((len(own), 1))), axis=1), size, n_lines
+    return before, after
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line of all texts, the lines' lengths in bytes, and each text's number of lines."""
+    own, size, n_lines = own_features(texts)
+    return np.concatenate((own, *beside(own, n_lines), np.ones((len(own), 1))), axis=1), size, n_lines
+
+
+def emissions(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features(texts) @ weights, without the wide table."""
+    own, size, n_lines = own_features(texts)
+    of = [own @ weights[i * OWN : (i + 1) * OWN] for i in range(3)]
+    return of[0] + beside(of[1], n_lines)[0] + beside(of[2], n_lines)[1] + weights[-1], size, n_lines
 
 
 def _padded(values: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
@@ -126,6 +148,41 @@ def marginals(emission: np.ndarray, move: np.ndarray, n_lines: np.ndarray) -> tu
     return np.where(live, p[:, :, 1] / np.maximum(p.sum(axis=2), 1e-300), 0.0), pairs
 
 
+def long_marginals(emission: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """P(line good) along one chain: about sqrt(n) blocks of steps, multiplied side by side."""
+    n, m = len(emission), np.exp(move - move.max())
+    e = np.stack((np.zeros(n), np.clip(emission, -30, 30)), axis=1)
+    e = np.exp(e - e.max(axis=1, keepdims=True))
+    width = max(1, int((n - 1) ** 0.5))
+    blocks = max(1, -(-(n - 1) // width))
+    step = np.tile(np.eye(2), (blocks * width, 1, 1))
+    step[: n - 1] = m[None] * e[1:, None, :]
+    step = step.reshape(blocks, width, 2, 2)
+    scaled = lambda x: x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+    ahead, behind = np.empty_like(step), np.empty_like(step)  # products up to each step, and from each step on
+    now = np.tile(np.eye(2), (blocks, 1, 1))
+    for t in range(width):
+        now = ahead[:, t] = scaled(now @ step[:, t])
+    now = np.tile(np.eye(2), (blocks, 1, 1))
+    for t in range(width - 1, -1, -1):
+        now = behind[:, t] = scaled(step[:, t] @ now)
+    starts, stops = np.empty((blocks, 2)), np.empty((blocks, 2))
+    at = e[0] / e[0].sum()
+    for b in range(blocks):
+        starts[b] = at
+        at = at @ ahead[b, -1]
+        at = at / at.sum()
+    at = np.ones(2)
+    for b in range(blocks - 1, -1, -1):
+        stops[b] = at
+        at = behind[b, 0] @ at
+        at = at / at.sum()
+    forward = np.concatenate((e[:1] / e[0].sum(), (starts[:, None, None] @ ahead).reshape(-1, 2)[: n - 1]))
+    backward = np.concatenate(((behind @ stops[:, None, :, None]).reshape(-1, 2)[: n - 1], np.ones((1, 2))))
+    p = scaled(scaled(forward) * scaled(backward))
+    return p[:, 1]
+
+
 class Field:
     def __init__(self, weights: np.ndarray, move: np.ndarray, constant: float | None = None):
         self.weights, self.move, self.constant = weights, move, constant
@@ -134,12 +191,22 @@ class Field:
         """Length-weighted marginals; texts of like line counts go side by side."""
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
-        x, size, n_lines = line_features(texts)
-        emission, weight = x @ self.weights, size + 1
+        emission, size, n_lines = emissions(texts, self.weights)
+        weight = size + 1
         first = np.cumsum(n_lines) - n_lines
         out, order = np.empty(len(texts)), np.argsort(n_lines, kind="stable")
-        for at in range(0, len(order), 64):
-            group = order[at : at + 64]
+        at = 0
+        while at < len(order):
+            longest = int(n_lines[order[at]])
+            if longest >= LONG:
+                own = slice(first[order[at]], first[order[at]] + longest)
+                out[order[at]] = (long_marginals(emission[own], self.move) * weight[own]).sum() / weight[own].sum()
+                at += 1
+                continue
+            sizes = n_lines[order[at : at + ABREAST]]
+            fit_in = (sizes * np.arange(1, len(sizes) + 1) <= CELLS) & (sizes < LONG)
+            group = order[at : at + max(1, int(fit_in.sum()))]
+            at += len(group)
             n = n_lines[group]
             lines = np.concatenate([np.arange(first[g], first[g] + n_lines[g]) for g in group])
             p, _ = marginals(_padded(emission[lines], n), self.move, n)
@@ -172,6 +239,18 @@ def fit(rows: list[tuple[bytes, int]]) -> Field:
     return Field(weights, move)
 
 
+def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose third column is the text: up to GROUP rows and GROUP_BYTES, or one row of any size."""
+    sizes, at = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), 0
+    while at < batch.num_rows:
+        to, total = at, 0
+        while to < batch.num_rows and to - at < GROUP and (to == at or total + sizes[to] <= GROUP_BYTES):
+            total += sizes[to]
+            to += 1
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`."""
     held = doc_bucket("doc_id", FOLDS) == HELD_OUT
@@ -180,8 +259,7 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, GROUP):
-                batch = whole.slice(at, GROUP)
+            for batch in groups(whole):
                 score = model.value.scores([t or b"" for t in batch.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
