@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.llm import op7_quality as Q
 
@@ -50,38 +49,55 @@ def test_statistics(spark):
     assert got == sorted((r[0], *stats(r[1])) for r in rows)
 
 
-def estimate(x, spark):
-    """The same concentration steps in numpy; the starting quartiles come from Spark's own sketch."""
+def mcd(x):
+    """The same minimum covariance determinant in numpy, over all starts and steps."""
     floor = np.diag(np.square(Q.FLOORS))
-    df = spark.createDataFrame(x.tolist(), ", ".join(f"c{i} double" for i in range(4))).coalesce(1)
-    quartiles = np.array(df.agg(*(F.percentile_approx(f"c{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)) for i in range(4))).first())
-    mid = quartiles[:, 1]
-    spread = ((quartiles[:, 2] - quartiles[:, 0]) / 1.349) ** 2
-    cov = np.diag(spread) + floor
-    for step in range(Q.STEPS + 1):
+
+    def concentrate(mid, cov):
         d2 = np.einsum("ij,jk,ik->i", x - mid, np.linalg.inv(cov), x - mid)
-        if step < Q.STEPS:
-            bins = np.floor(np.log2(d2 + 1e-6) * 32)
-            limit = np.sort(bins)[math.ceil(Q.SUBSET * len(bins)) - 1]
-            keep, scale = x[bins <= limit], Q.CONSISTENCY
-        else:
-            keep, scale = x[d2 <= Q.REWEIGHT_AT], Q.REWEIGHT_CONSISTENCY
+        bins = np.floor(np.log2(d2 + 1e-9) * Q.FINE)
+        keep = x[bins <= np.sort(bins)[math.ceil(Q.SUBSET * len(bins)) - 1]]
         mid = keep.mean(axis=0)
-        cov = scale * ((keep - mid).T @ (keep - mid) / len(keep)) + floor
-    return mid, cov
-
-
-def test_verdicts_equal_numpy(spark):
+        cov = Q.CONSISTENCY * ((keep - mid).T @ (keep - mid) / len(keep)) + floor
+        return np.linalg.slogdet(cov)[1], mid, cov
+
+    grid = np.sort(np.floor(x * Q.GRID), axis=0) / Q.GRID
+    lo, mid, hi = (grid[math.ceil(q * len(x)) - 1] for q in (0.25, 0.5, 0.75))
+    s = np.sqrt(((hi - lo) / 1.349) ** 2 + np.square(Q.FLOORS))
+    z = (x - mid) / s
+    t, norm = np.tanh(z), np.linalg.norm(z, axis=1, keepdims=True)
+    u = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+    tt = t.T @ t / len(x)
+    root = np.sqrt(np.maximum(np.diag(tt), 1e-12))
+    corr = tt / np.outer(root, root)
+    np.fill_diagonal(corr, 1.0)
+    shapes = [(mid, np.eye(4)), (mid + z.mean(axis=0) * s, np.cov(z.T, bias=True)), (mid, corr), (mid, 4 * u.T @ u / len(x))]
+    ends = []
+    for centre, shape in shapes:
+        best = (math.inf, centre, shape * np.outer(s, s) + floor)
+        while (got := concentrate(*best[1:]))[0] < best[0] - 1e-9:
+            best = got
+        ends.append(best)
+    _, mid, cov = min(ends, key=lambda e: round(e[0], 6))
+    d2 = np.einsum("ij,jk,ik->i", x - mid, np.linalg.inv(cov), x - mid)
+    keep = x[d2 <= Q.REWEIGHT_AT]
+    mid = keep.mean(axis=0)
+    return mid, Q.REWEIGHT_CONSISTENCY * ((keep - mid).T @ (keep - mid) / len(keep)) + floor
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_verdicts_equal_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "BROADCAST_CELLS", few)
     rows = _texts()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, cell int")
     got = {(r.doc_id, r.n_words, r.distance, r.kept, r.base_failed) for r in Q.verdicts(df).collect()}
     s = [stats(r[1]) for r in rows]
     failed = [v[0] < 50 or 100 * v[4] > 50 * v[0] for v in s]
     x = np.array([features(v) for v in s])
-    cell = [(r[2] or "", r[3] or "") for r in rows]
+    cell = [(r[2], r[3]) for r in rows]
     size = Counter(c for c, f in zip(cell, failed, strict=True) if not f)
-    models = {c: estimate(x[[k == c and not f for k, f in zip(cell, failed, strict=True)]], spark) for c, n in size.items() if n >= Q.LEAST_CELL}
-    every = estimate(x[[not f for f in failed]], spark)
+    models = {c: mcd(x[[k == c and not f for k, f in zip(cell, failed, strict=True)]]) for c, n in size.items() if n >= Q.LEAST_CELL}
+    every = mcd(x[[not f for f in failed]])
     by_id = {(g[0], g[1]): g for g in got}
     assert any(g[3] for g in got) and any(not g[3] and not g[4] for g in got)
     for r, v, f, row, c in zip(rows, s, failed, x, cell, strict=True):
@@ -103,3 +119,12 @@ def test_keep_good_keeps_columns(spark):
     want = sorted(r.doc_id for r in Q.verdicts(df).where("kept").collect())
     assert sorted(r.doc_id for r in kept.collect()) == want
     assert Q.keep_good(df.limit(0)).count() == 0 and Q.verdicts(df.limit(0)).count() == 0
+
+
+def test_masked_outliers_do_not_hide():
+    """A fifth of a cell lies together far away: the determinant must settle on the others, from whichever start."""
+    rng = np.random.default_rng(4)
+    clean, far = rng.normal([5, 0.1, 0.1, 0.1], [0.4, 0.03, 0.05, 0.05], (240, 4)), rng.normal([12, 0.9, 0.6, 0.6], [0.1, 0.01, 0.02, 0.02], (60, 4))
+    mid, cov = mcd(np.abs(np.concatenate((clean, far))))
+    d2 = np.einsum("ij,jk,ik->i", far - mid, np.linalg.inv(cov), far - mid)
+    assert np.abs(mid - clean.mean(axis=0)).max() < 0.1 and d2.min() > Q.CUTOFF

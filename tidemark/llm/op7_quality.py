@@ -2,14 +2,21 @@
 
 Fixed rules fail a document that is short or repeats itself. Of the others, each (language, source) cell gets a
 minimum-covariance-determinant estimate of four transformed statistics: mean word length, and the square roots of the
-shares of symbols, repeated lines and repeated words. Concentration steps start from the cell's median and spread:
-rank the rows by Mahalanobis distance, keep the `SUBSET` share nearest, re-estimate; then one reweighting step. A
-document whose distance passes `CUTOFF` is rejected. Ranks come from counts of rows per logarithmic distance bin, so a
-cell of any size is summed partly on the map side and never gathered.
-
-Cells under `LEAST_CELL` rows share one estimate over all rows. Spreads have floors, so that a cell whose rows hardly
-vary rejects no near neighbour. Null texts count as empty and fail. Null lang or source: a cell of their own. Rows with
-equal or null doc_id stay rows of their own. An empty table gives an empty result.
+shares of symbols, repeated lines and repeated words. `STARTS` deterministic starts (the medians with: spreads alone,
+the classical moments, the correlations of tanh-compressed values, the spatial signs) are concentrated side by side:
+rank the rows by Mahalanobis distance, keep the `SUBSET` share nearest, re-estimate, until the determinant of the
+(regularised) covariance no longer falls. A cell's start of least determinant wins; one reweighting step follows. A
+document whose distance passes `CUTOFF` is rejected.
+
+Ranks come from counts of rows per logarithmic distance bin (`FINE` a doubling: the nearest share is met to within one
+bin's rows, which go together), medians from counts of rounded values: a cell of any size is summed partly on the map
+side and never gathered, and no result depends on partitions. Estimates are one small row per cell: they are broadcast
+while there are `BROADCAST_CELLS` cells at most, else rows and estimates meet under salted keys, so that a hot cell is
+many tasks.
+
+Cells under `LEAST_CELL` rows share one estimate over all rows. Spreads have floors (the regularisation), so that a cell
+whose rows hardly vary rejects no near neighbour. Null texts count as empty and fail. A null lang or source is a value
+of its own, apart from ''. Rows with equal or null doc_id stay rows of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +26,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, park
+from .common import BLANKS, let, park, unpark
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-SUBSET, STEPS, LEAST_CELL = 0.75, 3, 50
+SUBSET, LEAST_CELL, STARTS, FINE = 0.75, 50, 4, 1024
+#: Estimates up to this many cells are broadcast (about 500 bytes a cell and start); beyond, keys are salted this many ways.
+BROADCAST_CELLS, SALTS = 20_000, 32
+#: Steps of a value in which medians and quartiles are found.
+GRID = 1024
 #: Squared distance beyond which a document is rejected: the upper 1e-9 of chi-square with four degrees, so that skewed but clean rows stay.
 CUTOFF = 47.0
 #: Consistency of a covariance over the nearest 75 % of a four-dimensional normal: 0.75 / P(chi2_6 < chi2_4's 75 % point).
@@ -59,8 +70,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window), count))
 
 
-def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Adds the statistics of each whole text as long columns, named with `prefix`."""
+def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds the statistics of each whole text as long columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(BLANKS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _blank_class()))
@@ -68,7 +79,7 @@ def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     per_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     stats = F.struct(per_words.alias("w"), per_lines.alias("l"))
-    name = prefix + "__stats"
+    name = "__stats"
     out = docs.withColumn(name, stats)
     values = {
         "n_words": F.col(name)["w"]["n"],
@@ -78,97 +89,172 @@ def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
         "n_repeat_words": F.col(name)["w"]["r"],
         "n_lines": F.col(name)["l"]["n"],
     }
-    return out.withColumns({prefix + k: v.cast("long") for k, v in values.items()}).drop(name)
+    return out.withColumns({k: v.cast("long") for k, v in values.items()}).drop(name)
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, r = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+def base_failed() -> Column:
+    n, r = F.col("n_words"), F.col("n_repeat_words")
     return (n < LEAST_WORDS) | (100 * r > MOST_REPEATED * n)
 
 
-def _features(p: str) -> list[Column]:
-    share = lambda a, b: F.sqrt(F.col(p + a) / (F.col(p + b) + 1))
+def _features() -> list[Column]:
+    share = lambda a, b: F.sqrt(F.col(a) / (F.col(b) + 1))
     return [
-        F.least(F.col(p + "word_chars") / F.greatest(F.col(p + "n_words"), F.lit(1)), F.lit(50.0)),
+        F.least(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), F.lit(50.0)),
         share("n_symbols", "word_chars"),
         share("n_dup_lines", "n_lines"),
         share("n_repeat_words", "n_words"),
     ]
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Per cell: means, and the lower triangle of the Cholesky factor of the (floored, scaled) covariance."""
-    k = len(FEATURES)
-    # Sums are taken about the cell's starting centre, which keeps their digits.
-    d = [F.col(f) - F.col("c" + f[1:]) for f in FEATURES]
-    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(d)] + [F.avg(d[i] * d[j]).alias(f"p{i}{j}") for i in range(k) for j in range(i + 1)]
-    got = rows.groupBy("cell").agg(*sums, *(F.first("c" + f[1:]).alias("c" + f[1:]) for f in FEATURES))
-    cov = lambda i, j: scale * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)
-    done: list[str] = []
-    for i in range(k):  # each entry a column of its own, so that later ones don't repeat it
-        for j in range(i + 1):
-            rest = reduce(lambda a, b: a - b, (F.col(f"l{i}{q}") * F.col(f"l{j}{q}") for q in range(j)), cov(i, j))
-            got = got.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-            done.append(f"l{i}{j}")
-    means = [(F.col(f"m{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(k)]
-    return got.select("cell", *means, *done)
-
-
-def distance(features: list[Column]) -> Column:
-    """Squared Mahalanobis distance from the estimate in columns m* and l*, by forward substitution."""
+K = len(FEATURES)
+LOWER = [(i, j) for i in range(K) for j in range(i + 1)]
+WHOLE = "\u0002"  # the cell of the estimate over all rows
+
 
-    def solve(i: int, solved: list[Column]) -> Column:
-        if i == len(features):
-            return reduce(lambda a, b: a + b, (z * z for z in solved))
-        rest = reduce(lambda a, b: a - b, (F.col(f"l{i}{q}") * z for q, z in enumerate(solved)), features[i] - F.col(f"m{i}"))
-        return let(rest / F.col(f"l{i}{i}"), lambda z: solve(i + 1, [*solved, z]))
+def cell_of() -> Column:
+    """A name of (lang, source) that tells null from ''."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return F.concat(part("lang"), F.lit("\u0001"), part("source"))
 
-    return solve(0, [])
 
+def meet(rows: DataFrame, small: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Rows with what `small` has of their cell: a broadcast while cells are few, else a join under salted keys."""
+    if few:
+        return rows.join(F.broadcast(small), "cell", how)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.hash(*FEATURES), F.lit(SALTS)))
+    return dealt.join(salted, ["cell", "salt"], how).drop("salt")
 
-def fit(stats: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
-    """The estimates (cell, m*, l*), and the cells (lang, source, cell); both one row per cell at most.
+
+def distance(features: list[Column], of=F.col) -> Column:
+    """Squared Mahalanobis distance from the estimate in columns m* and l*, by forward substitution."""
+    solved: list[Column] = []
+    for i, f in enumerate(features):
+        solved.append(reduce(lambda a, b: a - b, (of(f"l{i}{q}") * z for q, z in enumerate(solved)), f - of(f"m{i}")) / of(f"l{i}{i}"))
+    return reduce(lambda a, b: a + b, (z * z for z in solved))
+
+
+def _factored(got: DataFrame, cov) -> DataFrame:
+    """Adds the lower triangle l* of the Cholesky factor of the covariance cov(i, j) plus floors, and its log-determinant."""
+    for i, j in LOWER:  # each entry a column of its own, so that later ones don't repeat it
+        whole = cov(i, j) + (FLOORS[i] ** 2 if i == j else 0.0)
+        rest = reduce(lambda a, b: a - b, (F.col(f"l{i}{q}") * F.col(f"l{j}{q}") for q in range(j)), whole)
+        got = got.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    return got.withColumn("log_det", reduce(lambda a, b: a + b, (2 * F.log(F.col(f"l{i}{i}")) for i in range(K))))
+
+
+def _sums(values: list[Column]) -> list[Column]:
+    return [F.avg(x).alias(f"a{i}") for i, x in enumerate(values)] + [F.avg(values[i] * values[j]).alias(f"p{i}{j}") for i, j in LOWER]
+
+
+def centres(rows: DataFrame) -> DataFrame:
+    """Per cell: medians c* and spreads s* of the features, to the grid's steps."""
+    values = rows.select("cell", F.posexplode(F.array(*FEATURES)).alias("i", "v"))
+    counts = values.groupBy("cell", "i", F.floor(F.col("v") * GRID).alias("bin")).count()
+    own = Window.partitionBy("cell", "i")
+    ranked = counts.select("cell", "i", "bin", F.sum("count").over(own.orderBy("bin")).alias("upto"), F.sum("count").over(own).alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bin"))) / GRID
+    found = ranked.groupBy("cell", "i").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
+    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1)
+    spread = F.sqrt(F.pow((F.col("hi") - F.col("lo")) / 1.349, 2) + floor * floor)
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, c))
+    return found.groupBy("cell").agg(*(pick(F.col("mid"), i).alias(f"c{i}") for i in range(K)), *(pick(spread, i).alias(f"s{i}") for i in range(K)))
+
+
+def starts(rows: DataFrame, middle: DataFrame, few: bool) -> DataFrame:
+    """(cell, start, c*, m*, l*): where concentration begins."""
+    z = [(F.col(f) - F.col(f"c{i}")) / F.col(f"s{i}") for i, f in enumerate(FEATURES)]
+    norm = F.sqrt(reduce(lambda a, b: a + b, (x * x for x in z)))
+    shapes = [F.struct(F.lit(start).alias("start"), *(v.alias(f"g{i}") for i, v in enumerate(values))) for start, values in ((1, z), (2, [F.tanh(x) for x in z]), (3, [F.when(norm > 0, x / norm).otherwise(0.0) for x in z]))]
+    shaped = meet(rows, middle, few).select("cell", F.explode(F.array(*shapes)).alias("g"))
+    got = shaped.groupBy("cell", F.col("g.start").alias("start")).agg(*_sums([F.col(f"g.g{i}") for i in range(K)]))
+    plain = middle.select("cell", F.lit(0).alias("start"), *(F.lit(0.0).alias(f"a{i}") for i in range(K)), *(F.lit(float(i == j)).alias(f"p{i}{j}") for i, j in LOWER))
+    got = got.unionByName(plain).join(middle, "cell")
+    root = lambda i: F.sqrt(F.greatest(F.col(f"p{i}{i}"), F.lit(1e-12)))
+
+    def cov(i: int, j: int) -> Column:
+        start, p = F.col("start"), F.col(f"p{i}{j}")
+        whole = F.when(start == 1, p - F.col(f"a{i}") * F.col(f"a{j}")).when(start == 2, F.lit(1.0) if i == j else p / (root(i) * root(j))).when(start == 3, K * p).otherwise(p)
+        return whole * F.col(f"s{i}") * F.col(f"s{j}")
+
+    means = [(F.col(f"c{i}") + F.when(F.col("start") == 1, F.col(f"a{i}") * F.col(f"s{i}")).otherwise(0.0)).alias(f"m{i}") for i in range(K)]
+    return _factored(got, cov).select("cell", "start", *(f"c{i}" for i in range(K)), *means, *(f"l{i}{j}" for i, j in LOWER))
+
+
+def _estimate(kept: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """(keys, c*, m*, l*, log_det) of the rows of each key; sums are taken about c*, which keeps their digits."""
+    got = kept.groupBy(*keys).agg(*_sums([F.col(f) - F.col(f"c{i}") for i, f in enumerate(FEATURES)]), *(F.min(f"c{i}").alias(f"c{i}") for i in range(K)))
+    got = _factored(got, lambda i, j: scale * (F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")))
+    means = [(F.col(f"a{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(K)]
+    return got.select(*keys, *(f"c{i}" for i in range(K)), *means, *(f"l{i}{j}" for i, j in LOWER), "log_det")
+
+
+MODEL = [f"c{i}" for i in range(K)] + [f"m{i}" for i in range(K)] + [f"l{i}{j}" for i, j in LOWER]
+
+
+def concentrate(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
+    """The estimates after one concentration step from each of `model` (cell, start, ...)."""
+    own = model.groupBy("cell").agg(F.collect_list(F.struct("start", *MODEL)).alias("models"))
+    each = meet(rows, own, few).select("cell", *FEATURES, F.explode("models").alias("e"))
+    d2 = distance([F.col(f) for f in FEATURES], lambda c: F.col("e." + c))
+    binned = each.select("cell", F.col("e.start").alias("start"), *FEATURES, *(F.col(f"e.c{i}").alias(f"c{i}") for i in range(K)), F.floor(F.log2(d2 + 1e-9) * FINE).cast("int").alias("bin"))
+    counts = binned.groupBy("cell", "start", "bin").count()
+    of_one = Window.partitionBy("cell", "start")
+    ranked = counts.select("cell", "start", "bin", F.sum("count").over(of_one.orderBy("bin")).alias("upto"), F.sum("count").over(of_one).alias("n"))
+    limits = ranked.where(F.col("upto") >= SUBSET * F.col("n")).groupBy("cell", "start").agg(F.min("bin").alias("limit"))
+    limits = park(limits.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("start", "limit"))).alias("limits")), "limits")
+    kept = meet(binned, limits, few).where(F.col("bin") <= F.col("limits")[F.col("start")])
+    return _estimate(kept, ["cell", "start"], CONSISTENCY), limits
+
+
+def fit(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """The estimates (cell, m*, l*), one row per large enough cell and, where some are smaller, one over all rows; and whether they are few.
 
     `stats` has lang, source and the statistics; rows that fail the base rules take no part.
     """
-    rows = stats.where(~base_failed(prefix)).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *(f.alias(n) for f, n in zip(_features(prefix), FEATURES, strict=True)))
-    sizes = rows.groupBy("lang", "source").count()
-    cells = park(sizes.select("lang", "source", F.when(F.col("count") >= LEAST_CELL, F.concat_ws("\u0001", "lang", "source")).otherwise("\u0001*").alias("cell")), "cells")
-    rows = park(rows.join(cells, ["lang", "source"]).select("cell", *FEATURES), "features")
-    # The whole table's estimate serves small cells and cells unknown to the fit.
-    rows = rows.where(F.col("cell") != "\u0001*").unionAll(rows.select(F.lit("\u0001*").alias("cell"), *FEATURES))
-    start = rows.groupBy("cell").agg(*(F.percentile_approx(f, F.lit(0.5), F.lit(1000)).alias("c" + f[1:]) for f in FEATURES), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.75)), F.lit(1000)).alias("q" + f[1:]) for f in FEATURES))
-    start = park(start, "centres")
-    centred = start.select("cell", *(f"c{i}" for i in range(len(FEATURES))))
-    spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2)
-    zero = {f"l{i}{j}": F.lit(0.0) for i in range(len(FEATURES)) for j in range(i)}
-    model = start.select("cell", *(F.col(f"c{i}").alias(f"m{i}") for i in range(len(FEATURES))), *(spread(i).alias(f"l{i}{i}") for i in range(len(FEATURES)))).withColumns(zero)
-    for step in range(STEPS + 1):
-        at = rows.join(model, "cell").select("cell", *FEATURES, distance([F.col(f) for f in FEATURES]).alias("d2"))
-        if step < STEPS:
-            binned = at.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 32).cast("int"))
-            counts = binned.groupBy("cell", "bin").count()
-            up_to = Window.partitionBy("cell").orderBy("bin")
-            limits = counts.select("cell", "bin", F.sum("count").over(up_to).alias("below"), F.sum("count").over(Window.partitionBy("cell")).alias("all"))
-            limits = limits.where(F.col("below") >= SUBSET * F.col("all")).groupBy("cell").agg(F.min("bin").alias("limit"))
-            kept, scale = binned.join(limits, "cell").where("bin <= limit"), CONSISTENCY
-        else:
-            kept, scale = at.where(F.col("d2") <= REWEIGHT_AT), REWEIGHT_CONSISTENCY
-        model = park(_moments(kept.join(centred, "cell"), scale), "estimates")
-    return model, cells
-
-
-def judge(stats: DataFrame, prefix: str = "") -> DataFrame:
-    """Adds base_failed, distance (squared) and kept to `stats`, named with `prefix`."""
-    p = prefix
-    model, cells = fit(stats, p)
-    known = cells.select(F.col("lang").alias(p + "__lang"), F.col("source").alias(p + "__source"), F.col("cell").alias(p + "__cell"))
-    mine = stats.withColumns({p + "__l": F.coalesce("lang", F.lit("")), p + "__s": F.coalesce("source", F.lit(""))})
-    celled = mine.join(known, (F.col(p + "__l") == F.col(p + "__lang")) & (F.col(p + "__s") == F.col(p + "__source")), "left")
-    celled = celled.withColumn(p + "__of", F.coalesce(p + "__cell", F.lit("\u0001*")))
-    judged = celled.join(model, F.col(p + "__of") == F.col("cell"), "left")
-    d2 = F.when(~base_failed(p), distance(_features(p)))
-    return judged.withColumns({p + "base_failed": base_failed(p), p + "distance": d2}).withColumn(p + "kept", ~F.col(p + "base_failed") & (F.coalesce(p + "distance", F.lit(0.0)) <= CUTOFF))
+    rows = stats.where(~base_failed()).select(cell_of().alias("cell"), *(f.alias(n) for f, n in zip(_features(), FEATURES, strict=True)))
+    rows = park(rows, "features")
+    sizes = rows.groupBy("cell").count()
+    large = park(sizes.where(F.col("count") >= LEAST_CELL).select("cell"), "cells")
+    n_large = large.count()
+    few, small = n_large <= BROADCAST_CELLS, not sizes.where(F.col("count") < LEAST_CELL).isEmpty()
+    every = meet(rows, large, few)
+    if small:
+        every = every.unionByName(rows.withColumn("cell", F.lit(WHOLE)))
+    middle = park(centres(every), "centres")
+    active = park(starts(every, middle, few).withColumn("log_det", F.lit(float("inf"))), "starts")
+    ready, spent = None, [middle, large]
+    while not active.isEmpty():
+        got, limits = concentrate(every, active, few)
+        better = got.select("cell", "start", F.struct(*MODEL, "log_det").alias("new"))
+        both = park(active.join(better, ["cell", "start"]).withColumn("fell", F.col("new.log_det") < F.col("log_det") - 1e-9), "steps")
+        spent += [active, limits, both]
+        stopped = both.where(~F.col("fell")).select("cell", "start", *MODEL, "log_det")
+        ready = stopped if ready is None else ready.unionByName(stopped)
+        active = both.where("fell").select("cell", "start", "new.*")
+    if ready is None:
+        ready = active
+    best = ready.groupBy("cell").agg(F.min_by(F.struct(*MODEL), F.struct(F.round("log_det", 6), "start")).alias("e")).select("cell", "e.*")
+    best = park(best, "least-determinants")
+    near = meet(every, best, few).where(distance([F.col(f) for f in FEATURES]) <= REWEIGHT_AT)
+    model = park(_estimate(near, ["cell"], REWEIGHT_CONSISTENCY).drop(*(f"c{i}" for i in range(K)), "log_det"), "estimates")
+    for table in (*spent, best, rows):
+        unpark(table)
+    return model, few
+
+
+def judge(stats: DataFrame) -> DataFrame:
+    """Adds base_failed, distance (squared) and kept to `stats`."""
+    model, few = fit(stats)
+    own = F.struct(*(c for c in model.columns if c != "cell")).alias("own")
+    whole = model.where(F.col("cell") == WHOLE).select(own).withColumnRenamed("own", "whole")  # one row or none
+    parts = stats.withColumn("cell", cell_of()).withColumns(dict(zip(FEATURES, _features(), strict=True)))
+    judged = meet(parts, model.select("cell", own), few, "left").join(F.broadcast(whole), how="left")
+    estimate = F.coalesce("own", "whole")
+    d2 = F.when(~base_failed(), distance(_features(), lambda c: estimate[c]))
+    out = judged.withColumns({"base_failed": base_failed(), "distance": d2}).drop("own", "whole", *FEATURES)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
