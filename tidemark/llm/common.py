@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset and everything runs in one process (tests), a local folder; on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getuid()}")
     return where.rstrip("/")
 
@@ -48,6 +53,14 @@ def unpark(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores after it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, use) -> Column:
     """use(value) with `value` evaluated once a row, however often `use` names it."""
     return F.transform(F.array(value), use)[0]
