@@ -91,3 +91,21 @@ def test_rows_that_share_an_id_are_decided_by_their_text(spark, near_copies):
     assert kept([(5, a), (5, b), (5, a)]) == sorted([(5, a), (5, b)])
     shouted = a.upper()
     assert len(kept([(5, a), (5, shouted), (6, a), (5, c)])) == 2
+
+
+@pytest.mark.parametrize("block", [1024, 12])
+def test_large_groups_lose_no_link(spark, tmp_path, monkeypatch, block):
+    """Groups of drifting copies far over SMALL: connected as by comparing all pairs, whatever the estimates' order."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(12)
+    vocab, texts = [f"u{i}" for i in range(400)], []
+    for _ in range(4):
+        base = rng.choices(vocab, k=200)
+        for _ in range(45):
+            words = list(base)
+            for _ in range(rng.randint(1, 9)):  # around 0.8 of each other
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in deduplicate(docs, near_copies=True).collect()}
+    assert kept == set(_brute_groups(texts))
