@@ -4,12 +4,18 @@ A text becomes a row of tokens: numbers, names (runs of capitalised words inside
 are replaced by typed placeholders, the rest is lower-cased words. Windows of `WINDOW` tokens of every item are hashed
 and joined to the windows of every document. A document holds an item when at least `CONTAINED` of the item's windows
 occur in it in places where slots are consistent: along one alignment (the same shift between document and item) each
-value of an item's slot stands for one value throughout. So a question whose numbers, names or units were changed is
-caught with its exact copies, while texts that merely share a phrase, or fill slots at random, stay.
-
-Items shorter than a window are one window of their own length. Null and empty texts have no windows; null doc_id or
-item_id: the row is left out of search(), and its document kept by decontaminate(). Rows with equal doc_id count as one
-document, rows with equal item_id as one item. Empty tables give no finds. Extra columns are ignored.
+value of an item's slot stands for one value throughout, and two names never become one (numbers may coincide). So a
+question whose numbers, names or units were changed is caught with its exact copies, while texts that merely share a
+phrase, or fill slots at random, stay.
+
+In texts that are set in capitals or in Title Case, where capitals tell no names, all words count as lower-case. Items
+are sought in two forms, with their names as slots and with all words lower-cased, and found by either.
+
+Items shorter than a window are one window of their own length. Texts are told apart by their 64-bit hash: equal texts
+count once. Null and empty texts have no windows. search() leaves out rows without doc_id, and of several texts under
+one doc_id reports the one that holds most of an item; decontaminate() decides by text, whatever the id. A null item_id
+leaves the item out; rows with equal item_id are one item. Empty tables give no finds. Other columns, whatever their
+names, pass through decontaminate() and are ignored by search().
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, park
+from .common import let, park, unpark
 
 WINDOW, CONTAINED = 5, 0.8
 #: Item windows up to this many are broadcast (16 bytes each and overhead: under 100 MB); beyond, the join shuffles.
@@ -37,9 +43,14 @@ _WORD = "\\p{L}\\p{N}"
 _NUMBER = f"(?:{JOIN}?\\p{{N}})*+"
 
 
+def uncased(text: Column) -> Column:
+    """`text`, lower-cased where most words begin with a capital."""
+    return F.when(F.regexp_count(text, F.lit(r"\s\p{Lu}")) > F.regexp_count(text, F.lit(r"\s\p{Ll}")), F.lower(text)).otherwise(text)
+
+
 def tokens(text: Column, values: bool) -> Column:
     """The canonical tokens of `text`; with `values`, a placeholder is followed by what it stands for."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUM}{NAME}{UNIT}{JOIN}]", " ")
+    t = F.regexp_replace(F.coalesce(uncased(text), F.lit("")), f"[{NUM}{NAME}{UNIT}{JOIN}]", " ")
     t = F.regexp_replace(t, r"[.,:/](?<=\p{N}.)(?=\p{N})", JOIN)
     # Names are capitalised words after a word or comma in the same sentence; neighbours make one name.
     t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^.!?:\s]\s\p{{Lu}})\p{{Ll}}+(?![{_WORD}])", f" {NAME}$0 ")
@@ -57,12 +68,12 @@ def _windows(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), at)).otherwise(F.array().cast("array<long>"))
 
 
-def _hashes(rows: DataFrame, key: str, size: int) -> DataFrame:
+def _hashes(rows: DataFrame, size: int) -> DataFrame:
     """(key, hash) of every window, in compiled code: one row per place, no lambda. The outer explode keeps the optimizer from testing the tokens for emptiness first, which would compute them twice."""
-    words = rows.select(key, tokens(F.col("text"), False).alias("w"))
+    words = rows.select("key", tokens(F.col("text"), False).alias("w"))
     places = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))
-    placed = words.select(key, "w", F.explode_outer(places).alias("at")).where("at is not null")
-    return placed.select(key, F.xxhash64(*(F.col("w")[F.col("at") + k] for k in range(size))).alias("hash"))
+    placed = words.select("key", "w", F.explode_outer(places).alias("at")).where("at is not null")
+    return placed.select("key", F.xxhash64(*(F.col("w")[F.col("at") + k] for k in range(size))).alias("hash"))
 
 
 def _slots(plain: Column, full: Column, size: int) -> Column:
@@ -81,60 +92,90 @@ def _strip(full: Column) -> Column:
     return F.when(marked.isin(NUM, NAME, UNIT), marked).otherwise(full)
 
 
-def _with_values(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, at, hash, slots) of every window."""
-    full = rows.select(key, tokens(F.col("text"), True).alias("full"))
-    both = full.select(key, let(F.col("full"), lambda f: F.struct(F.transform(f, _strip).alias("plain"), f.alias("full"))).alias("t"))
-    zipped = both.select(key, F.posexplode(F.arrays_zip(_windows(F.col("t.plain"), size).alias("hash"), _slots(F.col("t.plain"), F.col("t.full"), size).alias("slots"))).alias("at", "w"))
-    return zipped.select(key, "at", "w.hash", "w.slots")
+def _with_values(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, at, hash, slots) of every window."""
+    full = rows.select(*keys, tokens(F.col("text"), True).alias("full"))
+    both = full.select(*keys, let(F.col("full"), lambda f: F.struct(F.transform(f, _strip).alias("plain"), f.alias("full"))).alias("t"))
+    zipped = both.select(*keys, F.posexplode(F.arrays_zip(_windows(F.col("t.plain"), size).alias("hash"), _slots(F.col("t.plain"), F.col("t.full"), size).alias("slots"))).alias("at", "w"))
+    return zipped.select(*keys, "at", "w.hash", "w.slots")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, n_windows, size, item_at, hash, item_slots), one row per window of every item."""
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text")
+    """(item_id, form, n_windows, size, item_at, hash, item_slots), one row per window of every item and form."""
+    rows = items.where("item_id is not null and text is not null").select("item_id", F.posexplode(F.array(F.col("text"), F.lower("text"))).alias("form", "text"))
     sized = rows.withColumn("size", F.least(F.size(tokens(F.col("text"), False)), F.lit(WINDOW)))
     parts = []
     for size in range(1, WINDOW + 1):
-        own = _with_values(sized.where(F.col("size") == size), "item_id", size)
-        parts.append(own.select("item_id", F.lit(size).alias("size"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")))
+        own = _with_values(sized.where(F.col("size") == size), ["item_id", "form"], size)
+        parts.append(own.select("item_id", "form", F.lit(size).alias("size"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
-    counts = every.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
-    return every.join(counts, "item_id")
+    counts = every.groupBy("item_id", "form").agg(F.countDistinct("hash").alias("n_windows"))
+    return every.join(counts, ["item_id", "form"])
 
 
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The (doc_id, item_id) finds: the item's windows, those found, their share, and whether slots were refilled."""
+FOUND = "key long, item_id {item}, n_windows long, n_found long, refilled boolean"
+ITEM = ["item_id", "form", "n_windows"]
+
+
+def search_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """The (key, item_id) finds of texts (key long, text), each by the item's form that is held best."""
     bench = park(item_windows(items), "item-windows")
     sizes = bench.groupBy("size").agg(F.count("*").alias("n")).collect()  # five rows at most
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     small = sum(r["n"] for r in sizes) <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
-    finds = None
+    finds, spent = None, [bench]
     for size in sorted(r["size"] for r in sizes):
         own = bench.where(F.col("size") == size)
-        hashes = own.select("hash", "item_id", "n_windows").distinct()
+        hashes = own.select("hash", *ITEM).distinct()
         # First by hash alone: no values, no alignment, and little else than the texts is read.
-        met = _hashes(texts, "doc_id", size).join(hint(hashes), "hash")
-        near = met.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("hash").alias("n")).where(F.col("n") >= CONTAINED * F.col("n_windows"))
-        near = park(near.select("doc_id", "item_id"), "near")
-        # Then the few documents left, with values and alignment.
-        again = _with_values(texts.join(near.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", size)
-        pairs = again.join(hint(own), "hash").join(near, ["doc_id", "item_id"], "left_semi").withColumn("shift", F.col("at") - F.col("item_at"))
-        slots = pairs.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("own"), F.col("slots").alias("found"))).alias("v"))
-        given = slots.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("v.own").alias("values"), F.countDistinct("v.own", "v.found").alias("fills"), F.max(F.col("v.own") != F.col("v.found")).alias("refilled"))
-        held = pairs.select("doc_id", "item_id", "n_windows", "shift", "hash").join(given, ["doc_id", "item_id", "shift"], "left")
-        held = held.where("values is null or values = fills")
-        found = held.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("hash").alias("n_found"), F.coalesce(F.max("refilled"), F.lit(False)).alias("refilled"))
+        met = _hashes(texts, size).join(hint(hashes), "hash")
+        near = met.groupBy("key", *ITEM).agg(F.countDistinct("hash").alias("n")).where(F.col("n") >= CONTAINED * F.col("n_windows"))
+        near = park(near.select("key", "item_id", "form"), "near")
+        spent.append(near)
+        # Then the few texts left, with values and alignment.
+        again = _with_values(texts.join(near.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), ["key"], size)
+        pairs = again.join(hint(own), "hash").join(near, ["key", "item_id", "form"], "left_semi").withColumn("shift", F.col("at") - F.col("item_at"))
+        slots = pairs.select("key", "item_id", "form", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("own"), F.col("slots").alias("found"))).alias("v"))
+        named = F.col("v.own").startswith(NAME)
+        given = slots.groupBy("key", "item_id", "form", "shift").agg(
+            F.countDistinct("v.own").alias("values"),
+            F.countDistinct("v.own", "v.found").alias("fills"),
+            F.countDistinct(F.when(named, F.col("v.own"))).alias("names"),
+            F.countDistinct(F.when(named, F.col("v.found"))).alias("names_found"),
+            F.max(F.col("v.own") != F.col("v.found")).alias("refilled"),
+        )
+        held = pairs.select("key", *ITEM, "shift", "hash").join(given, ["key", "item_id", "form", "shift"], "left")
+        held = held.where("values is null or (values = fills and names = names_found)")
+        found = held.groupBy("key", *ITEM).agg(F.countDistinct("hash").alias("n_found"), F.coalesce(F.max("refilled"), F.lit(False)).alias("refilled"))
         found = found.where(F.col("n_found") >= CONTAINED * F.col("n_windows"))
         finds = found if finds is None else finds.unionAll(found)
     if finds is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_found long, containment double, refilled boolean")
-    return finds.select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"), "refilled")
+        return texts.sparkSession.createDataFrame([], FOUND.format(item=items.schema["item_id"].dataType.simpleString()))
+    best = F.max_by(F.struct("n_windows", "n_found", "refilled"), F.struct(F.col("n_found") / F.col("n_windows"), -F.col("form")))
+    out = park(finds.groupBy("key", "item_id").agg(best.alias("best")).select("key", "item_id", "best.*"), "finds")
+    for table in spent:
+        unpark(table)
+    return out
+
+
+def _key() -> Column:
+    return F.xxhash64("text")
+
+
+def search(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The (doc_id, item_id) finds: the item's windows, those found, their share, and whether slots were refilled."""
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("key"), "text")
+    finds = search_texts(keyed.select("key", "text"), items)
+    named = keyed.select("doc_id", "key").join(finds, "key")
+    one = named.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_found", "refilled"), F.struct(F.col("n_found") / F.col("n_windows"), ~F.col("refilled"), "key")).alias("f"))
+    return one.select("doc_id", "item_id", "f.n_windows", "f.n_found", (F.col("f.n_found") / F.col("f.n_windows")).alias("containment"), "f.refilled")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item."""
-    gone = park(search(docs, items).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    texts = docs.where("text is not null").select(_key().alias("key"), "text")
+    gone = search_texts(texts, items).select(F.col("key").alias("gone")).distinct()
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.when(F.col("text").isNotNull(), _key()).alias("key"))
+    return boxed.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
