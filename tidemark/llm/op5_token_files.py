@@ -12,7 +12,7 @@ driver. Readers map the files into memory. A task writes under a name of its own
 that runs twice leaves the same files.
 
 Null and empty texts hold the end id alone. Null doc_ids come first. Rows with equal doc_id stay rows of their own,
-ordered by text. An empty table gives no part. Extra columns are ignored.
+ordered by the first 32 bytes of the text, then by its hash, whatever the partitions. An empty table gives no part. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,11 +42,41 @@ MEMORY = 800_000
 _MARKS = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]))([!-&(-/:-@\[-`{-~]+)(?=\s)")
 
 
+#: What splits_words() asks of a tokenizer's description.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def splits_words(config: dict) -> bool:
+    """Whether a tokenizer (its JSON description) lower-cases, drops white space and splits as WordTokens supposes."""
+    before, model = config["pre_tokenizer"] or {}, config["model"]
+    parts = before.get("pretokenizers") or [{}]
+    return (
+        (config["normalizer"] or {}).get("normalizers") == _NORMAL
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and parts[0]["pattern"] == {"Regex": _SPLIT}
+        and (parts[0]["behavior"], parts[0]["invert"]) == ("Removed", True)
+        and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"])
+        and (model["type"], model["dropout"]) == ("BPE", None)
+        and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in config["added_tokens"])
+        and not (config["truncation"] or config["padding"])
+    )
+
+
+def id_type(path: str, end_id: int) -> str:
+    """The narrowest type that holds every id of the vocabulary, and the end id."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    return "<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4"
+
+
 class WordTokens:
     """A tokenizer whose pre-tokens never span white space or go from a letter to a mark, with the ids of words remembered.
 
     White space ends every pre-token, and so does a mark after a letter: a text's ids are the ids of its parts in a
-    row. Letters A-Z count as a-z before anything else, but for texts that may name a special token.
+    row. Letters A-Z count as a-z before anything else, but for texts that may name a special token. That holds for
+    tokenizers that say so themselves (`splits_words`); with any other, whole texts are encoded.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -54,9 +84,13 @@ class WordTokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.by_word = splits_words(json.loads(self.tokenizer.to_str()))
 
     def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text, as bytes of `dtype`, with `end` after them."""
+        if not self.by_word:
+            encoded = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype).tobytes() + end for e in encoded]
         known = self.known
         words = [(t if b"<|" in t else _MARKS.sub(rb" \1", t.lower())).split() for t in texts]
         if len(known) > MEMORY:
@@ -83,11 +117,13 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_parts(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, dtype: str = "<u2", parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def write_parts(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, dtype: str | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the files of `docs` to `folder` and return its manifest: each part's name, documents, ids and base."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    by = ["doc_id", F.xxhash64("text")]
-    dealt = (rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).sortWithinPartitions("doc_id", "text")
+    dtype = dtype or id_type(vocabulary, end_id)
+    # The same order within and across parts, so that starts depend on no partitioning; beginnings stand in for texts in the sampled bounds.
+    by = ["doc_id", F.substring("text", 1, 32), F.xxhash64("text")]
+    dealt = (rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).sortWithinPartitions(*by, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(folder)
