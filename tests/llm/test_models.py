@@ -44,7 +44,7 @@ def test_parser_equals_substring_search():
 def test_language(spark):
     rows = [(i, prose(k, rng.randint(5, 80)), k if i % 9 else None, "x") for i, k in enumerate(random.Random(1).choices(sorted(SYLLABLES), k=240))]
     truth = {i: k for i, k in enumerate(random.Random(1).choices(sorted(SYLLABLES), k=240))}
-    odd = [(900, None, "aa", "x"), (901, "", "aa", "x"), (902, "123 $$$", "bb", "x"), (None, prose("cc", 9), "cc", "x"), (3, prose("aa", 9), "aa", "x")]
+    odd = [(900, None, "aa", "x"), (901, "", "aa", "x"), (902, "123 $$$", "bb", "x"), (903, "½ ² Ⅷ 五 _", "bb", "x"), (904, "½ ²", "aa", "x"), (905, "12 ka", "aa", "x"), (None, prose("cc", 9), "cc", "x"), (3, prose("aa", 9), "aa", "x")]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string")
     got = G.predict(df).collect()
     assert len(got) == len(rows) + len(odd)
@@ -52,7 +52,8 @@ def test_language(spark):
     mine = [r for r in got if r.doc_id is not None and r.doc_id < 240 and r.doc_id != 3]
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in mine]) > 0.98
     assert all(0 <= r.score <= 1 for r in got)
-    assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"}
+    assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902, 904)} == {"und"}
+    assert "und" not in {r.lang_pred for r in got if r.doc_id in (903, 905)}  # 五 is a letter as well as a number
     blind = df.withColumn("lang", df.lang.substr(9, 1)).where("false")
     assert G.predict(blind).count() == 0
     from pyspark.sql import functions as F
@@ -202,3 +203,8 @@ def test_noisy_or_of_documents_equals_a_plain_one(spark):
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in found]
         assert [p for *_, p in got] == pytest.approx([p for *_, p in found])
         assert model.score(got) == pytest.approx(1 / (1 + math.exp(-(1.3 * math.log(evidence + 1e-3) + 0.2))))
+
+
+def test_samples_take_part_of_every_text():
+    assert G.shares([5, 100, 100], 65) == [5, 30, 30] and G.shares([], 9) == [] and G.shares([3, 4], 100) == [3, 4]
+    assert G.normal("Ab½c 3d² Ⅷ") == b"ab c d "

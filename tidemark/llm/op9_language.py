@@ -6,11 +6,12 @@ over n bytes and m bytes of labelled text, the cross entropy is c * log2(m) / n
 fewest bits wins, the alphabetically first of equals. Texts are lower-cased, their
 letters and blanks read as UTF-8 bytes, so the automata's tables are at most 256 wide whatever the script.
 
-The labelled text of a language is a bounded sample: from the `SAMPLE_DOCS` training rows that come first by a hash of
-their id, `SAMPLE_BYTES` bytes. Every document is parsed whole; a batch's documents go through the automata side by
+The labelled text of a language is a bounded sample: of the `SAMPLE_DOCS` training rows that come first by a hash of
+their id, all give an equal part of `SAMPLE_BYTES` bytes, or their whole text where that is less (what short texts leave
+over goes to the longer ones). Every document is parsed whole; a batch's documents go through the automata side by
 side, one byte a step.
 
-Null text, or text without a letter: `und`, score 0. No labelled row at all: `und` throughout. Rows with equal or null
+Null text, or text without a letter (in Unicode's sense: numerals are none): `und`, score 0. No labelled row at all: `und` throughout. Rows with equal or null
 doc_id stay rows of their own; null ids aren't trained on. An empty table gives an empty result.
 """
 
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import doc_bucket
 
-SAMPLE_DOCS, DOC_BYTES, SAMPLE_BYTES = 64, 4096, 1 << 15
+SAMPLE_DOCS, SAMPLE_BYTES = 64, 1 << 15
 FOLDS, HELD_OUT = 3, 1
 #: How sharply a difference in bits a byte tells in the score.
 SHARPNESS = 4.0
-_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -122,7 +123,24 @@ class Parser:
 
 def normal(text: str) -> bytes:
     """Lower-case letters with single blanks for everything else, as UTF-8."""
-    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
+    low = text.lower()
+    if not low.isascii():
+        low = low.translate({ord(c): " " for c in set(low) if c.isnumeric() and not c.isalpha()})
+    return _OTHER.sub(" ", low).encode("utf-8", "replace")
+
+
+def lettered(text: str) -> bool:
+    """Whether `text` has a letter. (A word that is no number has one; else its characters are looked at.)"""
+    return any(map(str.isalpha, text.split())) or any(map(str.isalpha, text))
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """`total` dealt evenly, to none more than its size."""
+    out, left, many = [0] * len(sizes), total, len(sizes)
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        out[i] = min(sizes[i], left // many)
+        left, many = left - out[i], many - 1
+    return out
 
 
 def sample(docs: DataFrame, allowed) -> dict[str, bytes]:
@@ -130,14 +148,14 @@ def sample(docs: DataFrame, allowed) -> dict[str, bytes]:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id").distinct()
-    # At most SAMPLE_DOCS ids a language: small enough to broadcast and to collect with bounded pieces of text.
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_BYTES).alias("text")).collect()
+    # At most SAMPLE_DOCS ids a language: small enough to broadcast, and to collect SAMPLE_BYTES characters of each, which is all that one could give.
+    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"])):
         own = texts.setdefault(r["lang"], [])
         if (piece := normal(r["text"])) not in own:
             own.append(piece)
-    return {k: b"\n".join(v)[:SAMPLE_BYTES] for k, v in texts.items() if any(v)}
+    return {k: b"\n".join(t[:n] for t, n in zip(v, shares(list(map(len, v)), SAMPLE_BYTES - len(v)), strict=True)) for k, v in texts.items() if any(v)}
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -152,10 +170,10 @@ def predict(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-                lettered = [_LETTER.search(t) is not None for t in texts]
-                langs, scores = parser.predict([normal(t) if ok else b"" for t, ok in zip(texts, lettered, strict=True)])
-                langs = [x if ok else "und" for x, ok in zip(langs, lettered, strict=True)]
-                scores = [x if ok else 0.0 for x, ok in zip(scores, lettered, strict=True)]
+                known = list(map(lettered, texts))
+                langs, scores = parser.predict([normal(t) if ok else b"" for t, ok in zip(texts, known, strict=True)])
+                langs = [x if ok else "und" for x, ok in zip(langs, known, strict=True)]
+                scores = [x if ok else 0.0 for x, ok in zip(scores, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
