@@ -51,7 +51,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     comp = brute_components([r[0] for r in left], prints)
     stay = {r[0] for r, c in zip(left, comp, strict=True) if r[0] is None or c == r[0]}
     assert {r.doc_id for r in out["near_duplicates"]} == stay and 8 in stay and not {9, 10} & stay
-    held = {d for d, _, _ in brute_items([(r[0], r[1]) for r in rows if r[0] in stay], items)}
+    held = {d for d, *_ in brute_items([(r[0], r[1]) for r in rows if r[0] in stay], items)}
     assert held == {11} and {r.doc_id for r in out["decontamination"]} == stay - held
     clean = {r.doc_id: r for r in out["personal_data"]}
     assert set(clean) == stay - held

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from . import (
     op8_quality_classifier,
     op9_language,
     op10_toxicity,
+    pipeline,
 )
 from .common import table, tokenizer_path
 
@@ -65,7 +65,7 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_piece_samples": op1_query,
     "op2_licenses": op2_query,
     "op3_pii": op3_query,
