@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, let, park, unpark
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-SUBSET, LEAST_CELL, STARTS, FINE = 0.75, 50, 4, 1024
+SUBSET, LEAST_CELL, STARTS, FINE = 0.75, 50, 4, 64
 #: Estimates up to this many cells are broadcast (about 500 bytes a cell and start); beyond, keys are salted this many ways.
 BROADCAST_CELLS, SALTS = 20_000, 32
 #: Steps of a value in which medians and quartiles are found.
@@ -182,30 +182,40 @@ def starts(rows: DataFrame, middle: DataFrame, few: bool) -> DataFrame:
     return _factored(got, cov).select("cell", "start", *(f"c{i}" for i in range(K)), *means, *(f"l{i}{j}" for i, j in LOWER))
 
 
-def _estimate(kept: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """(keys, c*, m*, l*, log_det) of the rows of each key; sums are taken about c*, which keeps their digits."""
-    got = kept.groupBy(*keys).agg(*_sums([F.col(f) - F.col(f"c{i}") for i, f in enumerate(FEATURES)]), *(F.min(f"c{i}").alias(f"c{i}") for i in range(K)))
+def _from_sums(got: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """(keys, c*, m*, l*, log_det) from the mean differences a* from c*, and their mean products p*."""
     got = _factored(got, lambda i, j: scale * (F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")))
     means = [(F.col(f"a{i}") + F.col(f"c{i}")).alias(f"m{i}") for i in range(K)]
     return got.select(*keys, *(f"c{i}" for i in range(K)), *means, *(f"l{i}{j}" for i, j in LOWER), "log_det")
 
 
+def _estimate(kept: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """The same of the rows of each key; sums are taken about c*, which keeps their digits."""
+    got = kept.groupBy(*keys).agg(*_sums([F.col(f) - F.col(f"c{i}") for i, f in enumerate(FEATURES)]), *(F.min(f"c{i}").alias(f"c{i}") for i in range(K)))
+    return _from_sums(got, keys, scale)
+
+
 MODEL = [f"c{i}" for i in range(K)] + [f"m{i}" for i in range(K)] + [f"l{i}{j}" for i, j in LOWER]
 
 
 def concentrate(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
-    """The estimates after one concentration step from each of `model` (cell, start, ...)."""
+    """The estimates after one concentration step from each of `model` (cell, start, ...).
+
+    One pass: sums per distance bin, added up from the nearest bin to the one that completes the subset.
+    """
     own = model.groupBy("cell").agg(F.collect_list(F.struct("start", *MODEL)).alias("models"))
     each = meet(rows, own, few).select("cell", *FEATURES, F.explode("models").alias("e"))
     d2 = distance([F.col(f) for f in FEATURES], lambda c: F.col("e." + c))
-    binned = each.select("cell", F.col("e.start").alias("start"), *FEATURES, *(F.col(f"e.c{i}").alias(f"c{i}") for i in range(K)), F.floor(F.log2(d2 + 1e-9) * FINE).cast("int").alias("bin"))
-    counts = binned.groupBy("cell", "start", "bin").count()
-    of_one = Window.partitionBy("cell", "start")
-    ranked = counts.select("cell", "start", "bin", F.sum("count").over(of_one.orderBy("bin")).alias("upto"), F.sum("count").over(of_one).alias("n"))
-    limits = ranked.where(F.col("upto") >= SUBSET * F.col("n")).groupBy("cell", "start").agg(F.min("bin").alias("limit"))
-    limits = park(limits.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("start", "limit"))).alias("limits")), "limits")
-    kept = meet(binned, limits, few).where(F.col("bin") <= F.col("limits")[F.col("start")])
-    return _estimate(kept, ["cell", "start"], CONSISTENCY), limits
+    apart = [(F.col(f) - F.col(f"e.c{i}")).alias(f"d{i}") for i, f in enumerate(FEATURES)]
+    binned = each.select("cell", F.col("e.start").alias("start"), *apart, *(F.col(f"e.c{i}").alias(f"c{i}") for i in range(K)), F.floor(F.log2(d2 + 1e-9) * FINE).cast("int").alias("bin"))
+    sums = {f"a{i}": F.sum(f"d{i}") for i in range(K)} | {f"p{i}{j}": F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i, j in LOWER}
+    of_bin = binned.groupBy("cell", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in sums.items()), *(F.min(f"c{i}").alias(f"c{i}") for i in range(K)))
+    one = Window.partitionBy("cell", "start")
+    upto = one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    added = of_bin.select("cell", "start", *(f"c{i}" for i in range(K)), "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(one).alias("all"), *(F.sum(k).over(upto).alias(k) for k in sums))
+    need = SUBSET * F.col("all")
+    last = added.where((F.col("upto") >= need) & (F.col("upto") - F.col("n") < need)).withColumns({k: F.col(k) / F.col("upto") for k in sums})
+    return _from_sums(last, ["cell", "start"], CONSISTENCY)
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, bool]:
@@ -226,10 +236,10 @@ def fit(stats: DataFrame) -> tuple[DataFrame, bool]:
     active = park(starts(every, middle, few).withColumn("log_det", F.lit(float("inf"))), "starts")
     ready, spent = None, [middle, large]
     while not active.isEmpty():
-        got, limits = concentrate(every, active, few)
+        got = concentrate(every, active, few)
         better = got.select("cell", "start", F.struct(*MODEL, "log_det").alias("new"))
         both = park(active.join(better, ["cell", "start"]).withColumn("fell", F.col("new.log_det") < F.col("log_det") - 1e-9), "steps")
-        spent += [active, limits, both]
+        spent += [active, both]
         stopped = both.where(~F.col("fell")).select("cell", "start", *MODEL, "log_det")
         ready = stopped if ready is None else ready.unionByName(stopped)
         active = both.where("fell").select("cell", "start", "new.*")
