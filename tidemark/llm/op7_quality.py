@@ -41,7 +41,7 @@ CONSISTENCY = 1.485
 #: chi2_4's 97.5 % point, and the consistency of the rows within it.
 REWEIGHT_AT, REWEIGHT_CONSISTENCY = 11.143, 1.057
 FEATURES = ("f0", "f1", "f2", "f3")
-FLOORS = (0.35, 0.05, 0.1, 0.1)
+FLOORS = (0.35, 0.04, 0.1, 0.1)
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = "#*$%&|<>"
 
