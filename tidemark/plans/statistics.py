@@ -8,6 +8,7 @@ from ..functions import scalar
 from ..operators import summary
 from ..registry import register
 from ..stats import diagnostics, forecast, ols
+from . import sql
 from .base import CHANGES_SQL, SERIES_SQL, day_text, modelling, r6
 from .base import series as base_series
 
@@ -42,7 +43,14 @@ def ols_hac(spark, sf_dir):
     return plain.join(take(True).select("asset", F.col("se").alias("corrected")), "asset").select("asset", r6("coefficient", "slope"), r6("plain", "se_plain"), r6("corrected", "se_corrected"))
 
 
-@register("model_suite")
+def _r6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+
+
+@register(
+    "model_suite",
+    f"WITH {sql.SUITE}, o AS (SELECT *, {sql.normal_two_sided('z')} AS p_value, coefficient - 1.959963984540054 * se AS ci_low, coefficient + 1.959963984540054 * se AS ci_high, r2 - max(r2) FILTER (model = 'M0') OVER (PARTITION BY asset) AS incremental_r2 FROM fitted) SELECT asset, model, parameter, CAST(n AS BIGINT) AS n, {_r6('coefficient', 'se', 'p_value', 'ci_low', 'ci_high', 'r2', 'incremental_r2')}, {sql.stars('p_value')} AS stars FROM o",
+)
 def model_suite(spark, sf_dir):
     """Nested models on one common sample with HAC errors, stars and incremental fit."""
     out = ols.suite(modelling(spark, sf_dir), "ret", MODELS, ["asset"], lags=7)
@@ -100,14 +108,36 @@ def breusch_pagan(spark, sf_dir):
     return diagnostics.breusch_pagan(res, ["ret_lag"], ["asset"]).where("test = 'Breusch-Pagan'").select("asset", F.round("statistic", 4).alias("lm"))
 
 
-@register("residual_tests")
+def _test_rows(label: str, name: str, degrees: str, with_f: bool = True) -> str:
+    lm = f"SELECT asset, '{label}' AS test, n * r2 AS statistic, {degrees}::DOUBLE AS df, {sql.chi2_upper('(n * r2)', f'{degrees}::DOUBLE')} AS p_value FROM {name}"
+    fs = f"SELECT asset, '{label} F', r2 / k / ((1 - r2) / (n - k - 1)), k, {sql.f_upper('(r2 / k / ((1 - r2) / (n - k - 1)))', 'k', '(n - k - 1)')} FROM {name}"
+    return f"{lm} UNION ALL {fs}"
+
+
+_BEFORE = ", ".join(f"coalesce(lag(u, {k}) OVER (PARTITION BY asset ORDER BY day), 0) AS l{k}" for k in LAGS)
+RESIDUAL_TESTS_SQL = f"""WITH {sql.SUITE}, res AS (SELECT asset, day, x1, x2, u1 AS u, u1 * u1 AS uu FROM e), lags AS (SELECT *, {_BEFORE} FROM res),
+{sql.r_squared("bp", "res", "uu", ["x1", "x2"])}, {sql.r_squared("wh", "res", "uu", ["x1", "x2", "x1 * x1", "x1 * x2", "x2 * x2"])},
+{", ".join(sql.r_squared(f"bg{m}", "lags", "u", ["x1", "x2", *(f"l{k}" for k in range(1, m + 1))]) for m in (1, 3, 7))},
+cen AS (SELECT asset, day, u - avg(u) OVER (PARTITION BY asset) AS u FROM res),
+lb AS (SELECT asset, k, u, lag(u, k) OVER (PARTITION BY asset, k ORDER BY day) AS p FROM cen, (SELECT unnest(range(1, 31)) AS k)),
+ac AS (SELECT asset, k, count(*)::DOUBLE AS n, coalesce(sum(u * p), 0) / sum(u * u) AS r FROM lb GROUP BY 1, 2),
+q AS (SELECT asset, m, max(n) * (max(n) + 2) * sum(r * r / (n - k)) AS q FROM ac, (SELECT unnest([1, 3, 7, 14, 30]) AS m) WHERE k <= m GROUP BY 1, 2),
+jb AS (SELECT asset, n / 6 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4) AS jb FROM (SELECT asset, count(*)::DOUBLE AS n, avg(u ** 2) AS m2, avg(u ** 3) AS m3, avg(u ** 4) AS m4 FROM cen GROUP BY 1)),
+tests AS ({_test_rows("Breusch-Pagan", "bp", "2")} UNION ALL {_test_rows("White", "wh", "5")} UNION ALL {" UNION ALL ".join(_test_rows(f"Breusch-Godfrey {m}", f"bg{m}", str(m)) for m in (1, 3, 7))}
+ UNION ALL SELECT asset, 'Ljung-Box ' || m, q, m::DOUBLE, {sql.chi2_upper("q", "m::DOUBLE")} FROM q UNION ALL SELECT asset, 'Jarque-Bera', jb, 2.0, exp(-jb / 2) FROM jb)"""
+
+
+@register("residual_tests", RESIDUAL_TESTS_SQL + f" SELECT asset, test, round(statistic, 4) AS statistic, df, round(p_value, 6) + 0.0 AS p_value, {sql.stars('p_value')} AS label FROM tests")
 def residual_tests(spark, sf_dir):
     """Breusch-Pagan, White, Breusch-Godfrey, Ljung-Box and Jarque-Bera of the larger model."""
     out = diagnostics.all_tests(modelling(spark, sf_dir), "ret", XS, ["asset"], "day")
     return out.select("asset", "test", F.round("statistic", 4).alias("statistic"), "df", r6("p_value"), "label")
 
 
-@register("compare_inference")
+@register(
+    "compare_inference",
+    f"WITH {sql.SUITE}, o AS (SELECT asset, parameter, sqrt(ssr / (n - p) * inverse) AS se_ols, sqrt(hac) AS se_hac, coefficient AS b, (n - p) AS v FROM suite WHERE model = 'M1'), t AS (SELECT *, {sql.t_two_sided('(b / se_ols)', 'v')} AS p_ols, {sql.t_two_sided('(b / se_hac)', 'v')} AS p_hac, se_hac / se_ols AS se_ratio FROM o) SELECT asset, parameter, {_r6('se_ols', 'se_hac', 'se_ratio', 'p_ols', 'p_hac')}, (p_ols < 0.05) <> (p_hac < 0.05) AS verdict_changes FROM t",
+)
 def compare_inference(spark, sf_dir):
     out = diagnostics.compare_inference(modelling(spark, sf_dir), "ret", XS, ["asset"], "day")
     return out.select("asset", "parameter", *(r6(c) for c in ("se_ols", "se_hac", "se_ratio", "p_ols", "p_hac")), "verdict_changes")
@@ -159,7 +189,14 @@ def diebold_mariano(spark, sf_dir):
     return forecast.diebold_mariano(_pairs(spark, sf_dir), ["asset"], "day").select("asset", "n", F.round("mean", 8).alias("mean"), F.round("z", 4).alias("z"))
 
 
-@register("forecast_tests")
+def _z_sql(d: str, correction: bool) -> str:
+    return f"(SELECT asset, avg(d) / sqrt(({sql.HAC}) / count(*) / (count(*) - {int(correction)})) AS z FROM (SELECT *, {sql.LAGGED} FROM (SELECT asset, day, d, d - avg(d) OVER (PARTITION BY asset) AS s FROM (SELECT asset, day, {d} AS d FROM p)) WINDOW w AS (PARTITION BY asset ORDER BY day)) GROUP BY 1)"
+
+
+@register(
+    "forecast_tests",
+    FORECAST_SQL + f", t AS (SELECT c.asset, c.z AS cw_z, {sql.normal_upper('c.z')} AS cw_p, m.z AS dm_z, {sql.normal_two_sided('m.z')} AS dm_p FROM {_z_sql('e0 * e0 - (e1 * e1 - (f0 - f1) ** 2)', True)} c JOIN {_z_sql('abs(e0) - abs(e1)', False)} m USING (asset)), b AS (SELECT asset, sum(e1 * e1) < sum(e0 * e0) AS better FROM p GROUP BY 1) SELECT asset, {_r6('cw_z', 'cw_p', 'dm_z', 'dm_p')}, better, CASE WHEN better AND cw_p < 0.05 THEN 'Supported' ELSE 'Not supported' END AS verdict FROM t JOIN b USING (asset)",
+)
 def forecast_tests(spark, sf_dir):
     """Both tests with p-values and the decision rule."""
     pairs = _pairs(spark, sf_dir)
@@ -194,7 +231,13 @@ def rolling_models(spark, sf_dir):
     return out.select("asset", day_text("window_end"), "parameter", r6("coefficient"), "n")
 
 
-@register("stability")
+ROLLED_SQL = f"WITH {CHANGES_SQL}, s AS (SELECT asset, day, ret AS y, ret_lag AS x, row_number() OVER (PARTITION BY asset ORDER BY day) AS rn FROM r WHERE ret IS NOT NULL AND ret_lag IS NOT NULL), g AS (SELECT asset, day, rn, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM s WINDOW w AS (PARTITION BY asset ORDER BY day ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)), k AS (SELECT * FROM g WHERE rn >= 365 AND (rn - 365) % 7 = 0 AND n >= 330), w AS (SELECT asset, 'ret_lag' AS parameter, b AS coefficient FROM k UNION ALL SELECT asset, 'const', a FROM k), h AS (SELECT asset, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s GROUP BY 1), f AS (SELECT asset, 'ret_lag' AS parameter, b AS full_sample FROM h UNION ALL SELECT asset, 'const', a FROM h)"
+
+
+@register(
+    "stability",
+    ROLLED_SQL + f", m AS (SELECT asset, parameter, count(*) AS n_windows, avg(coefficient) AS mean, quantile_cont(coefficient, 0.5) AS median, min(coefficient) AS minimum, max(coefficient) AS maximum, stddev_samp(coefficient) AS std, avg(CASE WHEN sign(coefficient) = sign(full_sample) THEN 1.0 ELSE 0.0 END) AS share_agreeing FROM w JOIN f USING (asset, parameter) GROUP BY 1, 2) SELECT asset, parameter, n_windows, {_r6('mean', 'median', 'minimum', 'maximum', 'std', 'share_agreeing')} FROM m",
+)
 def stability(spark, sf_dir):
     """Spread and signs of the rolling coefficients against the full sample's."""
     rows = modelling(spark, sf_dir)
@@ -226,7 +269,16 @@ def extreme_sensitivity(spark, sf_dir):
     return both.select("asset", F.col("n0").alias("n"), F.col("n1").alias("n_kept"), r6("b0", "slope_all"), r6("b1", "slope_kept"))
 
 
-@register("pooled_model")
+POOLED_SQL = f"""{ONE}, t AS (SELECT asset, day, n, a, b, mx, u / sxx * (x - mx) AS s_slope, (1 / n - mx * (x - mx) / sxx) * u AS s_const FROM u JOIN (SELECT asset, a, b FROM g) USING (asset) WHERE asset IN ('A', 'N')),
+infl AS (SELECT day, 'const' AS parameter, s_const AS s FROM t WHERE asset = 'A' UNION ALL SELECT day, 'ret_lag', s_slope FROM t WHERE asset = 'A'
+ UNION ALL SELECT day, 'is_n', CASE asset WHEN 'N' THEN 1 ELSE -1 END * s_const FROM t UNION ALL SELECT day, 'is_n_x_ret_lag', CASE asset WHEN 'N' THEN 1 ELSE -1 END * s_slope FROM t),
+days AS (SELECT DISTINCT day FROM t), daily AS (SELECT day, parameter, coalesce(sum(s), 0) AS s FROM days CROSS JOIN (SELECT DISTINCT parameter FROM infl) LEFT JOIN infl USING (day, parameter) GROUP BY 1, 2),
+v AS (SELECT parameter, {sql.HAC} AS hac FROM (SELECT *, {sql.LAGGED} FROM daily WINDOW w AS (PARTITION BY parameter ORDER BY day)) GROUP BY 1),
+sizes AS (SELECT count(*) AS n, max(a) FILTER (asset = 'A') AS aa, max(b) FILTER (asset = 'A') AS ba, max(a) FILTER (asset = 'N') AS an, max(b) FILTER (asset = 'N') AS bn FROM t),
+o AS (SELECT parameter, n, CASE parameter WHEN 'const' THEN aa WHEN 'ret_lag' THEN ba WHEN 'is_n' THEN an - aa ELSE bn - ba END AS coefficient, sqrt(hac * n / (n - 4)) AS se FROM v CROSS JOIN sizes)"""
+
+
+@register("pooled_model", POOLED_SQL + f" SELECT parameter, n, {_r6('coefficient', 'se')}, round({sql.normal_two_sided('(coefficient / se)')}, 6) + 0.0 AS p_value, round(coefficient - 1.96 * se, 6) + 0.0 AS ci_low, round(coefficient + 1.96 * se, 6) + 0.0 AS ci_high FROM o")
 def pooled_model(spark, sf_dir):
     """Two assets in one model with every term interacted; errors clustered by day."""
     rows = modelling(spark, sf_dir).where("asset in ('A', 'N')").withColumn("is_n", (F.col("asset") == "N").cast("double"))
@@ -248,7 +300,10 @@ def effect_sizes(spark, sf_dir):
     return out.select("asset", F.round("effect", 8).alias("effect"), r6(scalar.percentage_points("effect"), "pp"), F.round(scalar.basis_points("effect"), 4).alias("bps"), r6(scalar.exact_percent("effect"), "exact_pct"), rank.alias("rank"))
 
 
-@register("publication_table")
+@register(
+    "publication_table",
+    f"WITH {sql.SUITE}, o AS (SELECT *, {sql.normal_two_sided('z')} AS p_value FROM fitted WHERE asset = 'A'), t AS (SELECT model, parameter, 0 AS line, printf('%.4f', coefficient) || {sql.stars('p_value')} AS text FROM o UNION ALL SELECT model, parameter, 1, printf('(%.4f)', se) FROM o UNION SELECT model, 'N', 2, CAST(CAST(n AS BIGINT) AS VARCHAR) FROM o UNION SELECT model, 'R2', 2, printf('%.4f', r2) FROM o) SELECT parameter, line, max(text) FILTER (model = 'M0') AS M0, max(text) FILTER (model = 'M1') AS M1 FROM t GROUP BY 1, 2",
+)
 def publication_table(spark, sf_dir):
     """Parameters by model: coefficient with stars, error below, then N and R2, as text."""
     out = ols.suite(modelling(spark, sf_dir).where("asset = 'A'"), "ret", MODELS, ["asset"], lags=7)
