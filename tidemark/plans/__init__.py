@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import checks, joins, panels, statistics, summaries, texts, windows  # noqa: F401
+from . import checks, joins, models, panels, statistics, summaries, texts, windows  # noqa: F401

@@ -84,3 +84,22 @@ coef AS (SELECT asset, 'M0' AS model, 'ret_lag' AS parameter, b0 AS coefficient,
  UNION ALL SELECT asset, 'M1', 'const', my - b1 * m1 - b2 * m2, 1 / n + (m1 * m1 * sbb - 2 * m1 * m2 * sab + m2 * m2 * saa) / det FROM k),
 suite AS (SELECT asset, model, parameter, coefficient, n, hac, inverse, CASE model WHEN 'M0' THEN 2 ELSE 3 END AS p, CASE model WHEN 'M0' THEN ssr0 ELSE ssr1 END AS ssr, syy FROM coef JOIN v USING (asset, model, parameter) JOIN g USING (asset) JOIN ssr USING (asset)),
 fitted AS (SELECT *, sqrt(hac * n / (n - p)) AS se, 1 - ssr / syy AS r2, coefficient / sqrt(hac * n / (n - p)) AS z FROM suite)"""
+
+
+def last_coefficient(name: str, source: str, y: str, xs: Sequence[str], keys: Sequence[str] = ("asset",)) -> str:
+    """Common table expressions that end in `name`(keys, n, k, r2, coefficient, se, z): the last of `xs`, with HAC errors."""
+    key, k = ", ".join(keys), len(xs)
+    own, last = f"OVER (PARTITION BY {key})", f"x{k - 1}"
+    columns = [f"{e} - avg({e}) {own} AS {c}" for c, e in [("y", y), *((f"x{i}", x) for i, x in enumerate(xs))]]
+    steps = [f"{name}_0 AS (SELECT {key}, day, {', '.join(columns)} FROM {source})"]
+    for j in range(k):
+        rest = [f"x{i} - sum(x{i} * x{j}) {own} / nullif(sum(x{j} * x{j}) {own}, 0) * x{j} AS x{i}" if i > j else f"x{i}" for i in range(k)]
+        steps.append(f"{name}_{j + 1} AS (SELECT {key}, day, y, {', '.join(rest)} FROM {name}_{j})")
+    fitted = " - ".join(f"sum(y * x{i}) {own} / sum(x{i} * x{i}) {own} * x{i}" for i in range(k))
+    steps.append(f"{name}_u AS (SELECT *, y - {fitted} AS u FROM {name}_{k})")
+    steps.append(f"{name}_s AS (SELECT *, {last} / sum({last} * {last}) {own} * u AS s FROM {name}_u)")
+    steps.append(f"{name}_l AS (SELECT *, {LAGGED} FROM {name}_s WINDOW w AS (PARTITION BY {key} ORDER BY day))")
+    steps.append(
+        f"{name} AS (SELECT *, coefficient / se AS z FROM (SELECT {key}, count(*)::DOUBLE AS n, {k}::DOUBLE AS k, 1 - sum(u * u) / sum(y * y) AS r2, sum(y * {last}) / sum({last} * {last}) AS coefficient, sqrt(({HAC}) * count(*) / (count(*) - {k + 1})) AS se FROM {name}_l GROUP BY {key}))"
+    )
+    return ", ".join(steps)

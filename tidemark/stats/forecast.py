@@ -175,6 +175,20 @@ def align_external(own: DataFrame, external: DataFrame, keys: Sequence[str], day
     return both.where(F.abs(F.col("actual") - F.col("__a")) <= tolerance).drop("__a")
 
 
+def compare_external(own: DataFrame, external: DataFrame, keys: Sequence[str], day: str, tolerance: float = 1e-9, level: float = 0.05) -> DataFrame:
+    """Own against outside forecasts on the days both have: sizes, errors, the loss test and the decision.
+
+    The outside forecasts win, lose or make no difference: a two-sided test at `level`, then the lower error.
+    """
+    both = align_external(own, external, keys, day, tolerance)
+    losses = both.select(*keys, day, F.pow(F.col("actual") - F.col("forecast"), 2).alias("own_loss"), F.pow(F.col("actual") - F.col("external_forecast"), 2).alias("external_loss"))
+    losses = losses.withColumn("squared", F.col("own_loss") - F.col("external_loss"))
+    tests = diebold_mariano(losses, keys, day).select(*keys, "z", "p_value")
+    sizes = losses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("own_loss")).alias("rmse_own"), F.sqrt(F.avg("external_loss")).alias("rmse_external"))
+    decision = F.when(F.coalesce(F.col("p_value") >= level, F.lit(True)), "no difference").when(F.col("rmse_external") < F.col("rmse_own"), "external better").otherwise("own better")
+    return sizes.join(tests, list(keys)).withColumn("decision", decision)
+
+
 def template(forecasts: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     """An empty form for others to fill: keys, day, actual, forecast null."""
     return forecasts.select(*keys, day, "actual", F.lit(None).cast("double").alias("forecast")).distinct()
