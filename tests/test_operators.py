@@ -119,6 +119,33 @@ def test_clean_text(spark):
         assert r.n == sum(c.isalpha() for c in POSTS[r.i] or "")
 
 
+def test_entities_are_those_of_html(spark):
+    """Every named entity, with and without its semicolon, and numeric ones of every kind, as Python's html reads them."""
+    from html.entities import html5
+
+    texts = [f"a&{name} b&{name.rstrip(';')}c" for name in html5]
+    texts += [f"&#{n};&#{n}x" for n in (0, 1, 9, 11, 13, 31, 65, 127, 128, 129, 150, 159, 160, 233, 55296, 57343, 64976, 65534, 65535, 65536, 128512, 131071, 1114111, 1114112, 99999999999, 4294967361)]
+    texts += [f"&#x{n};&#X{n}g" for n in ("0", "41", "80", "e9", "D800", "1F600", "10FFFF", "110000", "100000041", "00000041")]
+    texts += ["&", "&&", "&;", "&#;", "&#x;", "&#xg", "& amp;", "&notit;", "&amp;lt;", "&nosuch;", "x&lt", "&" + "a" * 40 + ";", "&lt;&gt;&amp;&quot;", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", T.unescape("t").alias("u")).collect():
+        want = None if texts[r.i] is None else html.unescape(texts[r.i])
+        assert r.u == want, (texts[r.i], r.u, want)
+
+
+def test_matching_key_knows_unicode_blanks(spark):
+    texts = ["See https://a.b/c\u00a0The REST", "www.x.y\u2003after", "a\u3000b\x1cc\u0085d", "A&amp;B &eacute;"]
+
+    def key(t):
+        t = html.unescape(t.lower())
+        for p in (r"https?://\S+", r"www\.\S+", r"[^a-z0-9\s]"):
+            t = re.sub(p, " ", t)
+        return re.sub(r"\s+", " ", t).strip()
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.k for r in df.select("i", T.matching_key("t").alias("k")).collect()} == {i: key(t) for i, t in enumerate(texts)}
+
+
 def test_cleaning_flags(spark):
     rows = [
         (1, "Title", "some long body text", "", None),

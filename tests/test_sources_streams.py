@@ -89,7 +89,7 @@ def test_streams_equal_batches(spark, tmp_path):
     closed = {(r.start, r.kind): r.n for r in spark.read.parquet(f"{tmp_path}/t").collect()}
     want = {(r.start, r.kind): r.n for r in S.tumbling(batch, "ts", ["kind"], "value").collect()}
     assert closed and all(want[k] == n for k, n in closed.items())
-    S.run_to_parquet(S.expanding_means(stream().dropDuplicates(["event_id"]), "kind", "ts", "value"), f"{tmp_path}/e", f"{tmp_path}/ec")
+    S.run_to_parquet(S.expanding_means(stream().dropDuplicates(["event_id"]), "kind", ["ts"], "value"), f"{tmp_path}/e", f"{tmp_path}/ec")
     got = {(r.kind, r.ts): (r.n_before, r.mean_before) for r in spark.read.parquet(f"{tmp_path}/e").collect()}
     assert got["a", dt.datetime(2021, 1, 1, 2)] == (1, 0.0) and len(got) == 20
 
@@ -98,7 +98,23 @@ def test_upsert_batches_are_idempotent(spark, tmp_path):
     path = f"{tmp_path}/events"
     batch = _events(spark, path)
     stream = lambda: spark.readStream.schema(batch.schema).parquet(path)
-    for _ in range(2):
-        S.upsert_batches(stream(), f"{tmp_path}/u", "event_id", f"{tmp_path}/uc")
-    last = max(os.listdir(f"{tmp_path}/u"))
-    assert spark.read.parquet(f"{tmp_path}/u/{last}").count() == 20
+    for run in (1, 1, 2):  # again from its checkpoint, and again from the start
+        S.upsert_batches(stream(), f"{tmp_path}/u", "kind", "event_id", f"{tmp_path}/uc{run}")
+        assert sorted((r.kind, r.event_id) for r in S.upserted(spark, f"{tmp_path}/u").collect()) == [("a", 18), ("b", 19)]
+    assert len(os.listdir(f"{tmp_path}/u")) <= 2
+
+
+def test_later_batches_count_after_earlier_ones(spark, tmp_path):
+    """Two files, the second with older events: they see what had come by then."""
+    schema = "event_id long, ts timestamp, kind string, value double"
+    for n, hours in enumerate(((5, 6), (1, 7))):
+        rows = [(10 * n + h, dt.datetime(2021, 1, 1, h), "a", float(h)) for h in hours] + [(99 + n, dt.datetime(2021, 1, 1, 9), "a", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    seen = {}
+    for n in (0, 1):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in") if n else spark.readStream.schema(schema).parquet(f"{tmp_path}/in/0")
+        S.run_to_parquet(S.expanding_means(stream, "kind", ["ts", "event_id"], "value"), f"{tmp_path}/e{n}", f"{tmp_path}/ec{n}")
+        seen = {r.event_id: (r.n_before, r.mean_before) for r in spark.read.parquet(f"{tmp_path}/e{n}").collect()}
+        if not n:
+            assert seen == {5: (0, None), 6: (1, 5.0), 99: (2, 5.5)}
+    assert seen[11] == (0, None) and seen[5] == (1, 1.0) and seen[17] == (3, 4.0) and len(seen) == 6

@@ -1,17 +1,19 @@
 """Text cleaning as column expressions: everything stays in whole-stage code, no Python worker.
 
-HTML entities: numeric ones (decimal and hexadecimal) below U+10000 and the named ones in `ENTITIES`.
+White space is Unicode's, and the four separators U+001C to U+001F. HTML entities are those of HTML 5, all of them:
+named (also the old names without a semicolon, the longest that fits) and numeric, as browsers read them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values ---------------------------------------------------------------
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "euro": "€", "pound": "£", "amp": "&"}
 PLACEHOLDERS = ("[deleted]", "[removed]", "deleted", "removed")
 PROMOTIONAL = (
     r"\breferral\s+(?:link|code)\b",
@@ -30,6 +32,17 @@ RECURRING = (
     r"^\s*daily\s+altcoin\s+discussion\b",
     r"^\s*altcoin\s+discussion\b",
 )
+#: Steps of clean_text after unescaping: pattern, replacement.
+CLEANING = (
+    (r"[\u200B-\u200D\uFEFF]", ""),
+    (r"(?s)```.*?```", " "),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?iU)https?://[^\s\x1C-\x1F]+", " "),
+    (r"(?iU)www\.[^\s\x1C-\x1F]+", " "),
+    (r"<[^>]+>", " "),
+    (r"[*_~`]+", ""),
+    (r"(?mU)^[\s\x1C-\x1F]*>[\s\x1C-\x1F]?", ""),
+)
 # ----------------------------------------------------------------------------
 
 Text = Column | str
@@ -44,43 +57,64 @@ def safe_text(c: Text) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+#: Unicode white space; patterns that hold it begin with (?U).
+SPACE = r"[\s\x1C-\x1F]"
+
+
 def strip(c: Text) -> Column:
     """Without the Unicode white space at both ends (trim() only knows blanks)."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def squeeze(c: Text) -> Column:
     """Runs of Unicode white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), rf"(?U){SPACE}+", " "))
+
+
+@cache
+def _numeric_exceptions() -> dict[int, str]:
+    """Code points that a numeric entity doesn't stand for itself: those of Windows-1252, carriage return, and what HTML leaves out."""
+    out = {0: "\ufffd", 0x0D: "\r"}
+    for n in range(0x80, 0xA0):
+        out[n] = bytes([n]).decode("cp1252", "ignore") or chr(n)
+    dropped = [*range(1, 9), 0x0B, *range(0x0E, 0x20), 0x7F, *range(0xFDD0, 0xFDF0)]
+    dropped += [plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF)]
+    return out | dict.fromkeys(dropped, "")
+
+
+def _map(pairs: dict) -> Column:
+    """A constant map of strings: one literal, which the optimizer reads once, in place of thousands."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in pairs.items()})), "map<string,string>")
 
 
 def unescape(c: Text) -> Column:
     """HTML entities as the characters they name; texts without & skip the work."""
     text = _col(c)
-    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e};"), F.lit(ENTITIES[e])), [e for e in ENTITIES if e != "amp"], text)
+    closed = {k: v for k, v in html5.items() if k.endswith(";")}
+    open_ = {k: v for k, v in html5.items() if not k.endswith(";")}
+    longest_first = "|".join(sorted(open_, key=lambda k: (-len(k), k)))
+
+    def number(part: Column, pattern: str, base: int, most: int) -> Column:
+        """The character of the digits after # (or #x), U+FFFD beyond Unicode."""
+        digits = F.regexp_replace(F.regexp_extract(part, pattern, 1), "^0+(?=.)", "")
+        code = F.when(F.length(digits) > most, 0x110000).otherwise(F.conv(digits, base, 10).cast("int"))
+        own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        bad = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.element_at(_map(_numeric_exceptions()), code.cast("string")), own))
 
     def decode(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^(x[0-9a-fA-F]{1,4}|[0-9]{1,5});", 1)
-        code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).cast("int")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-        return F.when((digits == "") | (code > 65535) | code.between(55296, 57343), F.concat(F.lit("&#"), part)).otherwise(F.concat(char, F.substring(part, F.length(digits) + 2, F.length(part))))
-
-    parts = F.split(named, "&#")
-    numeric = F.when(named.contains("&#"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""))).otherwise(named)
-    return F.when(text.contains("&"), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+        decimal, hexadecimal = r"^#([0-9]+);?", r"^#[xX]([0-9a-fA-F]+);?"
+        name = F.regexp_extract(part, r"^([^\t\n\f <&#;]{1,32};)", 1)
+        named, old = F.element_at(_map(closed), name), F.regexp_extract(part, f"^({longest_first})", 1)
+        rest = lambda n: F.substring(part, n + 1, F.length(part))
+        whole = F.concat(F.lit("&"), part)
+        numeric = F.when(part.rlike(decimal), F.concat(number(part, decimal, 10, 7), F.regexp_replace(part, decimal, ""))).when(part.rlike(hexadecimal), F.concat(number(part, hexadecimal, 16, 6), F.regexp_replace(part, hexadecimal, "")))
+        word = F.coalesce(F.concat(named, rest(F.length(name))), F.concat(F.element_at(_map(open_), old), rest(F.length(old))))
+        return F.coalesce(F.when(part.startswith("#"), numeric).otherwise(word), whole)
 
-
-#: Steps of clean_text after unescaping: pattern, replacement.
-CLEANING = (
-    ("[​-‍﻿]", ""),
-    (r"(?s)```.*?```", " "),
-    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    (r"(?iU)https?://\S+", " "),
-    (r"(?iU)www\.\S+", " "),
-    (r"<[^>]+>", " "),
-    (r"[*_~`]+", ""),
-    (r"(?mU)^\s*>\s?", ""),
-)
+    parts = F.split(text, "&")
+    found = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode), ""))
+    return F.when(text.contains("&"), found).otherwise(text)
 
 
 def clean_text(c: Text) -> Column:
@@ -91,9 +125,9 @@ def clean_text(c: Text) -> Column:
 def matching_key(c: Text) -> Column:
     """Lower-case letters, digits and single blanks: equal keys are exact duplicates."""
     text = unescape(F.lower(safe_text(c)))
-    for pattern in (r"https?://\S+", r"www\.\S+", r"[^a-z0-9\s]"):
+    for pattern in (r"(?U)https?://[^\s\x1C-\x1F]+", r"(?U)www\.[^\s\x1C-\x1F]+", r"(?U)[^a-z0-9\s\x1C-\x1F]"):
         text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return squeeze(text)
 
 
 def letter_count(c: Text) -> Column:

@@ -86,3 +86,88 @@ def extremes(df: DataFrame, keys: Sequence[str], value: str, threshold: float, k
     size = F.abs(F.col(value))
     top = top_per_group(df.where(F.col(value).isNotNull()), keys, [size.desc(), *df.columns], k).drop("position")
     return df.where(size >= threshold).unionByName(top).dropDuplicates()
+
+
+def within(c: str, low: str, high: str, atol: float = 0.0) -> Column:
+    """Whether a value lies between two columns, bounds included."""
+    return F.col(c).between(F.col(low) - atol, F.col(high) + atol)
+
+
+def rebuilt_lag(df: DataFrame, keys: Sequence[str], day: str, value: str, stored: str, steps: int = 1, atol: float = 1e-12) -> DataFrame:
+    """Rows whose stored lag isn't the value `steps` rows earlier, with that value as `rebuilt`."""
+    from pyspark.sql import Window
+
+    again = df.withColumn("rebuilt", F.lag(value, steps).over(Window.partitionBy(*keys).orderBy(day)))
+    return again.where(differs(stored, F.col("rebuilt"), atol))
+
+
+def not_nested(df: DataFrame, inner: str, outer: str) -> DataFrame:
+    """Rows in the inner sample that the outer one lacks: none where samples are nested."""
+    return df.where(F.coalesce(inner, F.lit(False)) & ~F.coalesce(outer, F.lit(False)))
+
+
+def disagreement(left: DataFrame, right: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    """Keys whose membership two stages see differently; a stage that lacks a key counts as no."""
+    both = left.select(*keys, F.col(flag).alias("in_left")).join(right.select(*keys, F.col(flag).alias("in_right")), list(keys), "full")
+    l, r = F.coalesce("in_left", F.lit(False)), F.coalesce("in_right", F.lit(False))  # noqa: E741
+    return both.where(l != r).select(*keys, l.alias("in_left"), r.alias("in_right"))
+
+
+def same_days(frames: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """For each frame the keys it has, and those of the others' union that it lacks: 0 where all use the same."""
+    tagged = None
+    for name, df in frames.items():
+        one = df.select(*keys).distinct().withColumn("frame", F.lit(name))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    held = tagged.groupBy(*keys).agg(F.collect_set("frame").alias("frames"))
+    counts = held.agg(*(F.count_if(F.array_contains("frames", n)).alias(n) for n in frames), F.count(F.lit(1)).alias("__all"))
+    items = F.array(*(F.struct(F.lit(n).alias("frame"), F.col(n).alias("n_keys"), (F.col("__all") - F.col(n)).alias("n_lacking")) for n in frames))
+    return counts.select(F.inline(items))
+
+
+def model_rules() -> dict[str, Column]:
+    """What no row of a coefficient table may show."""
+    missing = lambda c: F.coalesce(~(F.abs(c) < float("inf")), F.lit(True))
+    return {
+        "coefficient not finite": missing("coefficient"),
+        "error not positive": F.coalesce(~(F.col("se") > 0), F.lit(True)),
+        "p outside 0 to 1": F.coalesce(~F.col("p_value").between(0, 1), F.lit(True)),
+        "interval without coefficient": ~F.coalesce(F.col("coefficient").between(F.col("ci_low"), F.col("ci_high")), F.lit(False)),
+        "r2 outside 0 to 1": F.coalesce(~F.col("r2").between(0, 1), F.lit(True)),
+        "too few rows": F.col("n") <= F.col("n_parameters"),
+    }
+
+
+def scoring_rules(labels: Sequence[str] = ("negative", "neutral", "positive"), atol: float = 1e-5) -> dict[str, Column]:
+    """What no row of scored texts may show: probabilities out of bounds or not adding up, labels that aren't the likeliest."""
+    probs = [F.col(f"prob_{x}") for x in labels]
+    out = F.lit(False)
+    for p in probs:
+        out = out | F.coalesce(~p.between(0, 1), F.lit(True))
+    total = probs[0]
+    for p in probs[1:]:
+        total = total + p
+    chosen = F.lit(None).cast("double")
+    for x, p in zip(labels, probs, strict=True):
+        chosen = F.when(F.col("score_label") == x, p).otherwise(chosen)
+    return {
+        "probability outside 0 to 1": out,
+        "probabilities don't add up": F.coalesce(F.abs(total - 1) > atol, F.lit(True)),
+        "unknown label": ~F.coalesce(F.col("score_label").isin(*labels), F.lit(False)),
+        "label not the likeliest": F.coalesce(chosen < F.greatest(*probs) - atol, F.lit(True)),
+        "score outside -1 to 1": F.coalesce(~F.col("sentiment_score").between(-1, 1), F.lit(True)),
+    }
+
+
+def gate_status(checks: DataFrame, by: str = "category") -> DataFrame:
+    """Per stage or category: checks, failures, and whether it may go on."""
+    failed = F.count_if(~F.coalesce("passed", F.lit(False)))
+    return checks.groupBy(by).agg(F.count(F.lit(1)).alias("n_checks"), failed.alias("n_failed")).withColumn("passed", F.col("n_failed") == 0)
+
+
+def require_passed(checks: DataFrame, stage: str = "upstream") -> DataFrame:
+    """`checks`, if it has rows and all passed; else an error: a stage publishes only after those before it passed."""
+    failed = checks.where(~F.coalesce("passed", F.lit(False))).select("name").limit(20).collect()
+    if failed or checks.isEmpty():
+        raise AssertionError(f"{stage}: {[r[0] for r in failed] or 'no checks'}")
+    return checks

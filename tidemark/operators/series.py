@@ -80,15 +80,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], day: str, columns: Sequence[
 def duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str], usable: Column) -> DataFrame:
     """later_copy (not the first of its keys by the unique `order`) and copies (size of the group, 0 where not usable).
 
-    Groups are counted with partial sums and joined back, so that a text with a third of all rows splits over tasks,
+    Groups are told by 128 bits of their keys' digest (null apart from ''), so that shuffles carry 16 bytes in place of
+    texts. They are counted with partial sums and joined back, and a text with a third of all rows splits over tasks,
     which a window over the text would not.
     """
-    first = df.where(usable).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    first = first.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    joined = df.join(first, on, "left")
+    plain = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)), {"ignoreNullFields": "false"})
+    keyed = df.withColumn("__group", F.when(usable, F.unhex(F.md5(plain))))
+    first = keyed.where(usable).groupBy("__group").agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    joined = keyed.join(first.withColumnRenamed("__group", "__of"), F.col("__group") == F.col("__of"), "left")
     new = {"later_copy": F.coalesce(usable & (F.struct(*order) != F.col("__first")), F.lit(False)), "copies": F.when(usable, F.col("__n")).otherwise(0)}
-    return joined.withColumns(new).drop("__first", "__n", *(f"__{k}" for k in keys))
+    return joined.withColumns(new).drop("__first", "__n", "__group", "__of")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], by: str, out: str = "rank", descending: bool = True) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators import panel, quality
+from ..functions import scalar
+from ..operators import joins, panel, quality
 from ..registry import register
-from ..session import load
+from ..session import load, scratch
 from ..streaming import events as streams
-from .base import CALENDAR_SQL, SERIES_SQL, day_text, r6
+from .base import CALENDAR_SQL, MARKET_SQL, SERIES_SQL, day_text, market, r6
 from .base import series as base_series
+from .texts import FLAGS_SQL, flagged
 
 
 @register(
@@ -39,25 +37,48 @@ def extreme_audit(spark, sf_dir):
     return quality.extremes(rows, ["asset"], "volume", 420, 10).select("asset", day_text(), F.round("volume", 4).alias("volume"))
 
 
-@register("accounting_identity", "SELECT count(*) FILTER (a + b <> c) AS broken, count(*) AS n FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus <> 'F') AS b, count(*) AS c FROM orders GROUP BY 1)")
+@register(
+    "accounting_identity",
+    f"WITH {FLAGS_SQL} SELECT lang, count(*) AS n_raw, count(*) FILTER (NOT exclude) AS n_retained, count(*) FILTER (reason <> 'retained') AS n_excluded, count(*) FILTER (NOT short) AS n_long, count(*) FILTER (NOT exclude) + count(*) FILTER (reason <> 'retained') = count(*) AS balanced, count(*) FILTER (NOT short) + count(*) FILTER (reason <> 'retained') = count(*) AS balanced_wrongly FROM d GROUP BY 1",
+)
 def accounting_identity(spark, sf_dir):
-    f = F.col("o_orderstatus") == "F"
-    got = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(f).alias("a"), F.count_if(~f).alias("b"), F.count(F.lit(1)).alias("c"))
-    return got.agg(F.count_if(F.col("a") + F.col("b") != F.col("c")).alias("broken"), F.count(F.lit(1)).alias("n"))
+    """Per language: raw rows are those retained by flag and those excluded by reason, counted from three tables; a wrong sum shows."""
+    rows = flagged(spark, sf_dir)
+    raw = load(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_raw"))
+    kept = rows.where("retain").groupBy("lang").agg(F.count(F.lit(1)).alias("n_retained"))
+    gone = rows.where("reason <> 'retained'").groupBy("lang").agg(F.count(F.lit(1)).alias("n_excluded"))
+    long = rows.where("not too_short").groupBy("lang").agg(F.count(F.lit(1)).alias("n_long"))
+    both = raw.join(kept, "lang", "left").join(gone, "lang", "left").join(long, "lang", "left").na.fill(0)
+    return both.withColumns({"balanced": F.col("n_retained") + F.col("n_excluded") == F.col("n_raw"), "balanced_wrongly": F.col("n_long") + F.col("n_excluded") == F.col("n_raw")})
 
 
-@register("no_look_ahead", f"WITH {SERIES_SQL}, l AS (SELECT day, lag(day) OVER (PARTITION BY asset ORDER BY day) AS source FROM series) SELECT count(*) FILTER (source >= day) AS late, count(*) FILTER (day - source <> 1) AS gaps FROM l")
+@register(
+    "no_look_ahead",
+    f"WITH {SERIES_SQL}, {MARKET_SQL}, s AS (SELECT s.day, m.day AS source FROM series s ASOF LEFT JOIN market m ON s.day > m.day), l AS (SELECT s.day, m.day AS source FROM series s ASOF LEFT JOIN market m ON s.day >= m.day) SELECT 'strict' AS alignment, count(*) FILTER (source >= day) AS late, count(*) FILTER (day - source <> 1) AS not_one_day, count(*) FILTER (source IS NULL) AS without FROM s UNION ALL SELECT 'same day allowed', count(*) FILTER (source >= day), count(*) FILTER (day - source <> 1), count(*) FILTER (source IS NULL) FROM l",
+)
 def no_look_ahead(spark, sf_dir):
-    from pyspark.sql import Window
+    """Rows whose source is not before their day, under the strict alignment and under one that looks at the day itself."""
+    out = None
+    for name, strict in (("strict", True), ("same day allowed", False)):
+        rows = joins.asof_join(base_series(spark, sf_dir).select("day", "asset"), market(spark, sf_dir), "day", ["level"], source="source", strict=strict)
+        one = rows.agg(F.count_if(F.col("source") >= F.col("day")).alias("late"), F.count_if(F.datediff("day", "source") != 1).alias("not_one_day"), F.count_if(F.col("source").isNull()).alias("without"))
+        one = one.select(F.lit(name).alias("alignment"), "late", "not_one_day", "without")
+        out = one if out is None else out.unionAll(one)
+    return out
+
 
-    rows = base_series(spark, sf_dir).withColumn("source", F.lag("day").over(Window.partitionBy("asset").orderBy("day")))
-    return rows.agg(F.count_if(quality.looks_ahead("day", "source")).alias("late"), F.count_if(quality.looks_ahead("day", "source", 1)).alias("gaps"))
+@register("freshness", f"WITH {SERIES_SQL}, {MARKET_SQL}, s AS (SELECT s.day, s.asset, m.day AS source FROM series s ASOF LEFT JOIN market m ON s.day > m.day) SELECT asset, day - source AS age_days, count(*) AS n, CASE WHEN source IS NULL THEN 'no information' WHEN day - source > 2 THEN 'stale' ELSE 'fresh' END AS status FROM s GROUP BY ALL")
+def freshness(spark, sf_dir):
+    """How old the information of each day is."""
+    rows = joins.asof_join(base_series(spark, sf_dir).select("day", "asset"), market(spark, sf_dir), "day", ["level"], source="source")
+    aged = rows.withColumn("age_days", scalar.age_days("day", "source").cast("long"))
+    status = F.when(F.col("source").isNull(), "no information").when(F.col("age_days") > 2, "stale").otherwise("fresh")
+    return aged.groupBy("asset", "age_days", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _run(spark, stream, mode="append"):
     """Run a stream over the table as it is, in a folder of its own under the shared one, and read what it wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getuid()}")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     streams.run_to_parquet(stream, f"{at}/out", f"{at}/checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -69,7 +90,18 @@ def _stream(spark, sf_dir):
 
 @register("stream_deduplicated", "SELECT event_id, event_type FROM events")
 def stream_deduplicated(spark, sf_dir):
-    return _run(spark, streams.deduplicated(_stream(spark, sf_dir), "ts", ["event_id"])).select("event_id", "event_type")
+    """Every event comes once, although clicks and errors are delivered twice."""
+    twice = _stream(spark, sf_dir).unionAll(_stream(spark, sf_dir).where("event_type in ('click', 'error')"))
+    return _run(spark, streams.deduplicated(twice, "ts", ["event_id"])).select("event_id", "event_type")
+
+
+@register("stream_upserted", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def stream_upserted(spark, sf_dir):
+    """The last event of every user, kept by upserts of micro-batches; a second run over the same events changes nothing."""
+    at, rows = scratch(spark, "upserts"), lambda: _stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    for run in range(2):
+        streams.upsert_batches(rows(), f"{at}/table", "user_id", "event_id", f"{at}/checkpoint{run}")
+    return streams.upserted(spark, f"{at}/table").select("user_id", "event_id", "event_type")
 
 
 @register("stream_tumbling", "WITH w AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1, 2) SELECT CAST(day AS VARCHAR) AS day, event_type, n, round(mean, 6) AS mean FROM w WHERE day + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
@@ -78,10 +110,11 @@ def stream_tumbling(spark, sf_dir):
     return out.select(F.to_date("start").cast("string").alias("day"), "event_type", "n", r6("mean"))
 
 
-@register("stream_expanding")
+@register("stream_expanding", "SELECT event_type, ts, event_id, count(value) OVER w AS n_before, round(avg(value) OVER w, 6) + 0.0 AS mean_before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def stream_expanding(spark, sf_dir):
     """Per event type, the mean of all earlier values at each event, from kept state."""
-    return _run(spark, streams.expanding_means(_stream(spark, sf_dir).select("event_type", "ts", "value"), "event_type", "ts", "value"))
+    out = _run(spark, streams.expanding_means(_stream(spark, sf_dir).select("event_type", "ts", "event_id", "value"), "event_type", ["ts", "event_id"], "value"))
+    return out.select("event_type", "ts", "event_id", "n_before", r6("mean_before"))
 
 
 @register(

@@ -67,9 +67,31 @@ def join_many_to_one(spark, sf_dir):
     return out.select(day_text(), "asset", r6("price"), F.round("level", 7).alias("level"))
 
 
-@register("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def join_anti(spark, sf_dir):
-    return joins.missing_keys(load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an urgent order."""
+    urgent = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return joins.missing_keys(load(spark, sf_dir, "customer"), urgent.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@register("set_equality", "SELECT 'orders of customers' AS pair, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS lacking_right, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS lacking_left UNION ALL SELECT 'urgent orders of customers', (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT c_custkey FROM customer)), (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))")
+def set_equality(spark, sf_dir):
+    """Keys that either side lacks: none where two sets are equal."""
+    customers, out = load(spark, sf_dir, "customer").select("c_custkey"), None
+    for name, where in (("orders of customers", "true"), ("urgent orders of customers", "o_orderpriority = '1-URGENT'")):
+        own = load(spark, sf_dir, "orders").where(where).select(F.col("o_custkey").alias("c_custkey"))
+        right = joins.missing_keys(own, customers, ["c_custkey"]).agg(F.count(F.lit(1)).alias("lacking_right"))
+        left = joins.missing_keys(customers, own, ["c_custkey"]).agg(F.count(F.lit(1)).alias("lacking_left"))
+        one = right.crossJoin(left).select(F.lit(name).alias("pair"), "lacking_right", "lacking_left")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@register("join_one_to_one", f"WITH {SERIES_SQL} SELECT CAST(a.day AS VARCHAR) AS day, a.n_rows AS n_a, b.n_rows AS n_n FROM series a LEFT JOIN series b ON a.day = b.day AND b.asset = 'N' WHERE a.asset = 'A'")
+def join_one_to_one(spark, sf_dir):
+    """A left join whose keys are checked to be unique on both sides."""
+    of = lambda a, n: base_series(spark, sf_dir).where(F.col("asset") == a).select("day", F.col("n_rows").alias(n))
+    return joins.checked_join(of("A", "n_a"), of("N", "n_n"), ["day"]).select(day_text(), "n_a", "n_n")
 
 
 @register("join_semi", f"WITH {SERIES_SQL}, {MARKET_SQL} SELECT CAST(day AS VARCHAR) AS day, asset, n_rows FROM series WHERE day IN (SELECT day FROM market)")

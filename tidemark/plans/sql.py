@@ -20,7 +20,7 @@ def normal_half(z: str) -> str:
 
 
 def normal_two_sided(z: str) -> str:
-    return f"(1 - 2 * {normal_half(z)})"
+    return f"greatest(0.0, 1 - 2 * {normal_half(z)})"
 
 
 def normal_upper(z: str) -> str:
@@ -29,7 +29,7 @@ def normal_upper(z: str) -> str:
 
 def t_two_sided(t: str, v: str) -> str:
     density = f"exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2) - ({v} + 1) / 2 * ln(1 + $s ** 2 / {v})) / sqrt({v} * pi())"
-    return f"(1 - 2 * {_integral(f'least(abs({t}), 60.0)', density, 2000)})"
+    return f"greatest(0.0, 1 - 2 * {_integral(f'least(abs({t}), 60.0)', density, 2000)})"
 
 
 def chi2_upper(x: str, d: str) -> str:

@@ -59,9 +59,11 @@ def correlation_matrix(spark, sf_dir):
     return summary.matrix(pairs, LI[:2])
 
 
-@register("high_correlations", "SELECT * FROM (SELECT 'l_quantity' AS first, 'l_extendedprice' AS second, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem) WHERE abs(r) >= 0.7")
+@register("high_correlations", "WITH d AS (SELECT l_quantity, l_extendedprice, l_tax, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * l_tax AS levy FROM lineitem), p AS (SELECT 'l_quantity' AS first, 'l_extendedprice' AS second, corr(l_quantity, l_extendedprice) AS r FROM d UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM d UNION ALL SELECT 'l_quantity', 'net', corr(l_quantity, net) FROM d UNION ALL SELECT 'l_quantity', 'levy', corr(l_quantity, levy) FROM d UNION ALL SELECT 'l_extendedprice', 'l_tax', corr(l_extendedprice, l_tax) FROM d UNION ALL SELECT 'l_extendedprice', 'net', corr(l_extendedprice, net) FROM d UNION ALL SELECT 'l_extendedprice', 'levy', corr(l_extendedprice, levy) FROM d UNION ALL SELECT 'l_tax', 'net', corr(l_tax, net) FROM d UNION ALL SELECT 'l_tax', 'levy', corr(l_tax, levy) FROM d UNION ALL SELECT 'net', 'levy', corr(net, levy) FROM d) SELECT first, second, round(r, 6) AS r FROM p WHERE abs(r) >= 0.6")
 def high_correlations(spark, sf_dir):
-    return summary.high_correlations(summary.correlations(load(spark, sf_dir, "lineitem"), LI), 0.7).withColumn("r", F.round("r", 6))
+    """Pairs of quantities, prices, amounts after discount and taxes that move together."""
+    rows = load(spark, sf_dir, "lineitem").withColumns({"net": F.col("l_extendedprice") * (1 - F.col("l_discount")), "levy": F.col("l_extendedprice") * F.col("l_tax")})
+    return summary.high_correlations(summary.correlations(rows, ["l_quantity", "l_extendedprice", "l_tax", "net", "levy"]), 0.6).withColumn("r", F.round("r", 6))
 
 
 @register("value_counts", "SELECT lang, source, count(*) AS count FROM documents GROUP BY 1, 2")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +28,16 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) ->
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder; any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the one that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset and everything runs in one process (tests), under a local folder; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), f"tidemark-{os.getuid()}")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.joins import upsert
-
 
 def read_folder(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
     """The Parquet file at `path`, or the files of that folder, as a stream.
@@ -54,22 +53,29 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 day
     return _marked(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def expanding_means(events: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """For each event the mean of the key's earlier values: state is a count and a sum."""
+def expanding_means(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """For each event the mean of the key's values before it: state is a count and a sum.
+
+    Events of one micro-batch count in the given order, and after those of earlier batches: "before" is what had come by
+    then. A key's batch is walked in pieces, as Arrow delivers them, once sorted by Spark where that is possible (a single
+    batch); a late event sees all that came before it, not only what is older.
+    """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values([ts])
-        out = []
-        for t, v in zip(rows[ts], rows[value], strict=True):
-            out.append((group[0], t, n, total / n if n else None))
-            if v == v:
-                n, total = n + 1, total + float(v)
-        state.update((n, total))
-        yield pd.DataFrame(out, columns=[key, ts, "n_before", "mean_before"])
+        rows = pd.concat(list(frames)).sort_values(order)
+        known = rows[value].notna().to_numpy()
+        counts = n + np.cumsum(known) - known
+        sums = total + np.cumsum(np.where(known, rows[value], 0.0)) - np.where(known, rows[value], 0.0)
+        means = np.divide(sums, counts, out=np.full(len(rows), np.nan), where=counts > 0)
+        state.update((int(n + known.sum()), float(total + rows[value].sum())))
+        out = rows[order].assign(n_before=counts, mean_before=pd.Series(means, index=rows.index).astype("Float64").mask(counts == 0))
+        out.insert(0, key, group[0])
+        yield out
 
     kind = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind[key]}, `{ts}` {kind[ts]}, n_before long, mean_before double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+    columns = "".join(f"`{c}` {kind[c]}, " for c in [key, *order])
+    return events.groupBy(key).applyInPandasWithState(step, columns + "n_before long, mean_before double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
@@ -77,14 +83,39 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "ap
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_batches(stream: DataFrame, table: str, key: str, checkpoint: str) -> None:
-    """Keyed upsert of every micro-batch into a folder of numbered versions; running a batch again leaves the same rows."""
+def upserted(spark: SparkSession, table: str) -> DataFrame:
+    """The table that upsert_batches() keeps."""
+    return spark.read.parquet(f"{table}/v={_versions(spark, table)[-1]}")
+
+
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """The complete versions in a folder, in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(made(f"{table}/{n}/_SUCCESS")))
+
+
+def upsert_batches(stream: DataFrame, table: str, key: str, order: str, checkpoint: str) -> None:
+    """Keyed upsert of every micro-batch: each key's row of greatest `order` stays, whatever came first.
+
+    A batch writes a new version of the table and deletes those before the last one. Running a batch again, or the whole
+    stream, leaves the same rows, since a row only gives way to one of greater order.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.dropDuplicates([key])
-        if number:
-            last = upsert(spark.read.parquet(f"{table}/v={number - 1}"), last, key)
-        last.write.mode("overwrite").parquet(f"{table}/v={number}")
+        before = _versions(spark, table)
+        rows = batch.unionByName(spark.read.parquet(f"{table}/v={before[-1]}")) if before else batch
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+        version = before[-1] + 1 if before else 0
+        last.write.mode("overwrite").parquet(f"{table}/v={version}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for old in before[:-1]:
+            gone = path(f"{table}/v={old}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
