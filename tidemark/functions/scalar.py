@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,6 +68,29 @@ def to_day(c: Value, *formats: str) -> Column:
     return F.coalesce(*(F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in formats or ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy")))
 
 
+def to_moment(c: Value, *formats: str, zone: str = "UTC") -> Column:
+    """Text as a UTC instant (timestamp without zone) by the first format that fits.
+
+    Text that names an offset keeps its instant; text without one is local time of `zone`. Null when nothing fits.
+    """
+    t = F.trim(_col(c).cast("string"))
+    with_offset = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    local = formats or ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm", "dd/MM/yyyy")
+    instants = [F.try_to_timestamp(t, F.lit(f)) for f in with_offset]
+    locals_ = [F.to_utc_timestamp(F.try_to_timestamp(t, F.lit(f)), zone) for f in local]
+    return F.coalesce(*instants, *locals_)
+
+
+def in_zone(c: Value, zone: str) -> Column:
+    """A UTC instant as the clock of `zone` shows it."""
+    return F.from_utc_timestamp(_col(c), zone)
+
+
+def midnight(c: Value) -> Column:
+    """An instant's day at 00:00."""
+    return F.date_trunc("day", _col(c))
+
+
 def is_weekend(c: Value) -> Column:
     return F.weekday(_col(c)) >= 5
 
@@ -132,6 +156,47 @@ def count_of(flags) -> Column:
     return reduce(lambda p, q: p + q, (F.coalesce(f, F.lit(False)).cast("int") for f in flags))
 
 
+def evidence(p: Value, of: str, level: float = 0.05) -> Column:
+    """What a p-value says about an alternative, in words."""
+    x = _col(p)
+    return F.when(x.isNull(), "Not available").when(x < level, f"Evidence of {of}").otherwise(f"No evidence of {of} at the {level:.0%} level")
+
+
+def kept_where(value: Value, condition: Column) -> Column:
+    """The value where the condition holds, null elsewhere."""
+    return F.when(condition, _col(value))
+
+
+def last_of(default: str, rules: dict[str, Column]) -> Column:
+    """A label by ordered overwriting: the last rule that holds wins."""
+    out = F.lit(default)
+    for label, rule in rules.items():
+        out = F.when(F.coalesce(rule, F.lit(False)), label).otherwise(out)
+    return out
+
+
+def canonical(c: Value, aliases: dict[str, str]) -> Column:
+    """Names by a table of aliases, whatever their case and the blanks around them; unknown ones raise when evaluated."""
+    given = F.upper(F.trim(_col(c).cast("string")))
+    known = F.from_json(F.lit(json.dumps({k.upper(): v for k, v in aliases.items()})), "map<string,string>")
+    return F.coalesce(F.element_at(known, given), F.raise_error(F.concat(F.lit("no alias for "), F.coalesce(_col(c).cast("string"), F.lit("null")))))
+
+
+def formula(target: str, predictors) -> str:
+    """A readable regression formula."""
+    return f"{target} ~ {' + '.join(predictors) or '1'}"
+
+
+def effect_sentence(subject: Value, predictor: Value, spread: Value, effect: Value, coefficient: Value, p: Value) -> Column:
+    """One sentence on what a spread of one standard deviation does."""
+    e = _col(effect)
+    word = F.when(e > 0, "rise").when(e < 0, "fall").otherwise("change")
+    return F.format_string(
+        "%s: one standard deviation more of %s (%.6f) goes with a %s of %.8f in the expected log return, about %.4f percentage points or %.2f basis points (coefficient %.6f, p %.4f).",
+        _col(subject), _col(predictor), _col(spread), word, F.abs(e), F.abs(percentage_points(e)), F.abs(basis_points(e)), _col(coefficient), _col(p),
+    )
+
+
 # -- effects of log returns ------------------------------------------------------
 def percentage_points(effect: Value) -> Column:
     return 100 * _col(effect)

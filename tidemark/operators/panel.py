@@ -14,7 +14,7 @@ def grid(df: DataFrame, day: str, keys: Sequence[str], start: str | None = None,
     bounds = df.agg(F.min(day).cast("date").alias("a"), F.max(day).cast("date").alias("b"))
     first, last = (F.lit(x).cast("date") if x else F.col(c) for x, c in ((start, "a"), (end, "b")))
     days = bounds.select(F.explode(F.sequence(first, last)).alias(day))
-    return days.crossJoin(F.broadcast(entities))  # calendar x entities is the result asked for; entities are one row a series
+    return days.crossJoin(entities)  # calendar x entities is the result asked for; which side is sent around goes by size
 
 
 def complete(df: DataFrame, day: str, keys: Sequence[str], zero: Sequence[str] = (), **bounds) -> DataFrame:

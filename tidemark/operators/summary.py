@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .frames import unpivot
 
 
@@ -26,21 +28,47 @@ def sample_kurtosis(c: str) -> Column:
 PERCENTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, q): exact percentiles, interpolated, of the non-null values of each key.
+
+    Counts of distinct values are dealt by range of key and value; a block's counts add up within it, and blocks over a
+    table of one row each. So a key of any size spreads over tasks, and none holds a key's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = counts.repartitionByRange(*keys, "__v").withColumn("__block", F.spark_partition_id())
+    dealt = kept(dealt, "value-counts")  # the blocks must not be dealt anew
+    blocks = dealt.groupBy(*keys, "__block").agg(F.sum("__n").alias("__size"))
+    of_key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__size").over(of_key.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumns({"__before": before, "__all": F.sum("__size").over(of_key)})
+    renamed = blocks.withColumnsRenamed({k: f"__of_{k}" for k in keys} | {"__block": "__at"})
+    on = (F.col("__block") == F.col("__at")) & reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys), F.lit(True))
+    placed = dealt.join(renamed, on).withColumn("__upto", F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys, "__block").orderBy("__v")))
+    at = lambda rank: F.max(F.when((F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto")), F.col("__v")))
+    place = [F.lit(p) * (F.col("__all") - 1) for p in shares]
+    ends = {f"__lo{i}": at(F.floor(x)) for i, x in enumerate(place)} | {f"__hi{i}": at(F.ceil(x)) for i, x in enumerate(place)}
+    got = placed.groupBy(*keys).agg(F.max("__all").alias("__all"), *(c.alias(n) for n, c in ends.items()))
+    between = lambda i, x: F.col(f"__lo{i}") + (x - F.floor(x)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
+    return got.select(*keys, F.array(*(between(i, x) for i, x in enumerate(place))).alias("q"))
+
+
 def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per key and column: size, moments, extremes, exact percentiles, zeros. One pass for all columns."""
+    """One row per key and column: size, moments, extremes, exact percentiles, zeros."""
     long = unpivot(df, keys, columns)
     got = long.groupBy(*keys, "variable").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("minimum"),
-        F.percentile("value", F.array(*(F.lit(p) for p in PERCENTS))).alias("q"),
         F.max("value").alias("maximum"),
         sample_skewness("value").alias("skew"),
         sample_kurtosis("value").alias("kurt"),
         F.count_if(F.col("value") == 0).alias("n_zero"),
     )
-    return got.select(*keys, "variable", "n", "mean", "std", "minimum", *(F.col("q")[i].alias(f"p{int(100 * p):02d}") for i, p in enumerate(PERCENTS)), "maximum", "skew", "kurt", "n_zero")
+    ranks = percentiles(long, [*keys, "variable"], "value", PERCENTS).withColumnsRenamed({k: f"__of_{k}" for k in [*keys, "variable"]})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in [*keys, "variable"]))
+    both = got.join(ranks, on, "left")
+    return both.select(*keys, "variable", "n", "mean", "std", "minimum", *(F.col("q")[i].alias(f"p{int(100 * p):02d}") for i, p in enumerate(PERCENTS)), "maximum", "skew", "kurt", "n_zero")
 
 
 def grouped_scores(df: DataFrame, keys: Sequence[str], score: str, extra: Sequence[str] = ()) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import checks, joins, models, panels, quality, statistics, summaries, texts, windows  # noqa: F401
+from . import checks, files, joins, models, panels, quality, scalars, statistics, summaries, texts, windows  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import kept, load
 
 #: One series per return flag, seven days a week: mean unit price and volume of each ship day.
 SERIES_SQL = """series AS (SELECT CAST(l_shipdate AS DATE) AS day, l_returnflag AS asset, avg(l_extendedprice / l_quantity) AS price, CAST(sum(l_quantity) AS DOUBLE) AS volume, count(*) AS n_rows FROM lineitem GROUP BY 1, 2)"""
@@ -32,12 +32,15 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log return, its lag, and activity with its lag, per asset and day."""
+    """Log return, its lag, and activity with its lag, per asset and day.
+
+    The lines are read once: what models are fitted to is a row a day and asset, kept for the passes over it.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("asset").orderBy("day")
     base = series(spark, sf_dir).withColumns({"ret": F.ln(F.col("price") / F.lag("price").over(w)), "activity": F.log1p("volume")})
-    return base.withColumns({"ret_lag": F.lag("ret").over(w), "activity_lag": F.lag("activity").over(w)})
+    return kept(base.withColumns({"ret_lag": F.lag("ret").over(w), "activity_lag": F.lag("activity").over(w)}), "modelling")
 
 
 def day_text(c: str = "day"):

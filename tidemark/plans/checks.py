@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import joins, panel, quality
 from ..registry import register
-from ..session import load, scratch
+from ..session import kept, load, scratch
 from ..streaming import events as streams
 from .base import CALENDAR_SQL, MARKET_SQL, SERIES_SQL, day_text, market, r6
 from .base import series as base_series
@@ -23,7 +23,7 @@ UNION ALL SELECT 'unique key', '0', CAST(n AS VARCHAR), n = 0 FROM k
 UNION ALL SELECT 'complete grid', '0 lacking, 0 extra', lacking || ' lacking, 0 extra', lacking = 0 FROM g""",
 )
 def quality_checks(spark, sf_dir):
-    rows = base_series(spark, sf_dir)
+    rows = kept(base_series(spark, sf_dir), "series")
     checks = quality.Checks(spark)
     checks.counts(rows, {"price not positive": F.col("price") <= 0, "volume above 400": quality.outside("volume", high=400)})
     checks.unique(rows, ["day", "asset"])

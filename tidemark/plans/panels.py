@@ -45,20 +45,20 @@ def daily_scores(spark, sf_dir):
 
 @register(
     "observation_status",
-    f"""WITH {EVENTS_SQL}, p AS (SELECT day, kind, count(*) AS raw, count(*) FILTER (value < 60) AS kept, avg(value) FILTER (value < 60) AS score FROM e WHERE hash_ok GROUP BY 1, 2),
+    f"""WITH {EVENTS_SQL}, p AS (SELECT day, kind, count(*) AS raw, count(*) FILTER (value < 60) AS kept, avg(value) FILTER (value < 60) AS score FROM e GROUP BY 1, 2),
 g AS (SELECT CAST(d AS DATE) AS day, kind FROM (SELECT unnest(generate_series(min(day), max(day) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS d FROM e), (SELECT DISTINCT kind FROM e)),
 f AS (SELECT g.day, g.kind, coalesce(raw, 0) AS raw, coalesce(kept, 0) AS kept, score, g.day <= (SELECT max(day) FROM e) AS covered FROM g LEFT JOIN p USING (day, kind)),
 s AS (SELECT *, CASE WHEN NOT covered THEN 'OUTSIDE_SOURCE_COVERAGE' WHEN kept > 0 THEN 'OBSERVED_RETAINED_ROWS' WHEN raw > 0 THEN 'RAW_ROWS_ALL_EXCLUDED' ELSE 'GENUINE_ZERO_OBSERVED_ACTIVITY' END AS status FROM f)
-SELECT CAST(day AS VARCHAR) AS day, kind, status, CAST(CASE WHEN covered THEN kept END AS BIGINT) AS n_used, round(CASE WHEN covered THEN ln(1 + kept) END, 6) AS log_activity, round(CASE WHEN kept > 0 THEN score END, 6) AS score FROM s""".replace("value, CASE", "value, dayofyear(ts) % 9 <> 0 AS hash_ok, CASE"),
+SELECT CAST(day AS VARCHAR) AS day, kind, status, CAST(CASE WHEN covered THEN kept END AS BIGINT) AS n_used, round(CASE WHEN covered THEN ln(1 + kept) END, 6) AS log_activity, round(CASE WHEN kept > 0 THEN score END, 6) AS score FROM s""",
 )
 def observation_status(spark, sf_dir):
     rows = _events(spark, sf_dir)
     ends = rows.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
-    seen = rows.where(F.dayofyear("day") % 9 != 0).groupBy("day", "kind").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("value") < 60).alias("kept"), F.avg(F.when(F.col("value") < 60, F.col("value"))).alias("score"))
+    seen = rows.groupBy("day", "kind").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("value") < 60).alias("kept"), F.avg(F.when(F.col("value") < 60, F.col("value"))).alias("score"))
     seen = seen.withColumn("dropped", F.col("raw") - F.col("kept"))
     kinds = rows.select("kind").distinct()
     days = spark.range(1).select(F.explode(F.sequence(F.lit(ends.a), F.date_add(F.lit(ends.b), 2))).alias("day"))
-    full = days.crossJoin(F.broadcast(kinds)).join(seen, ["day", "kind"], "left").na.fill(0, ["raw", "kept", "dropped"])
+    full = days.crossJoin(kinds).join(seen, ["day", "kind"], "left").na.fill(0, ["raw", "kept", "dropped"])
     out = panel.with_status(full, "raw", "kept", "dropped", F.col("day") <= F.lit(ends.b), "n_used", ["score"])
     return out.select(day_text(), "kind", "status", "n_used", r6("log_activity"), r6("score"))
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import frames, panel, quality, scoring, summary
 from ..operators.joins import duplicate_keys, missing_keys
 from ..registry import register
-from ..session import load
+from ..session import kept, load
 from ..stats import ols
 from . import sql
 from .base import CALENDAR_SQL, CHANGES_SQL, SERIES_SQL, modelling
@@ -137,7 +137,7 @@ SELECT name, '0' AS expected, CAST(n AS VARCHAR) AS actual, n = 0 AS passed, 'vo
 )
 def volume_suite(spark, sf_dir):
     """Calendar, raw values, transform, skew, lag, weekends and keys of the volume series."""
-    rows = base_series(spark, sf_dir)
+    rows = kept(base_series(spark, sf_dir), "series")
     o = Window.partitionBy("asset").orderBy("day")
     checks = quality.Checks(spark)
     wide = rows.withColumns({"activity": F.log1p("volume"), "day_before": F.lag("day").over(o)})
@@ -162,7 +162,7 @@ SELECT category, count(*) AS n_checks, count(*) FILTER (NOT passed) AS n_failed,
 )
 def stage_gates(spark, sf_dir):
     """Named checks per stage, and whether each stage's gate opens."""
-    rows, checks = base_series(spark, sf_dir), quality.Checks(spark)
+    rows, checks = kept(base_series(spark, sf_dir), "series"), quality.Checks(spark)
     checks.counts(rows, {"price not positive": F.col("price") <= 0, "price missing": F.col("price").isNull()}, "prices")
     checks.counts(rows, {"volume above 100": F.col("volume") > 100, "volume not positive": F.col("volume") <= 0}, "volumes")
     return quality.gate_status(checks.table())
@@ -171,7 +171,7 @@ def stage_gates(spark, sf_dir):
 @register("published_after_gate", f"WITH {SERIES_SQL} SELECT asset, count(*) AS n FROM series GROUP BY 1")
 def published_after_gate(spark, sf_dir):
     """A table that is published only once the checks before it passed."""
-    rows, checks = base_series(spark, sf_dir), quality.Checks(spark)
+    rows, checks = kept(base_series(spark, sf_dir), "series"), quality.Checks(spark)
     checks.counts(rows, {"price not positive": F.col("price") <= 0}, "prices")
     checks.unique(rows, ["asset", "day"])
     checks.gate()

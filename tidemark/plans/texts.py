@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions import text as T
 from ..operators import cleaning, quality, summary
+from ..operators.series import duplicates
 from ..registry import register
-from ..session import load
+from ..session import kept, load
 
 #: White space as Unicode has it, inside a class of DuckDB's patterns.
 SPACE = "\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
@@ -58,15 +59,16 @@ d AS (SELECT *, short OR promo OR dup AS exclude, coalesce(nullif(concat_ws(';',
 
 
 def flagged(spark, sf_dir):
-    from ..operators.series import duplicates
-
+    """Flags of every document. The text is read and cleaned once; what goes on to grouping is a digest and flags."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", T.safe_text("text").alias("t"))
-    keyed = docs.withColumns({"key": T.matching_key("t"), "letters": T.letter_count("t")})
-    out = duplicates(keyed, ["lang", "key"], ["doc_id"], F.col("key") != "")
-    flags = {"too_short": F.col("letters") < 40, "promotional": T.matches_any("t", ["trash", "loser", "scum"]), "exact_duplicate": F.col("later_copy")}
+    key = T.matching_key("t")
+    once = docs.select("doc_id", "lang", "source", F.nullif(key, F.lit("")).alias("key"), T.letter_count("t").alias("letters"), T.matches_any("t", ["trash", "loser", "scum"]).alias("promotional"))
+    rows = kept(once.withColumn("key", F.unhex(F.md5("key"))), "flagged-texts")
+    out = duplicates(rows.withColumn("key", F.hex("key")), ["lang", "key"], ["doc_id"], F.col("key").isNotNull())
+    flags = {"too_short": F.col("letters") < 40, "promotional": F.col("promotional"), "exact_duplicate": F.col("later_copy")}
     out = out.withColumns(flags | {"many": F.col("copies") >= 5})
     named = {k: F.col(k) for k in flags}
-    return out.withColumns({"exclude": scalar.any_of(named.values()), "reason": scalar.reasons(named), "n_flags": scalar.count_of(named.values())}).withColumn("retain", ~F.col("exclude")).drop("t", "key")
+    return out.withColumns({"exclude": scalar.any_of(named.values()), "reason": scalar.reasons(named), "n_flags": scalar.count_of(named.values())}).withColumn("retain", ~F.col("exclude")).drop("key")
 
 
 @register("text_flags", f"WITH {FLAGS_SQL} SELECT doc_id, short AS too_short, promo AS promotional, dup AS exact_duplicate, many AS repeated, exclude, reason, CAST(short AS INTEGER) + CAST(promo AS INTEGER) + CAST(dup AS INTEGER) AS n_flags FROM d")
@@ -108,5 +110,6 @@ f AS (SELECT *, whole = '' OR letters < 3 OR lower(trim(title)) IN ('[deleted]',
 def clean_posts(spark, sf_dir):
     """The whole cleaning stage over conversations as posts: first words as title, text as body."""
     rows = load(spark, sf_dir, "conversations").withColumns({"post_id": F.concat_ws("-", "conv_id", "turn"), "title": F.substring_index(F.coalesce("text", F.lit("")), ".", 1)})
-    out = cleaning.flag(cleaning.clean(rows, "title", "text"), "title", "text", ["role"], ["conv_id", "turn", "post_id"], F.lit(None).cast("string"), F.lit(None).cast("string"))
+    cleaned = kept(cleaning.clean(rows, "title", "text"), "cleaned-posts")
+    out = cleaning.flag(cleaned, "title", "text", ["role"], ["conv_id", "turn", "post_id"], F.lit(None).cast("string"), F.lit(None).cast("string"))
     return out.select("conv_id", "turn", "letters", "flag_unusable", "flag_exact_duplicate", "flag_repeated", "retain", "reason")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_day, to_number
@@ -86,19 +86,37 @@ def reachable(df: DataFrame) -> bool:
 
 
 def save_and_reload(df: DataFrame, path: str) -> DataFrame:
-    """Write, read again, and fail if the number of rows changed."""
-    observed = df.count()
-    df.write.mode("overwrite").parquet(path)
+    """Write, read again, and fail if the number of rows changed. Rows are counted while they are written: one pass."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     again = df.sparkSession.read.parquet(path)
-    if again.count() != observed:
-        raise OSError(f"{path} holds {again.count()} rows, {observed} were written")
+    written, held = seen.get["n"], again.count()
+    if held != written:
+        raise OSError(f"{path} holds {held} rows, {written} were written")
     return again
 
 
+def verified(observed: DataFrame, expected: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
+    """Observed counts beside expected ones, the difference and whether they agree; keys of either side, absent ones as 0."""
+    both = observed.select(*keys, F.col(count).alias("observed")).join(expected.select(*keys, F.col(count).alias("expected")), list(keys), "full").na.fill(0, ["observed", "expected"])
+    return both.withColumns({"difference": F.col("observed") - F.col("expected"), "agrees": F.col("observed") == F.col("expected")})
+
+
+def coverage(rows: DataFrame, moment: str, name: str) -> DataFrame:
+    """Rows per year and community of a source."""
+    return rows.groupBy(F.year(moment).cast("long").alias("yr"), F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n").option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
+def write_raw_text_csv(df: DataFrame, path: str) -> None:
+    """CSV of raw text: every value quoted, quotes doubled, line breaks kept, UTF-8; nulls as empty values."""
+    text = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
+    text.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").option("encoding", "UTF-8").csv(path)
+
+
 def write_json(record: dict, spark: SparkSession, path: str) -> None:
     spark.createDataFrame([(json.dumps(record, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -107,6 +125,22 @@ def write_report(lines: Sequence[str], spark: SparkSession, path: str) -> None:
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_named_text(lines: DataFrame, path: str, header: str | None = None) -> None:
+    """Text lines as the one file `path` (small outputs: they go through one task), with a header line."""
+    spark = lines.sparkSession
+    part, fs = f"{path}.parts", spark.sparkContext._jvm.org.apache.hadoop.fs
+    whole = lines.coalesce(1)
+    if header is not None:
+        whole = spark.createDataFrame([(header,)], "value string").coalesce(1).unionAll(whole.toDF("value")).coalesce(1)
+    whole.write.mode("overwrite").text(part)
+    folder = fs.Path(part)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = next(f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    store.delete(fs.Path(path), False)
+    store.rename(made, fs.Path(path))
+    store.delete(folder, True)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
