@@ -47,7 +47,7 @@ def csv_header(spark, sf_dir):
     return spark.createDataFrame([(c, i) for i, c in enumerate(tables.csv_columns(spark, at))], "name string, place int")
 
 
-TWO_SQL = f"WITH {MARKET_SQL}, l AS (SELECT CAST(day AS VARCHAR) AS day, level FROM market), p AS (SELECT day, 'LOW' AS ticker, round(level / 2, 4) AS value FROM l UNION ALL SELECT day, 'HIGH', round(level * 2, 4) FROM l)"
+TWO_SQL = f"WITH {MARKET_SQL}, l AS (SELECT CAST(day AS VARCHAR) AS day, level FROM market), p AS (SELECT day, 'LOW' AS ticker, floor(level) AS value FROM l UNION ALL SELECT day, 'HIGH', 2 * floor(level) FROM l)"
 
 
 @register("two_row_header", TWO_SQL + " SELECT day, ticker, value FROM p")
@@ -55,13 +55,12 @@ def two_row_header(spark, sf_dir):
     """A file whose first two lines name field and ticker: one field of every ticker."""
     at = scratch(spark, "two-rows")
     level = market_level(spark, sf_dir)
-    number = lambda c: F.format_string("%.4f", c)
-    lines = level.select(F.concat_ws(",", F.col("day").cast("string"), number(F.col("level") / 2), number(F.col("level") * 2), F.lit("1")).alias("value"))
+    lines = level.select(F.concat_ws(",", F.col("day").cast("string"), F.floor("level").cast("string"), (2 * F.floor("level")).cast("string"), F.lit("1")).alias("value"))
     head = spark.createDataFrame([("Price,Close,Close,Volume",), ("Ticker,LOW,HIGH,LOW",), ("Date,,,",)], "value string")
     one = head.coalesce(1).unionAll(lines.orderBy("value").coalesce(1)).coalesce(1)
     one.write.text(at)
     out = tables.read_two_row_header(spark, at, "Close", "day")
-    return out.select(F.col("day").cast("string").alias("day"), "ticker", F.round("value", 4).alias("value"))
+    return out.select(F.col("day").cast("string").alias("day"), "ticker", "value")
 
 
 @register("spreadsheet_sheets", "SELECT 'Nations' AS sheet, n_nationkey + 3 AS row, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation UNION ALL SELECT 'Regions', r_regionkey + 3, CAST(r_regionkey AS VARCHAR), r_name FROM region")
