@@ -18,6 +18,9 @@ from . import (
     op8_quality_classifier,
     op9_language,
     op10_toxicity,
+    op11_prefix_trie,
+    op12_hard_negatives,
+    op13_line_dedup,
     pipeline,
 )
 from .common import table, tokenizer_path
@@ -64,6 +67,18 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline.run,
     "op1_piece_samples": op1_query,
@@ -76,6 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_query,
     "op9_language": op9_query,
     "op10_toxicity": op10_query,
+    "op11_prefix_trie": op11_query,
+    "op12_hard_negatives": op12_query,
+    "op13_line_dedup": op13_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": op2_licenses.oracle_sql(), "op3_pii": op3_pii.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": op2_licenses.oracle_sql(),
+    "op3_pii": op3_pii.oracle_sql(),
+    "op11_prefix_trie": op11_prefix_trie.oracle_sql(),
+    "op12_hard_negatives": op12_hard_negatives.oracle_sql(),
+    "op13_line_dedup": op13_line_dedup.oracle_sql(),
+}
