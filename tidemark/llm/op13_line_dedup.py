@@ -20,42 +20,56 @@ row, whatever their length. Other columns are kept; columns named n_lines or n_d
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import bloom
 from .common import BLANKS, park, unused
 
 MIN_CHARS = 10
+_BLANKS = BLANKS.encode()
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _digests(lines: list[bytes]) -> list[bytes | None]:
+    """The digest of each line's key; None for a short one. Bytes lower A-Z alone."""
+    keys = [line.strip(_BLANKS).lower() for line in lines]
+    long = lambda k: len(k) >= 4 * MIN_CHARS or len(k) >= MIN_CHARS and len(k.decode("utf-8", "replace")) >= MIN_CHARS
+    return [hashlib.md5(k).digest() if long(k) else None for k in keys]
 
 
-def _digest(line: Column) -> Column:
-    """The digest of a line's key; null for a short one."""
-    key = F.translate(F.btrim(line, F.lit(BLANKS)), _UPPER, _LOWER)
-    return F.when(F.char_length(key) >= MIN_CHARS, F.unhex(F.md5(key.cast("binary"))))
+def line_keys(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, digests): each document's distinct digests; documents without one are absent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [list(filter(None, dict.fromkeys(_digests(t.split(b"\n"))))) for t in part.column(1).to_pylist()]
+                has = pa.array([bool(f) for f in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(has), pa.array([f for f in found if f], pa.list_(pa.binary()))], names=["doc_id", "digests"])
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digests array<binary>")
 
 
 def _id_digest(doc_id: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")))
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("n_dropped", LongType())]))
+@F.pandas_udf(StructType([StructField("text", BinaryType()), StructField("n_dropped", LongType())]))
 def _without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
     """Texts without the lines whose digests are gone: a look-up a line, however many a document loses."""
-    lower, kept, dropped = str.maketrans(_UPPER, _LOWER), [], []
+    kept, dropped = [], []
     for text, lost in zip(texts, gone, strict=True):
-        lines, lost = text.split("\n"), set(lost)
-        keys = [line.strip(BLANKS).translate(lower) for line in lines] if lost else [""] * len(lines)
-        stay = [line for line, key in zip(lines, keys, strict=True) if len(key) < MIN_CHARS or hashlib.md5(key.encode("utf-8", "replace")).digest() not in lost]
-        kept.append("\n".join(stay))
+        lines, lost = text.split(b"\n"), set(lost)
+        stay = [line for line, digest in zip(lines, _digests(lines), strict=True) if digest not in lost] if lost else lines
+        kept.append(b"\n".join(stay))
         dropped.append(len(lines) - len(stay))
     return pd.DataFrame({"text": kept, "n_dropped": dropped})
 
@@ -66,14 +80,14 @@ def _tasks(df: DataFrame) -> int:
 
 def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", most_bits: int = bloom.MOST_BITS) -> DataFrame:
     """(doc_id, digests): what each document loses; documents that lose nothing are absent."""
-    keys = F.array_distinct(F.array_compact(F.transform(_lines(F.col(text)), _digest)))
-    held = park(docs.select(F.col(id_col).alias("doc_id"), keys.alias("digests")).where(F.size("digests") > 0), "line-keys")
+    held = park(line_keys(docs, text, id_col), "line-keys")
     n = held.agg(F.sum(F.size("digests"))).first()[0] or 0
     each = held.select("doc_id", F.explode("digests").alias("digest"))
     twice = bloom.seen_twice(each, "digest", bloom.bits_for(n, most_bits), _tasks(docs))
     suspects = park(each.where(bloom.might_hold(docs.sparkSession, twice, F.col("digest"))), "suspects")
     ids = suspects.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    repeats = ids.where((F.col("keeper") < F.col("other")) | (F.col("nameless") & F.col("keeper").isNotNull())).select("digest", "keeper")
+    # Written, so that a very common line's rows can be split over tasks where they meet their keeper.
+    repeats = park(ids.where((F.col("keeper") < F.col("other")) | (F.col("nameless") & F.col("keeper").isNotNull())).select("digest", "keeper"), "repeats")
     losing = suspects.join(repeats, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return losing.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
@@ -91,8 +105,8 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mos
     same = marked.where(~F.col(maybe)).select(*rows.columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).withColumn(text, whole)
     met = marked.where(F.col(maybe)).join(lost.select(F.col("key").alias(key), F.col("digests").alias(gone)), key, "left")
     # Where the filter was wrong there is no list of lost digests, so every line stays.
-    cut = met.withColumn(stay, _without(whole, F.coalesce(F.col(gone), F.array().cast("array<binary>"))))
-    cut = cut.select(*rows.columns, n_lines.alias("n_lines"), F.col(f"{stay}.n_dropped").alias("n_dropped"), F.col(f"{stay}.text").alias(stay))
+    cut = met.withColumn(stay, _without(whole.cast("binary"), F.coalesce(F.col(gone), F.array().cast("array<binary>"))))
+    cut = cut.select(*rows.columns, n_lines.alias("n_lines"), F.col(f"{stay}.n_dropped").alias("n_dropped"), F.col(f"{stay}.text").cast("string").alias(stay))
     return same.unionByName(cut.withColumn(text, F.col(stay)).drop(stay))
 
 
