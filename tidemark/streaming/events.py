@@ -57,8 +57,9 @@ def expanding_means(events: DataFrame, key: str, order: list[str], value: str) -
     """For each event the mean of the key's values before it: state is a count and a sum.
 
     Events of one micro-batch count in the given order, and after those of earlier batches: "before" is what had come by
-    then. A key's batch is walked in pieces, as Arrow delivers them, once sorted by Spark where that is possible (a single
-    batch); a late event sees all that came before it, not only what is older.
+    then, so a late event sees all that came before it, not only what is older. A key's rows of one batch are sorted
+    together in one worker: bound batches by files where keys are few. estimates.reestimated() waits for the watermark
+    instead, holds one bucket of time at once, and takes late rows in their place.
     """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
