@@ -56,6 +56,61 @@ def test_labels(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+#: Notices and the labels that a reader gives them.
+NOTICES = [
+    ("Released under the MIT License.", "mit"),
+    ("released under the ISC License", "isc"),
+    ("released under the BSD License", ""),
+    ("released under the GPL License", ""),
+    ("released under the new License", ""),
+    ("Licensed under the Apache License, Version 2.0.", "apache-2"),
+    ("Licensed under the Mozilla Public License, version 2.0.", ""),
+    ("Licensed under the EUPL, Version 2.0", ""),
+    ("licensed under the BSD 3-Clause License", "bsd"),
+    (GNU.format("", 3), "gpl,gpl-3"),
+    (GNU.format("", 2), "gpl,gpl-2"),
+    (GNU.format("Lesser ", 3), "lgpl"),
+    (GNU.format("Affero ", 3), "agpl"),
+    (CC.format("Attribution"), "cc-by"),
+    (CC.format("Attribution-NonCommercial"), "cc-by-nc"),
+    (CC.format("Attribution-ShareAlike"), "cc-by-sa"),
+    (CC.format("Attribution-NoDerivatives"), "cc-by-nd"),
+    (CC.format("Attribution-NonCommercial-ShareAlike"), "cc-by-nc-sa"),
+    (CC.format("Attribution-NonCommercial-NoDerivatives"), "cc-by-nc-nd"),
+    ("Text licensed under CC BY 4.0.", "cc-by"),
+    ("Text licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("Text licensed under CC BY-ND 4.0.", "cc-by-nd"),
+    ("Text licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    ("Code is " + CC.format("Attribution") + " Much later, and apart from it, the pictures: " + CC.format("Attribution-NonCommercial"), "cc-by,cc-by-nc"),
+]
+
+
+def test_notices_have_the_labels_a_reader_gives_them(spark):
+    rows = [(i, f"Some text before it. {n}\nand after it") for i, (n, _) in enumerate(NOTICES)]
+    got = {r.doc_id: r.labels for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(NOTICES[i][0], got[i]) for i in sorted(got)] == NOTICES
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert dict(duckdb.connect().execute(f"SELECT doc_id, labels FROM ({L.oracle_sql()})").fetchall()) == got
+
+
+def test_recall_over_altered_notices(spark):
+    """Every template is found after one word in ten was lost or changed, inside of other text."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for i, (_, t) in enumerate(L.TEMPLATES):
+        words = t.split()
+        if len(words) >= 20:
+            for at in range(0, len(words), 10):
+                words[at + rng.randrange(min(10, len(words) - at))] = "changed"
+        rows.append((i, "Before it. " * 30 + " ".join(words) + "\nafter it" * 30))
+    got = {r.doc_id: r.labels.split(",") for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [label in got[i] for i, (label, _) in enumerate(L.TEMPLATES)]
+    assert sum(found) >= 0.9 * len(found)
+
+
 def test_filters_lose_nothing():
     """Every block at or over the threshold is found, whatever the frequencies say."""
     import random

@@ -14,9 +14,10 @@ words:
   meets every block that begins at one of them, and no other block holds more.
 
 Filters only skip what can't pass, so the finds depend on no frequency. Templates are a parameter of bounded size and
-go to the workers with the code; the first pass counts only their words. Labels with siblings (versions, variants) have
-telling words, one of which a block must hold to earn them; else a notice of one would be named by all. A notice that
-holds the words of two labels is named by both.
+go to the workers with the code; the first pass counts only their words. A label has telling words, of which a block must
+hold one (of each group) where the template has any, and may have words of its siblings that a block must not hold: else
+a notice would be named by every label that shares its wording. Blocks begin at a word of the template and are as long as
+allowed; one that would hold a sibling's word earns nothing. A notice that holds the words of two labels is named by both.
 
 Null and empty texts have no words and no labels, score 0. Rows pass one by one: repeated or null doc_ids and empty
 tables need no rule. Extra columns are ignored.
@@ -38,6 +39,7 @@ TEMPLATES = (
     ("mit", "licensed under the MIT License, see the LICENSE file for details"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("isc", "released under the ISC License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache-2", "licensed under the Apache License, Version 2.0"),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -59,12 +61,28 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-sa", "licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-nd", "licensed under CC BY-NC-ND 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
     ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 )
-#: Words that tell a label from its siblings: a block without them does not earn it.
-TELLING = {"gpl-2": "2", "gpl-3": "3", "lgpl": "lesser", "agpl": "affero", "cc-by": "attribution by", "cc-by-sa": "sharealike sa", "cc-by-nc": "noncommercial nc", "isc": "fee"}
+#: Words that tell a label from others, in groups: a block holds a word of every group that its template has words of.
+NC, SA, ND = "noncommercial nc", "sharealike sa", "noderivatives nd"
+TELLING = {
+    "mit": ("mit",), "isc": ("isc fee",), "apache-2": ("apache",), "bsd": ("bsd",), "gpl": ("gnu",), "gpl-2": ("gnu", "2"), "gpl-3": ("gnu", "3"), "lgpl": ("lesser",), "agpl": ("affero",), "mpl-2": ("mozilla mpl",), "epl-2": ("eclipse",),
+    "cc-by": ("attribution by",), "cc-by-sa": (SA,), "cc-by-nc": (NC,), "cc-by-nd": (ND,), "cc-by-nc-sa": (NC, SA), "cc-by-nc-nd": (NC, ND),
+}
+#: Words of a label's siblings: a block that holds one does not earn the label.
+_NOT_NC, _NOT_SA, _NOT_ND = f"{NC} commercial", f"{SA} alike", f"{ND} derivatives derivs noderivs"
+FORBIDDEN = {
+    "gpl": "lesser affero library", "gpl-2": "lesser affero library", "gpl-3": "lesser affero library", "lgpl": "affero", "agpl": "lesser",
+    "cc-by": f"{_NOT_NC} {_NOT_SA} {_NOT_ND}", "cc-by-sa": f"{_NOT_NC} {_NOT_ND}", "cc-by-nc": f"{_NOT_SA} {_NOT_ND}", "cc-by-nd": f"{_NOT_NC} {_NOT_SA}", "cc-by-nc-sa": _NOT_ND, "cc-by-nc-nd": _NOT_SA,
+}
 CONTAINED = 0.8
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -92,11 +110,11 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], contained: float):
         self.index: dict[bytes, list[tuple[int, int]]] = {}
-        self.all: list[tuple[str, list[bytes], frozenset, frozenset, int, int]] = []
+        self.all: list[tuple[str, list[bytes], frozenset, list[frozenset], frozenset, int, int]] = []
         for t, (label, words) in enumerate(templates):
             ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             least = needed(len(ordered), contained)
-            self.all.append((label, ordered, frozenset(ordered), telling_of(label, words), least, width(len(words), contained)))
+            self.all.append((label, ordered, frozenset(ordered), telling_of(label, words), forbidden_of(label), least, width(len(words), contained)))
             for place, word in enumerate(ordered[: len(ordered) - least + 1]):
                 self.index.setdefault(word, []).append((t, place))
         self.prefixes = frozenset(self.index)
@@ -111,33 +129,41 @@ class Templates:
             for t, place in self.index[word]:
                 first[t] = min(place, first.get(t, place))
         for t, place in sorted(first.items()):
-            label, ordered, words, telling, least, span = self.all[t]
+            label, ordered, words, telling, forbidden, least, span = self.all[t]
             if len(ordered) - place < least or len(own & words) < least:
                 continue
-            best = most_words([(i, w) for i, w in enumerate(text) if w in words], span, telling)
+            marks = words | forbidden
+            best = most_words([(i, w) for i, w in enumerate(text) if w in marks], span, telling, forbidden)
             if best >= least:
                 yield label, best / len(ordered)
 
 
-def telling_of(label: str, words: list[bytes]) -> frozenset:
-    """The telling words of `label` that the template has; all its words where it has none."""
-    return frozenset(words).intersection(words_of(TELLING.get(label, "").encode())) or frozenset(words)
+def telling_of(label: str, words: list[bytes]) -> list[frozenset]:
+    """The groups of telling words of `label` that the template has words of."""
+    groups = (frozenset(words_of(g.encode())) for g in TELLING.get(label, ()))
+    return [g for g in groups if not g.isdisjoint(words)]
 
 
-def most_words(places: list[tuple[int, bytes]], span: int, telling: frozenset) -> int:
-    """The most distinct words within `span` neighbouring positions that hold a telling one; places in order."""
+def forbidden_of(label: str) -> frozenset:
+    return frozenset(words_of(FORBIDDEN.get(label, "").encode()))
+
+
+def most_words(places: list[tuple[int, bytes]], span: int, telling: list[frozenset], forbidden: frozenset) -> int:
+    """The most distinct template words of a block of `span` words that begins at one of the places (in order).
+
+    A block counts if it holds a word of each telling group and no forbidden one.
+    """
     inside: Counter = Counter()
-    best = tail = 0
+    best = head = 0
     for at, word in places:
-        inside[word] += 1
-        while places[tail][0] <= at - span:
-            gone = places[tail][1]
-            inside[gone] -= 1
-            if not inside[gone]:
-                del inside[gone]
-            tail += 1
-        if len(inside) > best and not telling.isdisjoint(inside):
+        while head < len(places) and places[head][0] < at + span:
+            inside[places[head][1]] += 1
+            head += 1
+        if len(inside) > best and forbidden.isdisjoint(inside) and not any(g.isdisjoint(inside) for g in telling):
             best = len(inside)
+        inside[word] -= 1
+        if not inside[word]:
+            del inside[word]
     return best
 
 
@@ -200,19 +226,19 @@ def oracle_sql(templates=TEMPLATES, phrases=PHRASES, contained: float = CONTAINE
     rows = []
     for t, (label, text) in enumerate(templates):
         words = sorted(set(words_of(text.encode())))
-        telling = sorted(telling_of(label, words))
-        rows.append(f"({t}, '{label}', {quoted(words)}, {quoted(telling)}, {len(words)}, {needed(len(words), contained)}, {width(len(words_of(text.encode())), contained)})")
+        groups = [sorted(g) for g in telling_of(label, words)] + [[]] * 2
+        rows.append(f"({t}, '{label}', {quoted(words)}, {quoted(groups[0])}::VARCHAR[], {quoted(groups[1])}::VARCHAR[], {quoted(sorted(forbidden_of(label)))}::VARCHAR[], {len(words)}, {needed(len(words), contained)}, {width(len(words_of(text.encode())), contained)})")
     phrase_rows = ", ".join(f"({quoted(p.encode().split())}, '{label}')" for p, label in phrases)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, {_sql_words("text")} AS words FROM d),
 p(phrase, label) AS (VALUES {phrase_rows}),
-t(tid, label, words, telling, size, least, span) AS (VALUES {", ".join(rows)}),
-tw AS (SELECT tid, word, span, list_contains(telling, word) AS tells FROM (SELECT tid, unnest(words) AS word, span, telling FROM t)),
+t(tid, label, words, first, second, forbidden, size, least, span) AS (VALUES {", ".join(rows)}),
+tw AS (SELECT tid, word, span, CASE WHEN list_contains(words, word) THEN word END AS own, len(first) = 0 OR list_contains(first, word) AS one, len(second) = 0 OR list_contains(second, word) AS two, list_contains(forbidden, word) AS bad FROM (SELECT *, unnest(list_concat(words, forbidden)) AS word FROM t)),
 spot AS (SELECT rid, i AS pos, words[i] AS word FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
 place AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w) x JOIN p ON x.words[i] = phrase[1] AND x.words[i:i + len(phrase) - 1] = phrase),
 base AS (SELECT rid, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY rid),
-block AS (SELECT rid, tid, count(DISTINCT word) OVER (PARTITION BY rid, tid ORDER BY pos RANGE BETWEEN CURRENT ROW AND (span - 1) FOLLOWING) AS n, bool_or(tells) OVER (PARTITION BY rid, tid ORDER BY pos RANGE BETWEEN CURRENT ROW AND (span - 1) FOLLOWING) AS told FROM spot JOIN tw USING (word)),
+block AS (SELECT rid, tid, count(DISTINCT own) OVER b AS n, bool_or(one) OVER b AND bool_or(two) OVER b AND NOT bool_or(bad) OVER b AS told FROM spot JOIN tw USING (word) WINDOW b AS (PARTITION BY rid, tid ORDER BY pos RANGE BETWEEN CURRENT ROW AND (span - 1) FOLLOWING)),
 most AS (SELECT rid, tid, max(n) AS n FROM block WHERE told GROUP BY rid, tid),
 hit AS (SELECT rid, label, n / size::DOUBLE AS s FROM most JOIN t USING (tid) WHERE n >= least),
 named AS (SELECT rid, label FROM hit UNION SELECT rid, label FROM place),
