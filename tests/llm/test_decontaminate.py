@@ -69,14 +69,19 @@ def brute(docs, items):
         for form, t in enumerate([text, (text or "").lower()]):
             toks = canon(uncased(t)) if text is not None and i is not None else []
             if toks:
-                per_item.setdefault((i, form, min(5, len(toks))), []).append(toks)
+                exact = sum(c not in ("\x01", "\x02", "\x03") for c, _ in toks) < 3
+                # By value: each token stands for itself.
+                per_item.setdefault((i, form + 2 * exact, min(5, len(toks))), []).append([(v, v) for _, v in toks] if exact else toks)
     for (i, form, size), lists in per_item.items():
         totals.setdefault((i, form), set()).update(tuple(c for c, _ in t[k : k + size]) for t in lists for k in range(len(t) - size + 1))
     for d, text in docs:
         if d is None or text is None:
             continue
-        t = canon(uncased(text))
+        as_template = canon(uncased(text))
         for (i, form, size), own in per_item.items():
+            t = [(v, v) for _, v in as_template] if form > 1 else as_template
+            if form > 1 and size < 5 and len(t) != size:
+                continue
             shifts = {}
             for a in range(len(t) - size + 1):
                 for o in own:
@@ -106,6 +111,27 @@ def test_against_brute_force(spark):
     assert not {14, 15, 25, 27} & {d for d, _ in finds}
 
 
+def test_templates_without_words_are_sought_by_value(spark):
+    """Items that are nearly all placeholders remove their own text, and no other of the same shape."""
+    items = [(1, "42"), (2, "7 8 9 10 11"), (3, "costs 5 kg"), (4, "Anna Maria Smith"), (5, words(25))]
+    docs = [(1, "42"), (2, "the answer is 42 of course"), (3, "17"), (4, "7 8 9 10 11"), (5, "1 2 3 4 5"), (6, "count 20 30 40 50 60 70"), (7, "Costs 5 kg"), (8, "it costs 6 kg"), (9, "costs 6 kg"), (10, "we met Anna Maria Smith and Bob Jones"), (11, words(60)), (12, words(9) + " 7 8 9 10 11 " + words(3)), (13, items[4][1])]
+    got = {(r.doc_id, r.item_id, r.n_found, r.refilled) for r in D.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and {g[:2] for g in got} == {(1, 1), (4, 2), (7, 3), (10, 4), (12, 2), (13, 5)}  # three words in capitals are words
+
+
+def test_long_names_are_one_name(spark):
+    name = "Anna Berta Clara Dora Emma Frida Greta Hanna Ida Julia Karla"
+    text = f"we have seen {name} in town and then nobody else for many a long and rainy day"
+    got = spark.createDataFrame([(text,)], "text string").select(D.tokens(D.F.col("text"), False)).first()[0]
+    assert got[:6] == ["we", "have", "seen", D.NAME, "in", "town"]
+
+
+def test_a_very_long_text(spark):
+    long = " ".join([words(20_000), ITEM, words(20_000)])
+    got = D.search(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in got] == [(1, 2, 1.0)]
+
+
 def test_shuffled_join_finds_the_same(spark, monkeypatch):
     docs, items = (spark.createDataFrame(x, s) for x, s in ((_docs(), "doc_id long, text string"), (ITEMS, "item_id long, text string")))
     want = sorted(map(str, D.search(docs, items).collect()))

@@ -11,7 +11,10 @@ phrase, or fill slots at random, stay.
 In texts that are set in capitals or in Title Case, where capitals tell no names, all words count as lower-case. Items
 are sought in two forms, with their names as slots and with all words lower-cased, and found by either.
 
-Items shorter than a window are one window of their own length. Texts are told apart by their 64-bit hash: equal texts
+A template of fewer than LITERALS literal words would be filled by any text of its shape. Such items are sought by value:
+windows hold their numbers, names and units as they stand, and one shorter than a window is found only as a whole text.
+
+Items shorter than a window are one window of their own length. Names of any number of words are one name. Texts are told apart by their 64-bit hash: equal texts
 count once. Null and empty texts have no windows. search() leaves out rows without doc_id, and of several texts under
 one doc_id reports the one that holds most of an item; decontaminate() decides by text, whatever the id. A null item_id
 leaves the item out; rows with equal item_id are one item. Empty tables give no finds. Other columns, whatever their
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import let, park, unpark
 
-WINDOW, CONTAINED = 5, 0.8
+WINDOW, CONTAINED, LITERALS = 5, 0.8, 3
 #: Item windows up to this many are broadcast (16 bytes each and overhead: under 100 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,6 +41,8 @@ UNITS = (
 )
 #: Joins the parts of one number and the words of one name, so that a slot's value is one token.
 JOIN = "\u0005"
+#: Ends a capitalised word until neighbours are one name.
+END = "\u0006"
 _WORD = "\\p{L}\\p{N}"
 #: Patterns begin with the rare character that they look for and look behind from there: most of a text costs one test a character.
 _NUMBER = f"(?:{JOIN}?\\p{{N}})*+"
@@ -50,12 +55,11 @@ def uncased(text: Column) -> Column:
 
 def tokens(text: Column, values: bool) -> Column:
     """The canonical tokens of `text`; with `values`, a placeholder is followed by what it stands for."""
-    t = F.regexp_replace(F.coalesce(uncased(text), F.lit("")), f"[{NUM}{NAME}{UNIT}{JOIN}]", " ")
+    t = F.regexp_replace(F.coalesce(uncased(text), F.lit("")), f"[{NUM}{NAME}{UNIT}{JOIN}{END}]", " ")
     t = F.regexp_replace(t, r"[.,:/](?<=\p{N}.)(?=\p{N})", JOIN)
     # Names are capitalised words after a word or comma in the same sentence; neighbours make one name.
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^.!?:\s]\s\p{{Lu}})\p{{Ll}}+(?![{_WORD}])", f" {NAME}$0 ")
-    for _ in range(3):  # pairs, then fours, then eights
-        t = F.regexp_replace(t, rf"({NAME}[{_WORD}{JOIN}]+)\s+{NAME}([{_WORD}{JOIN}]+)", f"$1{JOIN}$2")
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^.!?:\s]\s\p{{Lu}})\p{{Ll}}+(?![{_WORD}])", f" {NAME}$0{END} ")
+    t = F.regexp_replace(F.regexp_replace(t, rf"{END}\s+{NAME}", JOIN), END, " ")
     t = F.regexp_replace(t, rf"(\p{{N}}(?<![{_WORD}{NUM}]\p{{N}}){_NUMBER})\s?({UNITS})(?![{_WORD}])", f" {NUM}$1 {UNIT}$2 ")
     t = F.regexp_replace(t, rf"\p{{N}}(?<![{_WORD}{NUM}{JOIN}]\p{{N}}){_NUMBER}(?![{_WORD}{JOIN}])", f" {NUM}$0 ")
     if not values:
@@ -68,10 +72,14 @@ def _windows(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), at)).otherwise(F.array().cast("array<long>"))
 
 
-def _hashes(rows: DataFrame, size: int) -> DataFrame:
-    """(key, hash) of every window, in compiled code: one row per place, no lambda. The outer explode keeps the optimizer from testing the tokens for emptiness first, which would compute them twice."""
-    words = rows.select("key", tokens(F.col("text"), False).alias("w"))
-    places = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size))
+def _hashes(rows: DataFrame, size: int, exact: bool = False) -> DataFrame:
+    """(key, hash) of every window, in compiled code: one row per place, no lambda. The outer explode keeps the optimizer from testing the tokens for emptiness first, which would compute them twice.
+
+    With `exact`, windows hold values, and those shorter than WINDOW are whole texts.
+    """
+    words = rows.select("key", tokens(F.col("text"), exact).alias("w"))
+    long = F.size("w") == size if exact and size < WINDOW else F.size("w") >= size
+    places = F.when(long, F.sequence(F.lit(0), F.size("w") - size))
     placed = words.select("key", "w", F.explode_outer(places).alias("at")).where("at is not null")
     return placed.select("key", F.xxhash64(*(F.col("w")[F.col("at") + k] for k in range(size))).alias("hash"))
 
@@ -96,18 +104,24 @@ def _with_values(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """(keys, at, hash, slots) of every window."""
     full = rows.select(*keys, tokens(F.col("text"), True).alias("full"))
     both = full.select(*keys, let(F.col("full"), lambda f: F.struct(F.transform(f, _strip).alias("plain"), f.alias("full"))).alias("t"))
-    zipped = both.select(*keys, F.posexplode(F.arrays_zip(_windows(F.col("t.plain"), size).alias("hash"), _slots(F.col("t.plain"), F.col("t.full"), size).alias("slots"))).alias("at", "w"))
+    hashed = F.when(F.col("exact"), F.col("t.full")).otherwise(F.col("t.plain")) if "exact" in keys else F.col("t.plain")
+    zipped = both.select(*keys, F.posexplode(F.arrays_zip(_windows(hashed, size).alias("hash"), _slots(F.col("t.plain"), F.col("t.full"), size).alias("slots"))).alias("at", "w"))
     return zipped.select(*keys, "at", "w.hash", "w.slots")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, form, n_windows, size, item_at, hash, item_slots), one row per window of every item and form."""
+    """(item_id, form, n_windows, size, exact, item_at, hash, item_slots), one row per window of every item and form.
+
+    Forms 0 and 1 are templates, 2 and 3 the same by value, for items of few literal words.
+    """
     rows = items.where("item_id is not null and text is not null").select("item_id", F.posexplode(F.array(F.col("text"), F.lower("text"))).alias("form", "text"))
-    sized = rows.withColumn("size", F.least(F.size(tokens(F.col("text"), False)), F.lit(WINDOW)))
+    plain = F.filter("plain", lambda w: ~w.isin(NUM, NAME, UNIT))
+    sized = rows.withColumn("plain", tokens(F.col("text"), False)).withColumns({"size": F.least(F.size("plain"), F.lit(WINDOW)), "exact": F.size(plain) < LITERALS})
+    sized = sized.withColumn("form", F.col("form") + 2 * F.col("exact").cast("int"))
     parts = []
     for size in range(1, WINDOW + 1):
-        own = _with_values(sized.where(F.col("size") == size), ["item_id", "form"], size)
-        parts.append(own.select("item_id", "form", F.lit(size).alias("size"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")))
+        own = _with_values(sized.where(F.col("size") == size), ["item_id", "form", "exact"], size)
+        parts.append(own.select("item_id", "form", F.lit(size).alias("size"), "exact", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
@@ -122,13 +136,18 @@ ITEM = ["item_id", "form", "n_windows"]
 def search_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
     """The (key, item_id) finds of texts (key long, text), each by the item's form that is held best."""
     bench = park(item_windows(items), "item-windows")
-    sizes = bench.groupBy("size").agg(F.count("*").alias("n")).collect()  # five rows at most
+    sizes = bench.groupBy("size", "exact").agg(F.count("*").alias("n")).collect()  # ten rows at most
     small = sum(r["n"] for r in sizes) <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
     finds, spent = None, [bench]
-    for size in sorted(r["size"] for r in sizes):
-        own = bench.where(F.col("size") == size)
+    for size, exact in sorted((r["size"], r["exact"]) for r in sizes):
+        own = bench.where((F.col("size") == size) & (F.col("exact") == exact)).drop("exact")
         hashes = own.select("hash", *ITEM).distinct()
+        if exact:
+            same = _hashes(texts, size, True).join(hint(hashes), "hash").groupBy("key", *ITEM).agg(F.countDistinct("hash").alias("n_found"), F.lit(False).alias("refilled"))
+            same = same.where(F.col("n_found") >= CONTAINED * F.col("n_windows"))
+            finds = same if finds is None else finds.unionAll(same)
+            continue
         # First by hash alone: no values, no alignment, and little else than the texts is read.
         met = _hashes(texts, size).join(hint(hashes), "hash")
         near = met.groupBy("key", *ITEM).agg(F.countDistinct("hash").alias("n")).where(F.col("n") >= CONTAINED * F.col("n_windows"))
