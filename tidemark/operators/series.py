@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_return, percent_change
+from . import blocks
 
 
 def ordered(keys: Sequence[str], *order) -> WindowSpec:
@@ -38,17 +39,33 @@ def changes(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFra
     )
 
 
-def local_median(df: DataFrame, keys: Sequence[str], day: str, value: str, half: int = 3, least: int = 3, out: str = "local_median") -> DataFrame:
-    """The exact median of the rows from `half` before to `half` after, where at least `least` have values."""
-    w = ordered(keys, day).rowsBetween(-half, half)
-    return df.withColumn(out, F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(0.5)).over(w)))
+def local_median(df: DataFrame, keys: Sequence[str], day: str, value: str, half: int = 3, least: int = 3, out: str = "local_median", block: int | None = None) -> DataFrame:
+    """The exact median of the rows from `half` before to `half` after, where at least `least` have values.
 
+    With `block`, a series is cut into blocks of so many rows, each with copies of the neighbours' edge rows.
+    """
+    rows = df if block is None else blocks.haloed(blocks.blocked(df, keys, day, block), half, half, block)
+    w = blocks.order_of(keys, block, day).rowsBetween(-half, half)
+    done = rows.withColumn(out, F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(0.5)).over(w)))
+    return done if block is None else blocks.owned(done)
 
-def runs(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
-    """Runs of equal values: start, end, length and value (gaps and islands)."""
-    w = ordered(keys, day)
+
+def runs(df: DataFrame, keys: Sequence[str], day: str, value: str, block: int | None = None) -> DataFrame:
+    """Runs of equal values: start, end, length and value (gaps and islands).
+
+    With `block`, each block gives its runs, and those that meet at a block's edge are joined: a run is a row a block,
+    numbered over a table of runs, so one of any length spreads over tasks.
+    """
+    if block is not None:
+        df = blocks.haloed(blocks.blocked(df, keys, day, block), 1, 0, block)
+    w = blocks.order_of(keys, block, day)
     changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    numbered = df.withColumn("__changed", changed).withColumn("run", F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = df.withColumn("__changed", changed)
+    if block is None:
+        numbered = marked.withColumn("run", F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        # A run's number is how many have begun by then; the copied row before a block begins none of the block's.
+        numbered = blocks.running(marked.where(F.col(blocks.OWN)), keys, {"run": ("sum", F.col("__changed"))})
     return numbered.groupBy(*keys, "run").agg(F.min(day).alias("run_start"), F.max(day).alias("run_end"), F.count(F.lit(1)).alias("run_length"), F.min_by(value, day).alias("run_value"))
 
 
@@ -66,13 +83,23 @@ def reversal(df: DataFrame, keys: Sequence[str], day: str, change: str, now: flo
     return df.withColumn("reversal", F.coalesce(flag, F.lit(False)))
 
 
-def expanding(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
-    """Start, end, size and mean of everything before each row: what a forecast at that row may use."""
+def expanding(df: DataFrame, keys: Sequence[str], day: str, value: str, block: int | None = None) -> DataFrame:
+    """Start, end, size and mean of everything before each row: what a forecast at that row may use.
+
+    With `block`, prefix sums over blocks of so many rows in place of one window a series.
+    """
+    if block is not None:
+        wanted = {"train_start": ("min", F.col(day)), "train_end": ("max", F.col(day)), "train_n": ("count", F.col(value)), "__sum": ("sum", F.col(value))}
+        done = blocks.running(blocks.blocked(df, keys, day, block), keys, wanted, current=False)
+        return done.withColumn(f"{value}_mean", F.try_divide(F.col("__sum"), F.col("train_n"))).drop("__sum", blocks.RN, blocks.BLOCK)
     w = ordered(keys, day).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumns({"train_start": F.min(day).over(w), "train_end": F.max(day).over(w), "train_n": F.count(value).over(w), f"{value}_mean": F.avg(value).over(w)})
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], day: str, columns: Sequence[str]) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], day: str, columns: Sequence[str], block: int | None = None) -> DataFrame:
+    if block is not None:
+        done = blocks.running(blocks.blocked(df, keys, day, block), keys, {f"cumulative_{c}": ("sum", F.col(c)) for c in columns})
+        return done.drop(blocks.RN, blocks.BLOCK)
     w = ordered(keys, day).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({f"cumulative_{c}": F.sum(c).over(w) for c in columns})
 

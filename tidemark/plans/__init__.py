@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import checks, files, joins, models, panels, quality, scalars, scoring, statistics, streams, summaries, texts, windows  # noqa: F401
+from . import checks, files, joins, long_series, models, panels, quality, scalars, scoring, statistics, streams, summaries, texts, windows  # noqa: F401

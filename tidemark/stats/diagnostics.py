@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probability
 from ..functions.scalar import stars
+from ..operators import blocks
 from .ols import _key_schema, _unpack, fit, gram, residuals, solve
 
 TEST = "test string, statistic double, df double, p_value double"
@@ -23,20 +24,29 @@ def durbin_watson(df: DataFrame, u: str, keys: Sequence[str], day: str) -> DataF
     return df.withColumn("__d", F.pow(F.col(u) - before, 2)).groupBy(*keys).agg((F.sum("__d") / F.sum(F.col(u) * F.col(u))).alias("durbin_watson"))
 
 
-def autocorrelation(df: DataFrame, u: str, keys: Sequence[str], day: str, lags: Sequence[int]) -> DataFrame:
-    """(keys, lag, n, acf, bound): autocorrelations about the overall mean, and 1.96 / sqrt(n)."""
-    mean = F.avg(u).over(Window.partitionBy(*keys))
-    order = Window.partitionBy(*keys).orderBy(day)
-    centred = df.where(F.col(u).isNotNull()).select(*keys, day, (F.col(u) - mean).alias("__e"))
+def autocorrelation(df: DataFrame, u: str, keys: Sequence[str], day: str, lags: Sequence[int], block: int | None = None) -> DataFrame:
+    """(keys, lag, n, acf, bound): autocorrelations about the overall mean, and 1.96 / sqrt(n).
+
+    With `block`, series are cut into blocks of so many rows, each with copies of the rows that its first ones look back to.
+    """
+    known = df.where(F.col(u).isNotNull())
+    if block is None:
+        centred = known.select(*keys, day, (F.col(u) - F.avg(u).over(Window.partitionBy(*keys))).alias("__e"))
+    else:
+        means = known.groupBy(*keys).agg(F.avg(u).alias("__m"))
+        centred = blocks.meet(known.select(*keys, day, F.col(u).alias("__e")), means, keys).withColumn("__e", F.col("__e") - F.col("__m")).drop("__m")
+        centred = blocks.haloed(blocks.blocked(centred, keys, day, block), max(lags), 0, block)
+    order = blocks.order_of(keys, block, day)
     lagged = centred.withColumns({f"__l{k}": F.col("__e") * F.lag("__e", k).over(order) for k in lags})
+    lagged = lagged if block is None else blocks.owned(lagged)
     got = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__e") * F.col("__e")).alias("v"), *(F.coalesce(F.sum(f"__l{k}"), F.lit(0.0)).alias(f"g{k}") for k in lags))
     items = F.array(*(F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"g{k}"), F.col("v")).alias("acf")) for k in lags))
     return got.select(*keys, "n", F.inline(items)).withColumn("bound", 1.96 / F.sqrt("n"))
 
 
-def ljung_box(df: DataFrame, u: str, keys: Sequence[str], day: str, lags: Sequence[int] = (1, 3, 7, 14, 30)) -> DataFrame:
+def ljung_box(df: DataFrame, u: str, keys: Sequence[str], day: str, lags: Sequence[int] = (1, 3, 7, 14, 30), block: int | None = None) -> DataFrame:
     """Q = n (n + 2) sum_{k <= lag} acf_k^2 / (n - k), chi-square with `lag` degrees."""
-    acf = autocorrelation(df, u, keys, day, range(1, max(lags) + 1))
+    acf = autocorrelation(df, u, keys, day, range(1, max(lags) + 1), block)
     sums = acf.groupBy(*keys, "n").agg(*(F.sum(F.when(F.col("lag") <= m, F.pow("acf", 2) / (F.col("n") - F.col("lag")))).alias(f"q{m}") for m in lags))
     items = F.array(*(F.struct(F.lit(m).alias("lag"), (F.col("n") * (F.col("n") + 2) * F.col(f"q{m}")).alias("q")) for m in lags))
     return with_chi2(sums.select(*keys, "n", F.inline(items)), "q", "lag")

@@ -1,7 +1,8 @@
 """Expanding-window one-step-ahead forecasts and tests that compare them.
 
 The cross-products of all rows before t are cumulative window sums, so a series of T rows costs O(T k^2) instead of T
-refits. A single long series is one window partition; panels of many series spread over tasks.
+refits. A short series is one window partition and panels of many series spread over tasks; with `block`, series are cut
+into blocks of so many rows, and cumulative sums are prefix sums within blocks and over a table of one row a block.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import normal_cdf
+from ..operators import blocks
 from ..operators.frames import listwise
 from .ols import _array, bartlett
 
@@ -33,6 +35,37 @@ def _moments(rows: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], da
     return base.withColumns(new)
 
 
+def _sums(k: int) -> dict[str, tuple[str, Column]]:
+    """The running sums of _moments as blocks.running() takes them."""
+    d = [F.col(f"__d{i}") for i in range(k + 1)]
+    return {"__n": ("count", F.lit(1))} | {f"__s{i}": ("sum", d[i]) for i in range(k + 1)} | {f"__s{i}_{j}": ("sum", d[i] * d[j]) for i in range(k + 1) for j in range(i + 1)}
+
+
+def _centred(rows: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], day: str, block: int) -> DataFrame:
+    """Blocked rows with their values about the series' first row."""
+    every = [y, *xs]
+    base = blocks.firsts(blocks.blocked(rows, keys, day, block), keys, {f"__b{i}": c for i, c in enumerate(every)})
+    return base.withColumns({f"__d{i}": F.col(c).cast("double") - F.col(f"__b{i}") for i, c in enumerate(every)})
+
+
+def _past(rows: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], day: str, block: int) -> DataFrame:
+    """_moments over all rows before, by blocks."""
+    sums = _sums(len(xs)) | {"__from": ("min", F.col(day)), "__to": ("max", F.col(day))}
+    return blocks.running(_centred(rows, y, xs, keys, day, block), keys, sums, current=False)
+
+
+def _trailing(rows: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], day: str, block: int, width: int, step: int) -> DataFrame:
+    """_moments over the last `width` rows of every `step`-th window, by differences of prefix sums."""
+    sums = _sums(len(xs))
+    upto = blocks.running(_centred(rows, y, xs, keys, day, block), keys, sums)
+    aside = {f"__p{name}": name for name in sums}
+    ends = upto.where((F.col(blocks.RN) >= width) & ((F.col(blocks.RN) - width) % step == 0))
+    past = upto.where(F.col(blocks.RN) % step == 0).select(*keys, (F.col(blocks.RN) + width).alias(blocks.RN), *(F.col(c).alias(n) for n, c in aside.items()))
+    done = blocks.meet(ends, past, [*keys, blocks.RN])
+    done = done.withColumns({name: F.col(name) - F.coalesce(F.col(p), F.lit(0)) for p, name in aside.items()}).drop(*aside)
+    return done.withColumns({"__from": F.lit(None).cast("string"), "__to": F.lit(None).cast("string")})
+
+
 def _pack(rows: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
     """Packs the moments of _moments into arrays: (keep, n, from, to, d, b, s, ss)."""
     of = lambda i, j: F.col(f"__s{max(i, j)}_{min(i, j)}")
@@ -58,8 +91,8 @@ def slopes(n: float, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, float]
     return b, float(s[0] - b @ s[1:]) / n
 
 
-def expanding_forecasts(df: DataFrame, y: str, models: dict[str, Sequence[str]], keys: Sequence[str], day: str, start: str, least: int = 30) -> DataFrame:
-    """One forecast per key, day from `start` on, and model; all models use the same complete rows.
+def expanding_forecasts(df: DataFrame, y: str, models: dict[str, Sequence[str]], keys: Sequence[str], day: str, start: str | None, least: int = 30, block: int | None = None) -> DataFrame:
+    """One forecast per key, day from `start` on (None: from the first), and model; all models use the same complete rows.
 
     Columns: keys, day, actual, model, forecast, error, train_n, train_start, train_end. A model trains on the rows
     before the day, `least` or more of them.
@@ -67,8 +100,9 @@ def expanding_forecasts(df: DataFrame, y: str, models: dict[str, Sequence[str]],
     every = list(dict.fromkeys(x for xs in models.values() for x in xs))
     k, places = len(every), {m: [every.index(x) + 1 for x in xs] for m, xs in models.items()}
     rows = listwise(df, [y, *every]).select(*keys, day, F.col(y).alias("actual"), *every)
-    packed = _pack(_moments(rows, "actual", every, keys, day, PAST), k, [*keys, day, "actual"])
-    packed = packed.where((F.col(day) >= F.lit(start).cast("date")) & (F.col("train_n") >= least))
+    moments = _moments(rows, "actual", every, keys, day, PAST) if block is None else _past(rows, "actual", every, keys, day, block)
+    packed = _pack(moments, k, [*keys, day, "actual"])
+    packed = packed.where((F.lit(True) if start is None else F.col(day) >= F.lit(start).cast("date")) & (F.col("train_n") >= least))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -86,12 +120,16 @@ def expanding_forecasts(df: DataFrame, y: str, models: dict[str, Sequence[str]],
     return packed.mapInPandas(run, schema).withColumn("error", F.col("actual") - F.col("forecast"))
 
 
-def rolling_models(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], day: str, width: int = 365, step: int = 7, least: int = 330) -> DataFrame:
+def rolling_models(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], day: str, width: int = 365, step: int = 7, least: int = 330, block: int | None = None) -> DataFrame:
     """Coefficients over windows of `width` rows, every `step` rows: (keys, window_end, parameter, coefficient, n)."""
     rows = listwise(df, [y, *xs]).select(*keys, day, F.col(y).alias("__y"), *xs)
     order = Window.partitionBy(*keys).orderBy(day)
     k = len(xs)
-    packed = _pack(_moments(rows, "__y", xs, keys, day, (-(width - 1), 0)).withColumn("__rn", F.row_number().over(order)), k, [*keys, F.col(day).alias("window_end"), "__rn", *(F.col(f"__b{i}").cast("double").alias(f"m{i}") for i in range(k + 1))])
+    if block is None:
+        moments = _moments(rows, "__y", xs, keys, day, (-(width - 1), 0)).withColumn("__rn", F.row_number().over(order))
+    else:
+        moments = _trailing(rows, "__y", xs, keys, day, block, width, step)
+    packed = _pack(moments, k, [*keys, F.col(day).alias("window_end"), "__rn", *(F.col(f"__b{i}").cast("double").alias(f"m{i}") for i in range(k + 1))])
     packed = packed.where((F.col("__rn") >= width) & ((F.col("__rn") - width) % step == 0) & (F.col("train_n") >= least)).withColumn("m", F.array(*(F.col(f"m{i}") for i in range(k + 1))))
     names = ["const", *xs]
 
@@ -138,11 +176,17 @@ def paired(forecasts: DataFrame, keys: Sequence[str], day: str, benchmark: str,
     )
 
 
-def long_run(df: DataFrame, d: str, keys: Sequence[str], day: str, lags: int = 7, correction: bool = False) -> DataFrame:
+def long_run(df: DataFrame, d: str, keys: Sequence[str], day: str, lags: int = 7, correction: bool = False, block: int | None = None) -> DataFrame:
     """Mean, Newey-West long-run variance (autocovariances over n) and standard error of a series' mean."""
-    whole = Window.partitionBy(*keys)
-    centred = df.where(F.col(d).isNotNull()).select(*keys, day, F.col(d).alias("__v"), (F.col(d) - F.avg(d).over(whole)).alias("__e"))
-    lagged = centred.withColumn("__w", bartlett([F.col("__e")], Window.partitionBy(*keys).orderBy(day), lags)[0])
+    known = df.where(F.col(d).isNotNull())
+    if block is None:
+        centred = known.select(*keys, day, F.col(d).alias("__v"), (F.col(d) - F.avg(d).over(Window.partitionBy(*keys))).alias("__e"))
+    else:
+        means = known.groupBy(*keys).agg(F.avg(d).alias("__m"))
+        centred = blocks.meet(known.select(*keys, day, F.col(d).alias("__v")), means, keys).withColumn("__e", F.col("__v") - F.col("__m")).drop("__m")
+        centred = blocks.haloed(blocks.blocked(centred, keys, day, block), lags, 0, block)
+    lagged = centred.withColumn("__w", bartlett([F.col("__e")], blocks.order_of(keys, block, day), lags)[0])
+    lagged = lagged if block is None else blocks.owned(lagged)
     got = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"), (F.sum(F.col("__e") * F.col("__e") + 2 * F.col("__e") * F.col("__w")) / F.count(F.lit(1))).alias("long_run_variance"))
     variance = F.col("long_run_variance") / (F.col("n") - 1 if correction else F.col("n"))
     return got.withColumn("se", F.when(F.col("long_run_variance") > 0, F.sqrt(variance))).withColumn("z", F.try_divide(F.col("mean"), F.col("se")))

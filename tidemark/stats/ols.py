@@ -12,10 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probability
+from ..operators import blocks
 from ..operators.frames import listwise
 
 COEFFICIENTS = "parameter string, coefficient double, se double, stat double, p_value double, ci_low double, ci_high double, n long, n_parameters int, r2 double, adj_r2 double, llf double, aic double, bic double, ssr double"
@@ -112,10 +113,16 @@ def bartlett(scores: Sequence[Column], window, lags: int) -> list[Column]:
     return out
 
 
-def meat(rows: DataFrame, names: Sequence[str], keys: Sequence[str], day: Sequence[str], lags: int) -> DataFrame:
-    """S = sum s s' + sum_l w_l (G_l + G_l') of the score columns `names`, as an array `s`, one row a model."""
-    w = Window.partitionBy(*keys).orderBy(*day)
-    lagged = rows.select(*keys, *names, *(c.alias(f"{n}__w") for n, c in zip(names, bartlett([F.col(n) for n in names], w, lags), strict=True)))
+def meat(rows: DataFrame, names: Sequence[str], keys: Sequence[str], day: Sequence[str], lags: int, block: int | None = None) -> DataFrame:
+    """S = sum s s' + sum_l w_l (G_l + G_l') of the score columns `names`, as an array `s`, one row a model.
+
+    With `block`, series are cut into blocks of so many rows, each with copies of the `lags` rows before it.
+    """
+    if block is not None:
+        rows = blocks.haloed(blocks.blocked(rows.select(*keys, *day, *names), keys, day, block), lags, 0, block)
+    w = blocks.order_of(keys, block, day)
+    lagged = rows.select(*keys, *names, *([] if block is None else [blocks.OWN]), *(c.alias(f"{n}__w") for n, c in zip(names, bartlett([F.col(n) for n in names], w, lags), strict=True)))
+    lagged = lagged if block is None else lagged.where(F.col(blocks.OWN))
     sums = {f"{a}_{b}": F.sum(F.col(a) * F.col(b) + F.col(a) * F.col(f"{b}__w") + F.col(f"{a}__w") * F.col(b)) for i, a in enumerate(names) for b in names[: i + 1]}
     got = lagged.groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
     at = {n: i for i, n in enumerate(names)}
@@ -123,10 +130,10 @@ def meat(rows: DataFrame, names: Sequence[str], keys: Sequence[str], day: Sequen
     return got.select(*keys, F.array(*full).alias("s"))
 
 
-def fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), day: str | Sequence[str] = "day", lags: int | None = 7, correction: bool = True, use_t: bool = False) -> DataFrame:
+def fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), day: str | Sequence[str] = "day", lags: int | None = 7, correction: bool = True, use_t: bool = False, block: int | None = None) -> DataFrame:
     """One row per model and parameter. lags=None: ordinary standard errors and Student's t.
 
-    correction: n / (n - k) on the covariance; use_t: Student's t instead of the normal distribution.
+    correction: n / (n - k) on the covariance; use_t: Student's t instead of the normal distribution; block: see meat().
     """
     order = [day] if isinstance(day, str) else list(day)
     rows = listwise(df, [y, *xs])
@@ -138,7 +145,7 @@ def fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = (), day:
         scored = residuals(df, y, xs, keys, grams)
         scores = [F.col("residual"), *(F.col("residual") * F.col(x) for x in xs)]
         scored = scored.select(*keys, *order, *(s.alias(f"s{i}") for i, s in enumerate(scores)))
-        both = _with(grams, meat(scored, [f"s{i}" for i in range(k + 1)], keys, order, lags), keys)
+        both = _with(grams, meat(scored, [f"s{i}" for i in range(k + 1)], keys, order, lags, block), keys)
     student = use_t or lags is None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
