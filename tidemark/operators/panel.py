@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .summary import with_median
+
 
 def grid(df: DataFrame, day: str, keys: Sequence[str], start: str | None = None, end: str | None = None) -> DataFrame:
     """Every day from `start` to `end` (the frame's own range where not given) for every key."""
@@ -29,14 +31,14 @@ def daily_scores(rows: DataFrame, day: str, keys: Sequence[str], score: str, lab
     counted = rows.groupBy(day, *keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(score).alias("mean_score"),
-        F.percentile(score, F.lit(0.5)).alias("median_score"),
         F.stddev_samp(score).alias("std_score"),
         of("positive").alias("n_positive"),
         of("neutral").alias("n_neutral"),
         of("negative").alias("n_negative"),
     )
     shares = {f"share_{c}": F.col(f"n_{c}") / F.col("n_rows") for c in ("positive", "neutral", "negative")}
-    return counted.withColumns(shares | {"activity": F.log1p("n_rows")})
+    whole = with_median(counted, rows, [day, *keys], score, "median_score")
+    return whole.withColumns(shares | {"activity": F.log1p("n_rows")})
 
 
 def observation_status(raw: Column, retained: Column, excluded: Column, covered: Column) -> Column:

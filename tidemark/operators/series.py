@@ -104,6 +104,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], day: str, columns: Sequence[
     return df.withColumns({f"cumulative_{c}": F.sum(c).over(w) for c in columns})
 
 
+def _text(df: DataFrame, name: str) -> Column:
+    """A column as text, digests as their digits."""
+    return F.hex(name) if dict(df.dtypes)[name] == "binary" else F.col(name).cast("string")
+
+
 def duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str], usable: Column) -> DataFrame:
     """later_copy (not the first of its keys by the unique `order`) and copies (size of the group, 0 where not usable).
 
@@ -111,7 +116,7 @@ def duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str], usable:
     texts. They are counted with partial sums and joined back, and a text with a third of all rows splits over tasks,
     which a window over the text would not.
     """
-    plain = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)), {"ignoreNullFields": "false"})
+    plain = F.to_json(F.array(*(_text(df, k) for k in keys)), {"ignoreNullFields": "false"})
     keyed = df.withColumn("__group", F.when(usable, F.unhex(F.md5(plain))))
     first = keyed.where(usable).groupBy("__group").agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("__n"))
     joined = keyed.join(first.withColumnRenamed("__group", "__of"), F.col("__group") == F.col("__of"), "left")

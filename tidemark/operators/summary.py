@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
+from .blocks import meet
 from .frames import unpivot
 
 
@@ -52,6 +53,11 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence
     return got.select(*keys, F.array(*(between(i, x) for i, x in enumerate(place))).alias("q"))
 
 
+def with_median(got: DataFrame, df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """`got` (a row a group of `df`) with each group's exact median, which no task gathers."""
+    return meet(got, percentiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias(name)), keys)
+
+
 def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per key and column: size, moments, extremes, exact percentiles, zeros."""
     long = unpivot(df, keys, columns)
@@ -72,15 +78,15 @@ def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
 
 
 def grouped_scores(df: DataFrame, keys: Sequence[str], score: str, extra: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(
+    got = df.groupBy(*keys).agg(
         F.count(score).alias("n"),
         F.avg(score).alias("mean"),
-        F.percentile(score, F.lit(0.5)).alias("median"),
         F.stddev_samp(score).alias("std"),
         F.min(score).alias("minimum"),
         F.max(score).alias("maximum"),
         *(F.avg(c).alias(f"mean_{c}") for c in extra),
     )
+    return with_median(got, df, keys, score, "median").select(*keys, "n", "mean", "median", "std", "minimum", "maximum", *(f"mean_{c}" for c in extra))
 
 
 def missingness(df: DataFrame, keys: Sequence[str], columns: Sequence[str], day: str) -> DataFrame:

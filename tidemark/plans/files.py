@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..registry import register
+from ..registry import ORACLE_SQL, register
 from ..session import load, scratch
 from ..sources import market as market_source
-from ..sources import spreadsheet, tables
+from ..sources import spreadsheet, tables, warehouse
 from .base import MARKET_SQL, r6
 from .base import market as market_level
 
@@ -78,11 +78,12 @@ def spreadsheet_sheets(spark, sf_dir):
     return out
 
 
-@register("wide_spreadsheet", "SELECT unnest(range(1, 41)) AS place, 'v' || unnest(range(1, 41)) AS value")
+@register("wide_spreadsheet", "SELECT CAST(n_nationkey + 1 AS BIGINT) AS place, n_name AS value FROM nation UNION ALL SELECT CAST((SELECT count(*) FROM nation) + r_regionkey + 1 AS BIGINT), r_name FROM region")
 def wide_spreadsheet(spark, sf_dir):
-    """Forty columns come as forty."""
+    """A row of all nations and regions, thirty columns, comes as thirty: names of columns go beyond one letter."""
     at = f"{scratch(spark, 'book')}/wide.xlsx"
-    spreadsheet.write_sheets(at, {"One": [[f"v{i}" for i in range(1, 41)]]})
+    names = lambda t, k, n: [r[0] for r in load(spark, sf_dir, t).orderBy(k).select(n).collect()]  # noqa: E731 (25 and 5 rows)
+    spreadsheet.write_sheets(at, {"One": [[*names("nation", "n_nationkey", "n_name"), *names("region", "r_regionkey", "r_name")]]})
     spreadsheet.register_source(spark)
     row = spark.read.format("sheet").load(at)
     cells = [c for c in row.columns if c not in ("sheet", "row")]
@@ -136,6 +137,23 @@ def extract_source(spark, sf_dir):
     return tables.extract(spark, posts, nations, wanted, "1996-01-01", "1996-12-31").select("post_id", F.col("post_date").cast("string").alias("post_date"), "community")
 
 
+@register("warehouse_extract", ORACLE_SQL["extract_source"])
+def warehouse_extract(spark, sf_dir):
+    """The extraction query over a date-partitioned table behind a data source that is asked for its days alone."""
+    at = scratch(spark, "warehouse")
+    customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("community_id"))
+    none = F.lit(None).cast("string")
+    posts = load(spark, sf_dir, "orders").join(customer, "o_custkey").select(
+        F.col("o_orderkey").alias("post_id"), F.to_date("o_orderdate").alias("posted"), F.col("o_orderdate").alias("created_at"), "community_id", F.col("o_orderpriority").alias("title"), none.alias("body"), F.lit(1).alias("score"), F.lit(1.0).alias("upvote_ratio"), F.lit(0).alias("num_comments"), none.alias("crosspost_parent_id"), none.alias("url"), none.alias("permalink")
+    )
+    warehouse.save(posts, at, "posted")
+    warehouse.register_source(spark)
+    stored = spark.read.format("warehouse").option("date", "posted").load(at).where("posted between date'1996-01-01' and date'1996-12-31'").drop("posted")
+    nations = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("community_id"), F.col("n_name").alias("name"))
+    wanted = [r[0] for r in nations.where("community_id in (3, 7)").select("name").collect()]
+    return tables.extract(spark, stored, nations, wanted, "1996-01-01", "1996-12-31").select("post_id", F.col("post_date").cast("string").alias("post_date"), "community")
+
+
 @register("source_coverage", "WITH o AS (SELECT year(o_orderdate) AS yr, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT yr, name, CASE WHEN yr = 1996 THEN n + 1 ELSE n END AS n FROM o WHERE yr <> 1997) SELECT yr, name, coalesce(o.n, 0) AS observed, coalesce(e.n, 0) AS expected, coalesce(o.n, 0) - coalesce(e.n, 0) AS difference, coalesce(o.n, 0) = coalesce(e.n, 0) AS agrees FROM o FULL JOIN e USING (yr, name)")
 def source_coverage(spark, sf_dir):
     """Rows per year and name against expected counts, of which one year is off by one and one is absent."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series
 from ..registry import register
-from ..session import load
+from ..session import kept, load
 from .base import CHANGES_SQL, SERIES_SQL, day_text, modelling, r6
 from .base import series as base_series
 
@@ -108,5 +108,7 @@ SELECT doc_id, key <> '' AND row_number() OVER (PARTITION BY lang_key, key ORDER
 def first_occurrence(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", " "), " +", " "))
-    base = docs.select("doc_id", F.substring("source", 1, 4).alias("lang_key"), key.alias("key"))
-    return series.duplicates(base, ["lang_key", "key"], ["doc_id"], F.col("key") != "").select("doc_id", "later_copy", F.col("copies").cast("long").alias("copies"))
+    digest = F.when(F.col("key") != "", F.unhex(F.md5(F.col("key").cast("binary"))))
+    # Texts are read and cleaned once; what is grouped and joined has 16 bytes for each.
+    base = docs.select("doc_id", F.substring("source", 1, 4).alias("lang_key"), key.alias("key")).select("doc_id", "lang_key", digest.alias("digest"))
+    return series.duplicates(kept(base, "digests"), ["lang_key", "digest"], ["doc_id"], F.col("digest").isNotNull()).select("doc_id", "later_copy", F.col("copies").cast("long").alias("copies"))

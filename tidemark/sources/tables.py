@@ -73,10 +73,9 @@ ORDER BY p.created_at, p.post_id"""
 
 def extract(spark: SparkSession, posts: DataFrame, communities: DataFrame, names: Sequence[str], start: str, end: str) -> DataFrame:
     """The extraction query over two warehouse tables; filters reach the scan."""
-    posts.createOrReplaceTempView("tidemark_posts")
-    communities.createOrReplaceTempView("tidemark_communities")
     listed = ", ".join("'" + n.lower().replace("'", "''") + "'" for n in names)
-    return spark.sql(EXTRACT.format(posts="tidemark_posts", communities="tidemark_communities", start=start, end=end, names=listed))
+    # Views of this call alone: several may run in one session at once.
+    return spark.sql(EXTRACT.format(posts="{posts}", communities="{communities}", start=start, end=end, names=listed.replace("{", "{{").replace("}", "}}")), posts=posts, communities=communities)
 
 
 def reachable(df: DataFrame) -> bool:
