@@ -41,6 +41,21 @@ def test_parser_equals_substring_search():
         assert row == [parse(text, data[k]) for k in sorted(data)]
 
 
+def test_language_batches_end_by_bytes(monkeypatch):
+    monkeypatch.setattr(G, "BATCH_ROWS", 3)
+    monkeypatch.setattr(G, "BATCH_BYTES", 10)
+    assert list(G.cuts([4, 4, 4, 50, 1, 1, 1, 1])) == [(0, 2), (2, 1), (3, 1), (4, 3), (7, 1)] and list(G.cuts([])) == []
+
+
+def test_language_of_long_texts_and_a_repeated_id(spark):
+    """Texts of some 200 KB, and an id that thousands of rows share."""
+    en, de = "the cat sat on the mat and looked out ", "die katze sitzt auf der matte und schaut "
+    ids = [i for i in range(3, 60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, (en if i % 2 else de) * 3, "en" if i % 2 else "de") for i in ids] + [(ids[0], en * 2, "en")] * 3000 + [(1001, en * 5_000, None), (1002, de * 5_000, None)]
+    got = {r.doc_id: r.lang_pred for r in G.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)).collect()}
+    assert (got[1001], got[1002]) == ("en", "de")
+
+
 def test_language(spark):
     rows = [(i, prose(k, rng.randint(5, 80)), k if i % 9 else None, "x") for i, k in enumerate(random.Random(1).choices(sorted(SYLLABLES), k=240))]
     truth = {i: k for i, k in enumerate(random.Random(1).choices(sorted(SYLLABLES), k=240))}

@@ -12,7 +12,7 @@ over goes to the longer ones). Every document is parsed whole; a batch's documen
 side, one byte a step.
 
 Null text, or text without a letter (in Unicode's sense: numerals are none): `und`, score 0. No labelled row at all: `und` throughout. Rows with equal or null
-doc_id stay rows of their own; null ids aren't trained on. An empty table gives an empty result.
+doc_id stay rows of their own; null ids aren't trained on, and of an id that several rows have ROWS_AN_ID give text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_bucket
 
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 1 << 15
+#: Rows of one sampled id that may give text, where ids are repeated.
+ROWS_AN_ID = 4
+#: Texts parsed side by side, and their bytes: a batch ends where either is reached (a longer text is a batch alone).
+BATCH_ROWS, BATCH_BYTES = 2048, 1 << 23
 FOLDS, HELD_OUT = 3, 1
 #: How sharply a difference in bits a byte tells in the score.
 SHARPNESS = 4.0
@@ -70,7 +75,7 @@ class Parser:
         self.languages = sorted(texts)
         self.bits = np.array([math.log2(max(2, len(texts[x]))) for x in self.languages])
         used = sorted(set(b"".join(texts.values())))
-        self.classes = np.full(256, len(used), np.int64)
+        self.classes = np.full(256, len(used), np.uint16)  # up to 256: a byte's class takes two bytes
         self.classes[used] = np.arange(len(used))
         self.width, tables, self.roots, base = len(used) + 1, [], [], 0
         for language in self.languages:
@@ -149,7 +154,9 @@ def sample(docs: DataFrame, allowed) -> dict[str, bytes]:
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id").distinct()
     # At most SAMPLE_DOCS ids a language: small enough to broadcast, and to collect SAMPLE_BYTES characters of each, which is all that one could give.
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
+    met = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    own = Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text"), "text")
+    got = met.withColumn("n", F.row_number().over(own)).where(F.col("n") <= ROWS_AN_ID).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"])):
         own = texts.setdefault(r["lang"], [])
@@ -158,6 +165,18 @@ def sample(docs: DataFrame, allowed) -> dict[str, bytes]:
     return {k: b"\n".join(t[:n] for t, n in zip(v, shares(list(map(len, v)), SAMPLE_BYTES - len(v)), strict=True)) for k, v in texts.items() if any(v)}
 
 
+def cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Where batches begin, and how many texts they have: BATCH_ROWS at most, and BATCH_BYTES unless one text has more."""
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at >= BATCH_ROWS or held + size > BATCH_BYTES):
+            yield at, i - at
+            at, held = i, 0
+        held += size
+    if sizes:
+        yield at, len(sizes) - at
+
+
 def predict(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of `docs` (doc_id, text, lang)."""
     spark, held = docs.sparkSession, doc_bucket("doc_id", FOLDS) == HELD_OUT
@@ -167,8 +186,8 @@ def predict(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(model.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at, n in cuts(pc.binary_length(whole.column(2)).fill_null(0).to_pylist()):
+                batch = whole.slice(at, n)
                 texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(2).to_pylist()]
                 known = list(map(lettered, texts))
                 langs, scores = parser.predict([normal(t) if ok else b"" for t, ok in zip(texts, known, strict=True)])
