@@ -63,6 +63,28 @@ def token_lengths(df: DataFrame, text: str, path: str, window: int = MAX_TOKENS,
     return rows.mapInArrow(run, schema + "token_length long, kept_length long, was_truncated boolean")
 
 
+def windowed_lengths(df: DataFrame, text: str, path: str, window: int = MAX_TOKENS, special: int = SPECIAL) -> DataFrame:
+    """`df`'s columns but the text, and cut_length: the tokens that the library itself leaves when it cuts to the window.
+
+    An independent count to hold kept_length against: here the tokenizer cuts each text, one at a time.
+    """
+    rest = [c for c in df.columns if c != text]
+    rows = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        added = 0 if made.num_special_tokens_to_add(False) else special
+        made.enable_truncation(window - added)
+        for batch in batches:
+            n = [len(made.encode(t).ids) + added for t in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*rest, "cut_length"])
+
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in rest)
+    return rows.mapInArrow(run, schema + "cut_length long")
+
+
 def audit(lengths: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys: texts, those cut and their share, tokens and those lost, mean and longest length."""
     n = F.count(F.lit(1))

@@ -109,14 +109,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@register("token_lengths")
-def token_lengths(spark, sf_dir):
-    """Every document's length in sub-word tokens with the special ones, and what a window of 512 keeps of it."""
-    return tokens.token_lengths(_texts(spark, sf_dir), "text", vocabulary())
-
-
-@register("token_audit")
-def token_audit(spark, sf_dir):
-    """Per language: texts that the window cuts, tokens lost, lengths."""
-    docs = load(spark, sf_dir, "documents").select("lang", T.model_input("text").alias("text"))
-    return tokens.audit(tokens.token_lengths(docs, "text", vocabulary()), ["lang"])
+@register("token_windows", "SELECT lang, count(*) AS n, count(*) AS n_equal, true AS adds_up FROM documents GROUP BY 1")
+def token_windows(spark, sf_dir):
+    """Per language: texts, those of which a window of 512 keeps just what the tokenizer's own cut leaves, and whether the
+    audit's tokens, kept and lost, add up. SQL knows no sub-word tokens; it has the counts that must come out.
+    """
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", T.model_input("text").alias("text"))
+    lengths = tokens.token_lengths(docs, "text", vocabulary())
+    both = lengths.join(tokens.windowed_lengths(docs.select("doc_id", "text"), "text", vocabulary()), "doc_id")
+    counted = both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept_length") == F.col("cut_length")).alias("n_equal"), F.sum("cut_length").alias("kept"))
+    audited = tokens.audit(lengths, ["lang"]).select("lang", (F.col("tokens") - F.col("tokens_lost")).alias("left"))
+    return counted.join(audited, "lang").select("lang", "n", "n_equal", (F.col("kept") == F.col("left")).alias("adds_up"))
