@@ -9,8 +9,10 @@ Links serve to connect, so a bucket needs no more than what connects it. Buckets
 pairs. Larger ones first propose a maximum spanning forest by estimate, `BLOCK` texts at a time (each block with the
 bucket's first text), which connects a group of near copies in rows in proportion to its size. A second round then takes
 the pairs of those buckets that the verified links left apart: texts outside their bucket's largest connected part,
-against all its others. So no link between unconnected texts is lost to the estimates' order. Its work is what lies
-apart times the bucket, a join that adaptive execution splits where a bucket is large.
+against all its others. So no link between unconnected texts is lost to the estimates' order. Those buckets' texts get
+a sketch of WIDE minima first, which tells pairs near the threshold apart more sharply: what is put out and verified are
+pairs whose Jaccard may well be `SIMILAR`, not all that share a bucket. What lies apart still meets the bucket's others,
+in a join that adaptive execution splits where a bucket is large.
 
 Sets hold 32-bit hashes. Texts without words have no set; equal texts count once.
 """
@@ -18,6 +20,7 @@ Sets hold 32-bit hashes. Texts without words have no set; equal texts count once
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import park, unpark
 from .components import components
 
@@ -33,8 +37,11 @@ SEED, SHINGLE, SIMILAR = 42, 5, 0.8
 MINIMA, BANDS, ROWS, SMALL, BLOCK = 128, 16, 4, 8, 1024
 #: Unequal places of MINIMA that a pair may have: a pair at 0.8 has 19.2, with a deviation of 4.1.
 MOST = 36
+#: The same of the wide sketch: a pair at 0.8 has 153.6, with a deviation of 11.4; as many deviations above as MOST is.
+WIDE, MOST_WIDE = 1024, 201
 
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_WIDE_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_FACTORS = _WIDE_FACTORS[:MINIMA]
 
 
 def shingle_hashes(text: bytes | None) -> np.ndarray:
@@ -49,11 +56,11 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """For each of MINIMA orders of the hashes, the least (uint32)."""
-    least = np.full(MINIMA, (1 << 32) - 1, np.uint32)
+def minima(hashes: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """For each order of the hashes, one a factor, the least (uint32)."""
+    least = np.full(len(factors), (1 << 32) - 1, np.uint32)
     for at in range(0, len(hashes), 2048):
-        mixed = hashes[at : at + 2048, None] * _FACTORS[None, :]
+        mixed = hashes[at : at + 2048, None] * factors[None, :]
         np.minimum(least, (mixed >> np.uint64(32)).min(axis=0).astype(np.uint32), out=least)
     return least
 
@@ -73,6 +80,26 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), lists, pa.array(sketches, pa.binary())], names=["item", "keys", "sketch"])
 
 
+#: Words of the wide sketch: low bits, then high ones.
+WIDE_WORDS = [f"w{i}" for i in range(2 * WIDE // 64)]
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least = [minima(shingle_hashes(t.as_py()), _WIDE_FACTORS) for t in batch.column(1)]
+        words = np.array([np.packbits([x & 1, x >> 1 & 1], axis=1) for x in least], np.uint8).reshape(len(least), -1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["item", *WIDE_WORDS])
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row for each wanted item (distinct) with its text. Texts that a filter of the items rules out don't move."""
+    spark, key = texts.sparkSession, lambda c: F.unhex(F.md5(F.col(c).cast("string").cast("binary")))
+    items = park(wanted.select("item", key("item").alias("digest")), "wanted")
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    table = bloom.filter_of(items, "digest", bloom.bits_for(items.count()), tasks)
+    return texts.where(bloom.might_hold(spark, table, key("item"))).join(items.select("item"), "item", "left_semi").dropDuplicates(["item"])
+
+
 def unequal(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     """In how many of the MINIMA places the sketches (rows of four uint64) differ from `one`."""
     apart = sketches ^ one
@@ -173,8 +200,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, fingerprint, label: str) -> Da
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "print_a", "print_b"]).filter(pa.array(near, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    found = texts.join(wanted, "item", "left_semi").mapInArrow(with_sets, "item long, print long, shingles binary")
-    sets = park(found.dropDuplicates(["item"]), "shingle-sets")
+    sets = park(_texts_of(texts, wanted).mapInArrow(with_sets, "item long, print long, shingles binary"), "shingle-sets")
     first = sets.select(F.col("item").alias("a"), F.col("print").alias("print_a"), F.col("shingles").alias("of_a"))
     second = sets.select(F.col("item").alias("b"), F.col("print").alias("print_b"), F.col("shingles").alias("of_b"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "print_a", "print_b", "of_a", "of_b")
@@ -183,19 +209,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, fingerprint, label: str) -> Da
     return links
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket that `links` leave unconnected, one of them outside the bucket's largest connected part."""
     root = components(links.select("a", "b")).select(F.col("node").alias("item"), "root")
-    rooted = park(members.join(root, "item", "left").withColumn("root", F.coalesce("root", "item")), "bucket-members")
+    rooted = park(members.join(root, "item", "left").select("key", "item", F.coalesce("root", "item").alias("root")), "bucket-members")
     largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("parts"))
-    outside = rooted.join(largest.where("parts > 1"), "key").where("root <> largest").drop("parts")
-    one, two = outside.alias("one"), rooted.alias("two")
-    differ = lambda i, j: (F.col(f"one.x{i}").bitwiseXOR(F.col(f"two.x{i}"))).bitwiseOR(F.col(f"one.x{j}").bitwiseXOR(F.col(f"two.x{j}")))
-    unlike = F.bit_count(differ(0, 2)) + F.bit_count(differ(1, 3))
+    split = park(rooted.join(largest.where("parts > 1").drop("parts"), "key"), "split-buckets")
+    wide = park(_texts_of(texts, split.select("item").distinct()).mapInArrow(_wide, "item long, " + ", ".join(f"{w} long" for w in WIDE_WORDS)), "wide-sketches")
+    sketched = split.join(wide, "item")
+    one, two = sketched.where("root <> largest").alias("one"), sketched.alias("two")
+    half = len(WIDE_WORDS) // 2
+    differ = lambda w: F.col(f"one.{w}").bitwiseXOR(F.col(f"two.{w}"))
+    unlike = reduce(lambda a, b: a + b, (F.bit_count(differ(low).bitwiseOR(differ(high))) for low, high in zip(WIDE_WORDS[:half], WIDE_WORDS[half:], strict=True)))
     once = (F.col("two.root") == F.col("one.largest")) | (F.col("one.item") < F.col("two.item"))
-    met = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & once & (unlike <= MOST))
+    met = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & once & (unlike <= MOST_WIDE))
     pairs = park(met.select(F.least("one.item", "two.item").alias("a"), F.greatest("one.item", "two.item").alias("b")).distinct(), "apart")
-    unpark(rooted)
+    for table in (rooted, split, wide):
+        unpark(table)
     return pairs
 
 
@@ -210,7 +240,7 @@ def near_copy_links(docs: DataFrame, text_col: str, fingerprint) -> DataFrame:
     links = _verified(pairs, texts, fingerprint, "near-copy-links")
     members = rows.where("other is null").drop("other")
     if not members.isEmpty():
-        apart = _apart(members, links)
+        apart = _apart(members, links, texts)
         fresh = park(apart.join(pairs, ["a", "b"], "left_anti"), "fresh-pairs")
         if not fresh.isEmpty():
             links = links.unionAll(_verified(fresh, texts, fingerprint, "more-near-copy-links"))
