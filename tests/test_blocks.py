@@ -94,3 +94,18 @@ def test_empty_series(spark):
     none = spark.createDataFrame([], "k string, t long, v long, x double, y double")
     assert series.runs(none, ["k"], "t", "v", 5).count() == 0 and series.running_sum(none, ["k"], "t", ["y"], 5).count() == 0
     assert diagnostics.autocorrelation(none, "y", ["k"], "t", [1], 5).count() == 0
+
+
+@pytest.fixture(scope="module")
+def far(spark):
+    """A daily series over the end of the year 9999, where Python's dates end and Spark writes years with a sign."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("a", i, rng.gauss(0, 1), rng.gauss(3, 2)) for i in range(60)], "k string, i int, y double, x double")
+    return rows.select("k", F.date_add(F.lit("9999-12-01").cast("date"), "i").alias("day"), "y", "x").cache()
+
+
+def test_days_after_the_year_9999_are_written_as_sql_writes_them(far):
+    from tidemark.plans.base import day_text
+
+    texts = sorted(r.day for r in far.select(day_text()).collect())
+    assert texts[0] == "10000-01-01" and texts[-1] == "9999-12-31" and len(texts) == 60

@@ -44,7 +44,8 @@ def modelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_text(c: str = "day"):
-    return F.col(c).cast("string").alias(c)
+    """A date as SQL writes it: Spark puts a sign before years of five digits."""
+    return F.ltrim(F.col(c).cast("string"), F.lit("+")).alias(c)
 
 
 def r6(c, name: str | None = None):
