@@ -109,3 +109,15 @@ def test_days_after_the_year_9999_are_written_as_sql_writes_them(far):
 
     texts = sorted(r.day for r in far.select(day_text()).collect())
     assert texts[0] == "10000-01-01" and texts[-1] == "9999-12-31" and len(texts) == 60
+
+
+def test_forecasts_after_the_year_9999(far):
+    whole, cut = (forecast.expanding_forecasts(far, "y", {"mean": (), "x": ("x",)}, ["k"], "day", None, least=5, block=b) for b in (None, 7))
+    plain = lambda df: df.select("k", F.unix_date("day").alias("day"), "model", "train_n", F.unix_date("train_end").alias("train_end"), "forecast", "error")
+    assert cut.count() == 110
+    same(plain(whole), plain(cut))
+
+
+def test_rolling_models_after_the_year_9999(far):
+    got = forecast.rolling_models(far, "y", ["x"], ["k"], "day", 30, 7, least=5, block=7).withColumn("window_end", F.unix_date("window_end")).collect()
+    assert len(got) == 10 and {r.parameter for r in got} == {"const", "x"}

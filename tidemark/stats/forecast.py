@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +81,26 @@ def _pack(rows: DataFrame, k: int, keep: Sequence[str]) -> DataFrame:
     )
 
 
+def _rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of one length, none of them null, as rows."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
+def row_slopes(n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes and constants from rows of sums (target first), and which rows have them."""
+    centred = ss - s[:, :, None] * s[:, None, :] / n[:, None, None]
+    xx, xy = centred[:, 1:, 1:], centred[:, 1:, 0]
+    b, ok = np.zeros(xy.shape), np.ones(len(n), bool)
+    if xy.size:
+        ok = np.linalg.matrix_rank(xx, hermitian=True) == xx.shape[1]
+        b[ok] = np.linalg.solve(xx[ok], xy[ok][:, :, None])[:, :, 0]
+    return b, (s[:, 0] - (b * s[:, 1:]).sum(axis=1)) / n, ok
+
+
 def slopes(n: float, s: np.ndarray, ss: np.ndarray) -> tuple[np.ndarray, float] | None:
     """Slopes and the constant from sums (target first)."""
-    centred = ss - np.outer(s, s) / n
-    xx, xy = centred[1:, 1:], centred[1:, 0]
-    if len(xx) and np.linalg.matrix_rank(xx, hermitian=True) < len(xx):
-        return None
-    b = np.linalg.solve(xx, xy) if len(xx) else np.empty(0)
-    return b, float(s[0] - b @ s[1:]) / n
+    b, const, known = row_slopes(np.array([n]), s[None], ss[None])
+    return (b[0], float(const[0])) if known[0] else None
 
 
 def expanding_forecasts(df: DataFrame, y: str, models: dict[str, Sequence[str]], keys: Sequence[str], day: str, start: str | None, least: int = 30, block: int | None = None) -> DataFrame:
@@ -99,25 +111,31 @@ def expanding_forecasts(df: DataFrame, y: str, models: dict[str, Sequence[str]],
     """
     every = list(dict.fromkeys(x for xs in models.values() for x in xs))
     k, places = len(every), {m: [every.index(x) + 1 for x in xs] for m, xs in models.items()}
-    rows = listwise(df, [y, *every]).select(*keys, day, F.col(y).alias("actual"), *every)
+    rows = listwise(df, [y, *every]).select(*keys, day, F.col(y).cast("double").alias("actual"), *every)
     moments = _moments(rows, "actual", every, keys, day, PAST) if block is None else _past(rows, "actual", every, keys, day, block)
     packed = _pack(moments, k, [*keys, day, "actual"])
     packed = packed.where((F.lit(True) if start is None else F.col(day) >= F.lit(start).cast("date")) & (F.col("train_n") >= least))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                s, ss, d = np.array(row.s, float), np.array(row.ss, float).reshape(k + 1, k + 1), np.array(row.d, float)
-                for model, at in places.items():
-                    own = [0, *at]
-                    got = slopes(row.train_n, s[own], ss[np.ix_(own, own)])
-                    value = None if got is None else row.b0 + got[1] + float(got[0] @ d[at])
-                    out.append((*(getattr(row, c) for c in keys), getattr(row, day), row.actual, model, value, row.train_n, row.train_start, row.train_end))
-            yield pd.DataFrame(out, columns=[*keys, day, "actual", "model", "forecast", "train_n", "train_start", "train_end"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, ss, d = (_rows_of(batch, c) for c in ("s", "ss", "d"))
+            n, b0 = (batch.column(c).to_numpy() for c in ("train_n", "b0"))
+            values, known = np.empty((batch.num_rows, len(places))), np.empty((batch.num_rows, len(places)), bool)
+            for i, at in enumerate(places.values()):
+                own = [0, *at]
+                b, const, known[:, i] = row_slopes(n, s[:, own], ss.reshape(-1, k + 1, k + 1)[:, own][:, :, own])
+                values[:, i] = b0 + const + (b * d[:, at]).sum(axis=1)
+            # Keys and days pass as they are: Python's own dates end with the year 9999.
+            each = pa.array(np.repeat(np.arange(batch.num_rows), len(places)))
+            of = {c: batch.column(c).take(each) for c in [*keys, day, "actual", "train_n", "train_start", "train_end"]}
+            of |= {"model": pa.array(list(places) * batch.num_rows, pa.string()), "forecast": pa.array(values.ravel(), pa.float64(), mask=~known.ravel())}
+            yield pa.RecordBatch.from_arrays([of[c] for c in names], names=names)
+
+    names = [*keys, day, "actual", "model", "forecast", "train_n", "train_start", "train_end"]
     schema = "".join(f"`{c}` {packed.schema[c].dataType.simpleString()}, " for c in [*keys, day]) + f"actual double, model string, forecast double, train_n long, train_start {packed.schema['train_start'].dataType.simpleString()}, train_end {packed.schema['train_end'].dataType.simpleString()}"
-    return packed.mapInPandas(run, schema).withColumn("error", F.col("actual") - F.col("forecast"))
+    return packed.mapInArrow(run, schema).withColumn("error", F.col("actual") - F.col("forecast"))
 
 
 def rolling_models(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], day: str, width: int = 365, step: int = 7, least: int = 330, block: int | None = None) -> DataFrame:
@@ -133,20 +151,19 @@ def rolling_models(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str]
     packed = packed.where((F.col("__rn") >= width) & ((F.col("__rn") - width) % step == 0) & (F.col("train_n") >= least)).withColumn("m", F.array(*(F.col(f"m{i}") for i in range(k + 1))))
     names = ["const", *xs]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                got = slopes(row.train_n, np.array(row.s, float), np.array(row.ss, float).reshape(k + 1, k + 1))
-                if got is None:
-                    continue
-                m = np.array(row.m, float)
-                values = [m[0] + got[1] - float(got[0] @ m[1:]), *got[0]]
-                out += [(*(getattr(row, c) for c in keys), row.window_end, name, float(v), row.train_n) for name, v in zip(names, values, strict=True)]
-            yield pd.DataFrame(out, columns=[*keys, "window_end", "parameter", "coefficient", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, ss, m = (_rows_of(batch, c) for c in ("s", "ss", "m"))
+            b, const, known = row_slopes(batch.column("train_n").to_numpy(), s, ss.reshape(-1, k + 1, k + 1))
+            values = np.column_stack((m[:, 0] + const - (b * m[:, 1:]).sum(axis=1), b))[known]
+            each = pa.array(np.repeat(np.flatnonzero(known), len(names)))
+            of = [batch.column(c).take(each) for c in [*keys, "window_end"]]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(names * len(values), pa.string()), pa.array(values.ravel()), batch.column("train_n").take(each)], names=[*keys, "window_end", "parameter", "coefficient", "n"])
 
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys) + f"window_end {df.schema[day].dataType.simpleString()}, parameter string, coefficient double, n long"
-    return packed.mapInPandas(run, schema)
+    return packed.mapInArrow(run, schema)
 
 
 def metrics(forecasts: DataFrame, keys: Sequence[str], benchmark: str) -> DataFrame:
