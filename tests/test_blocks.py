@@ -118,6 +118,12 @@ def test_forecasts_after_the_year_9999(far):
     same(plain(whole), plain(cut))
 
 
+def test_the_comparison_of_forecasts_after_the_year_9999(far):
+    pairs = forecast.paired(forecast.expanding_forecasts(far, "y", {"mean": (), "x": ("x",)}, ["k"], "day", None, least=5, block=7), ["k"], "day", "mean", "x")
+    got = forecast.long_run(pairs, "adjusted", ["k"], "day", correction=True, block=7).collect()
+    assert [r.n for r in got] == [55]
+
+
 def test_rolling_models_after_the_year_9999(far):
     got = forecast.rolling_models(far, "y", ["x"], ["k"], "day", 30, 7, least=5, block=7).withColumn("window_end", F.unix_date("window_end")).collect()
     assert len(got) == 10 and {r.parameter for r in got} == {"const", "x"}
