@@ -118,3 +118,24 @@ def test_later_batches_count_after_earlier_ones(spark, tmp_path):
         if not n:
             assert seen == {5: (0, None), 6: (1, 5.0), 99: (2, 5.5)}
     assert seen[11] == (0, None) and seen[5] == (1, 1.0) and seen[17] == (3, 4.0) and len(seen) == 6
+
+
+def test_a_long_key_is_put_out_in_slices(spark, tmp_path):
+    """More rows of one key than a slice takes: counts and means go on from slice to slice, nulls and late keys included."""
+    n = 2 * S.ROWS + 7
+    rows = spark.range(n).select(F.lit("a").alias("kind"), ((F.col("id") * 7919) % n).alias("at"), F.when(F.col("id") % 5 != 0, (F.col("id") % 100).cast("double")).alias("value"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    S.run_to_parquet(S.expanding_means(S.read_folder(spark, f"{tmp_path}/in", rows.schema), "kind", ["at"], "value"), f"{tmp_path}/out", f"{tmp_path}/c")
+    got = {r["at"]: (r.n_before, r.mean_before) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    count, total = 0, 0.0
+    assert len(got) == n
+    for r in sorted(rows.collect(), key=lambda r: r["at"]):
+        assert got[r["at"]] == (count, pytest.approx(total / count) if count else None)
+        count, total = count + (r.value is not None), total + (r.value or 0.0)
+
+
+def test_missing_values_sort_last():
+    import pandas as pd
+
+    for column in (pd.Series(["b", None, "a"]), pd.Series([2.0, None, 1.0]), pd.Series(pd.to_datetime(["2024-01-02", None, "2024-01-01"]))):
+        assert S._sortable(column).argsort(kind="stable").tolist() == [2, 0, 1]

@@ -53,6 +53,18 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 day
     return _marked(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+#: Rows of a group that are put out at once.
+ROWS = 10_000
+
+
+def _sortable(column: pd.Series) -> np.ndarray:
+    """A plain array in the column's order, missing values last."""
+    if column.dtype.kind in "iufM" and isinstance(column.dtype, np.dtype):
+        return column.to_numpy()
+    codes = pd.factorize(column, sort=True)[0]
+    return np.where(codes < 0, len(codes), codes)
+
+
 def expanding_means(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """For each event the mean of the key's values before it: state is a count and a sum.
 
@@ -64,15 +76,24 @@ def expanding_means(events: DataFrame, key: str, order: list[str], value: str) -
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        known = rows[value].notna().to_numpy()
-        counts = n + np.cumsum(known) - known
-        sums = total + np.cumsum(np.where(known, rows[value], 0.0)) - np.where(known, rows[value], 0.0)
-        means = np.divide(sums, counts, out=np.full(len(rows), np.nan), where=counts > 0)
-        state.update((int(n + known.sum()), float(total + rows[value].sum())))
-        out = rows[order].assign(n_before=counts, mean_before=pd.Series(means, index=rows.index).astype("Float64").mask(counts == 0))
-        out.insert(0, key, group[0])
-        yield out
+        parts: dict[str, list[pd.Series]] = {c: [] for c in (*order, value)}
+        for frame in frames:
+            for c, of in parts.items():
+                of.append(frame[c])
+        # A column at a time, by its own plain array: a key's rows are held once, and put out in slices.
+        columns = {c: pd.concat(parts.pop(c), ignore_index=True) for c in list(parts)}
+        by = np.lexsort([_sortable(columns[c]) for c in reversed(order)])
+        values = columns.pop(value).to_numpy(float, na_value=np.nan)[by]
+        known = ~np.isnan(values)
+        counts = n + np.concatenate(([0], np.cumsum(known)))
+        sums = np.cumsum(np.concatenate(([total], np.where(known, values, 0.0))))
+        state.update((int(counts[-1]), float(sums[-1])))
+        for at in range(0, len(by), ROWS):
+            here = by[at : at + ROWS]
+            before, so_far = counts[at : at + len(here)], sums[at : at + len(here)]
+            means = pd.Series(so_far / np.maximum(before, 1), dtype="Float64").mask(before == 0)
+            out = {c: columns[c].iloc[here].reset_index(drop=True) for c in order}
+            yield pd.DataFrame({key: pd.Series([group[0]] * len(here), dtype=object), **out, "n_before": before, "mean_before": means})
 
     kind = dict(events.dtypes)
     columns = "".join(f"`{c}` {kind[c]}, " for c in [key, *order])
