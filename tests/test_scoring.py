@@ -137,3 +137,22 @@ def test_ranges_hold_repeated_keys_together(spark):
     df = spark.createDataFrame([(1,)] * 30 + [(2,)] * 3 + [(None,)], "k long")
     got = sorted((r.low, r.high, r.n) for r in resumable.bounds(df, "k", 10).collect())
     assert sum(n for *_, n in got) == 33 and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_lengths_by_words_are_the_tokenizers_own(spark):
+    """Whole lengths and cuts from remembered words, against the library on whole texts and its own truncation."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    texts = ["", None, " \n\t ", "It's THE end.  Of (all) things!", "don't\u00a0stop caf\u00e9, na\u00efve; \u00c9t\u00c9! \u4f60\u597d 123 4.5", "<|endoftext|> A b <|endoftext|>", "word " * 700, "a.b,c " * 300 + "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    added = 0 if whole.num_special_tokens_to_add(False) else tokens.SPECIAL
+    for window in (12, 512):
+        got = {r.i: r for r in tokens.token_lengths(rows, "text", path, window, cut=True).collect()}
+        cut = {r.i: r.cut_length for r in tokens.windowed_lengths(rows, "text", path, window).collect()}
+        for i, t in enumerate(texts):
+            assert got[i].token_length == len(whole.encode(t or "").ids) + added, t
+            assert got[i].cut_length == cut[i] == got[i].kept_length, t

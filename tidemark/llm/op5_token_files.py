@@ -33,34 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tokens import MARKS, splits_words
 from .common import new_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: Words whose ids a worker remembers; it starts anew beyond.
 MEMORY = 800_000
-#: Marks (not the apostrophe, which may begin a contraction) between a letter, ASCII or Latin-1, and white space.
-_MARKS = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]))([!-&(-/:-@\[-`{-~]+)(?=\s)")
-
-
-#: What splits_words() asks of a tokenizer's description.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
-
-
-def splits_words(config: dict) -> bool:
-    """Whether a tokenizer (its JSON description) lower-cases, drops white space and splits as WordTokens supposes."""
-    before, model = config["pre_tokenizer"] or {}, config["model"]
-    parts = before.get("pretokenizers") or [{}]
-    return (
-        (config["normalizer"] or {}).get("normalizers") == _NORMAL
-        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
-        and parts[0]["pattern"] == {"Regex": _SPLIT}
-        and (parts[0]["behavior"], parts[0]["invert"]) == ("Removed", True)
-        and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"])
-        and (model["type"], model["dropout"]) == ("BPE", None)
-        and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in config["added_tokens"])
-        and not (config["truncation"] or config["padding"])
-    )
 
 
 def id_type(path: str, end_id: int) -> str:
@@ -92,7 +70,7 @@ class WordTokens:
             encoded = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.dtype).tobytes() + end for e in encoded]
         known = self.known
-        words = [(t if b"<|" in t else _MARKS.sub(rb" \1", t.lower())).split() for t in texts]
+        words = [(t if b"<|" in t else MARKS.sub(rb" \1", t.lower())).split() for t in texts]
         if len(known) > MEMORY:
             known.clear()
         new = list(set().union(*words).difference(known))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import resumable, scoring, tokens, trained
 from ..registry import register
-from ..session import load, scratch
+from ..session import kept, load, scratch
 from .base import r6
 from .quality import SCORED_SQL
 
@@ -115,8 +115,9 @@ def token_windows(spark, sf_dir):
     audit's tokens, kept and lost, add up. SQL knows no sub-word tokens; it has the counts that must come out.
     """
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", T.model_input("text").alias("text"))
-    lengths = tokens.token_lengths(docs, "text", vocabulary())
-    both = lengths.join(tokens.windowed_lengths(docs.select("doc_id", "text"), "text", vocabulary()), "doc_id")
-    counted = both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept_length") == F.col("cut_length")).alias("n_equal"), F.sum("cut_length").alias("kept"))
+    # Texts are dealt anew, since a table of few row groups would keep few tasks busy; the audits read what is kept.
+    spread = docs.repartition(4 * spark.sparkContext.defaultParallelism)
+    lengths = kept(tokens.token_lengths(spread.drop("doc_id"), "text", vocabulary(), cut=True), "token-lengths")
+    counted = lengths.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept_length") == F.col("cut_length")).alias("n_equal"), F.sum("cut_length").alias("kept"))
     audited = tokens.audit(lengths, ["lang"]).select("lang", (F.col("tokens") - F.col("tokens_lost")).alias("left"))
     return counted.join(audited, "lang").select("lang", "n", "n_equal", (F.col("kept") == F.col("left")).alias("adds_up"))
