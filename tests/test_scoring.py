@@ -35,6 +35,19 @@ def test_training_is_gradient_descent_on_all_rows(spark):
     assert got.rows == n and np.allclose(got.weights, w, atol=1e-12)
 
 
+def test_a_step_holds_a_slice_of_a_batch(spark):
+    """The work arrays of a step grow with ROWS, not with the rows of an Arrow batch; every row is summed once."""
+    n, most = 4 * trained.ROWS + 3, trained.ROWS
+    df = spark.range(n).coalesce(1).select(F.lit(0).alias("y"), F.array((F.col("id") % 7).cast("int")).alias("at"), F.array(F.lit(1.0)).alias("x"))
+
+    def part(y, at, x, starts):
+        assert len(y) <= most
+        return np.bincount(at, x, trained.BUCKETS + 1)[:, None]
+
+    got = trained._summed(df, 1, part)
+    assert got.sum() == n and got[:7, 0].tolist() == [len(range(i, n, 7)) for i in range(7)]
+
+
 def test_it_learns_and_the_artefact_keeps_it(spark, tmp_path):
     path = f"file://{tmp_path}/model"
     model = trained.fit(rows(spark), "text", "label")

@@ -33,6 +33,8 @@ FORMAT = 1
 _WORD = re.compile(r"\w+")
 #: Words whose buckets a worker remembers before it starts anew.
 MEMORY = 500_000
+#: Rows whose features are worked on at once.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -103,8 +105,8 @@ def _summed(rows: DataFrame, width: int, part: Callable[[np.ndarray, np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS + 1, width))
         for batch in batches:
-            if batch.num_rows:
-                y, at, x = batch.columns
+            for start in range(0, batch.num_rows, ROWS):  # a few times a slice's values are held, not a whole batch's
+                y, at, x = batch.slice(start, ROWS).columns
                 sizes = at.value_lengths().to_numpy(zero_copy_only=False)
                 total += part(y.to_numpy(), at.flatten().to_numpy(), x.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)[:-1])))
         some = np.flatnonzero(total.any(axis=1))
@@ -154,7 +156,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     fs, at = _fs(spark, path)
     names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
     whole = lambda n: fs.exists(_fs(spark, f"{path}/{n}/about/_SUCCESS")[1])
-    return sorted(int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n) and whole(n))
+    return sorted(int(n[2:]) for n in names if re.match(r"v=\d+\Z", n) and whole(n))
 
 
 def save(spark: SparkSession, model: Model, path: str) -> int:
