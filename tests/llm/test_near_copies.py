@@ -109,3 +109,13 @@ def test_large_groups_lose_no_link(spark, tmp_path, monkeypatch, block):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     kept = {r.doc_id for r in deduplicate(docs, near_copies=True).collect()}
     assert kept == set(_brute_groups(texts))
+
+
+def test_texts_that_share_several_buckets_meet_in_one(spark):
+    base = [f"s{i}" for i in range(120)]
+    texts = spark.createDataFrame([(i, bytearray(" ".join([*base, f"end{i}"]).encode())) for i in range(1, 5)], "item long, text binary")
+    wide = texts.mapInArrow(N._wide, "item long, " + ", ".join(f"{w} long" for w in N.WIDE_WORDS))
+    buckets = {-7: (1, 2, 3), 3: (1, 2, 3, 4), 5: (1, 2), 9: (3, 4, 1)}  # the largest part is another in the last
+    split = spark.createDataFrame([(k, i, i, own[0]) for k, own in buckets.items() for i in own], "key long, item long, root long, largest long")
+    met = [tuple(sorted(r)) for r in N._met(split, wide).collect()]
+    assert sorted(met) == [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]

@@ -11,8 +11,9 @@ bucket's first text), which connects a group of near copies in rows in proportio
 the pairs of those buckets that the verified links left apart: texts outside their bucket's largest connected part,
 against all its others. So no link between unconnected texts is lost to the estimates' order. Those buckets' texts get
 a sketch of WIDE minima first, which tells pairs near the threshold apart more sharply: what is put out and verified are
-pairs whose Jaccard may well be `SIMILAR`, not all that share a bucket. What lies apart still meets the bucket's others,
-in a join that adaptive execution splits where a bucket is large.
+pairs whose Jaccard may well be `SIMILAR`, not all that share a bucket, and each pair once, in the bucket of the least
+key that it shares. What lies apart still meets the bucket's others, in a join that adaptive execution splits where a
+bucket is large.
 
 Sets hold 32-bit hashes. Texts without words have no set; equal texts count once.
 """
@@ -209,6 +210,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, fingerprint, label: str) -> Da
     return links
 
 
+def _met(split: DataFrame, wide: DataFrame) -> DataFrame:
+    """(one, two): the pairs that may be near copies, of a text outside its bucket's largest part and one of another part.
+
+    `split` has every member (key, item, root, largest) of buckets in several parts, so whatever buckets two texts of
+    different parts share are all there: they meet in the one of the least key alone.
+    """
+    keys = split.groupBy("item").agg(F.collect_set("key").alias("keys"))
+    sketched = split.join(wide.join(keys, "item"), "item")
+    one, two = sketched.where("root <> largest").alias("one"), sketched.alias("two")
+    half = len(WIDE_WORDS) // 2
+    differ = lambda w: F.col(f"one.{w}").bitwiseXOR(F.col(f"two.{w}"))
+    unlike = reduce(lambda a, b: a + b, (F.bit_count(differ(low).bitwiseOR(differ(high))) for low, high in zip(WIDE_WORDS[:half], WIDE_WORDS[half:], strict=True)))
+    once = (F.col("two.root") == F.col("one.largest")) | (F.col("one.item") < F.col("two.item"))
+    here = F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
+    met = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & once & (unlike <= MOST_WIDE) & here)
+    return met.select(F.col("one.item").alias("one"), F.col("two.item").alias("two"))
+
+
 def _apart(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket that `links` leave unconnected, one of them outside the bucket's largest connected part."""
     root = components(links.select("a", "b")).select(F.col("node").alias("item"), "root")
@@ -216,14 +235,7 @@ def _apart(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("parts"))
     split = park(rooted.join(largest.where("parts > 1").drop("parts"), "key"), "split-buckets")
     wide = park(_texts_of(texts, split.select("item").distinct()).mapInArrow(_wide, "item long, " + ", ".join(f"{w} long" for w in WIDE_WORDS)), "wide-sketches")
-    sketched = split.join(wide, "item")
-    one, two = sketched.where("root <> largest").alias("one"), sketched.alias("two")
-    half = len(WIDE_WORDS) // 2
-    differ = lambda w: F.col(f"one.{w}").bitwiseXOR(F.col(f"two.{w}"))
-    unlike = reduce(lambda a, b: a + b, (F.bit_count(differ(low).bitwiseOR(differ(high))) for low, high in zip(WIDE_WORDS[:half], WIDE_WORDS[half:], strict=True)))
-    once = (F.col("two.root") == F.col("one.largest")) | (F.col("one.item") < F.col("two.item"))
-    met = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root")) & once & (unlike <= MOST_WIDE))
-    pairs = park(met.select(F.least("one.item", "two.item").alias("a"), F.greatest("one.item", "two.item").alias("b")).distinct(), "apart")
+    pairs = park(_met(split, wide).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")), "apart")
     for table in (rooted, split, wide):
         unpark(table)
     return pairs
