@@ -1,4 +1,6 @@
 import math
+import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -6,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from tidemark.llm import op1_piece_samples as S
+from tidemark.llm import queries
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -108,3 +111,43 @@ def test_decoding_gives_the_text_back(spark):
     again = S.sample(docs.repartition(3), MODEL, k=2, digest=True).collect()
     assert sorted(map(str, again)) == sorted(map(str, digest))
     assert S.sample(docs.limit(0), MODEL).count() == 0
+
+
+def test_own_encoding_is_the_librarys(vocabulary):
+    graph, rng = S.Graph(vocabulary), random.Random(3)
+    parts = ["a", "the", "The", "ing", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", "..", "²", "é", "e\u0301", "日", "本語", "\U0001f600", "\u200d", "\0"]
+    parts += ["<s>", "</s>", "<0x41>", "'s", "--", "23", "٣", "\u3000", "ǅ", "क्", "\ufffd", "//", "();", "▁", "x" * 40]
+    texts = ["", "\n", " ", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300))]
+    for _ in range(2):  # the second time from memory
+        for text, (ids, *_) in zip(texts, S.encode(graph, S.chunks(graph, texts)), strict=True):
+            assert ids.tolist() == vocabulary.encoder.encode(text), text
+    for text in ("the cat", "a.b é", "hi\nyou"):
+        ((ids, log_p, *_),) = S.encode(graph, S.chunks(graph, [text]))
+        assert log_p == pytest.approx(all_paths(vocabulary, text)[tuple(ids.tolist())], abs=1e-9)
+
+
+def test_decoding_passes_over_control_ids(spark, vocabulary):
+    rows = [(0, [1, *vocabulary.encoder.encode("Hello  you"), 2]), (1, []), (2, None), (3, [1, 2]), (4, vocabulary.encoder.encode(" é"))]
+    found = S.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").selectExpr("doc_id", "0 AS rank", "ids"), MODEL).collect()
+    assert [(r.doc_id, r.text) for r in sorted(found)] == [(0, "Hello  you"), (1, ""), (2, ""), (3, ""), (4, " é")]
+
+
+def test_query_gives_encodings_samples_and_decoded_texts(spark, vocabulary, tmp_path):
+    texts = {1: "Hello  world.", 2: None, 3: "", 4: "tab\tand\n\nline", 5: "émigré 日本 \U0001f600", 6: "▁mark", 7: "a" * 3000}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op1_query(spark, str(tmp_path)).collect()
+    library = vocabulary.encoder
+    assert sorted((r.doc_id, r.rank) for r in rows) == [(d, r) for d, t in texts.items() for r in range(3 if t else 2)]
+    for r in rows:
+        text = (texts[r.doc_id] or "").replace("▁", " ")
+        assert r.decoded and library.decode(r.ids) == text
+        assert r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids))
+        if r.rank == 0:
+            assert r.ids == library.encode(text) and r.perturbed is None and r.inclusion is None
+        else:
+            assert 0 <= r.inclusion <= 1
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.text) for r in S.round_trip(docs, MODEL).collect()} == {(d, (t or "").replace("▁", " ")) for d, t in texts.items()}
+    digest = S.sample(docs, MODEL, digest=True).collect()
+    key = lambda r: (r.doc_id, r.rank, r.n_pieces, r.ids_crc32, r.decoded, r.log_prob, r.perturbed, r.inclusion)
+    assert sorted(map(key, digest)) == sorted(key(r) for r in rows if r.rank)

@@ -18,6 +18,10 @@ the sets that leave a path beyond its first `OPEN` pieces are kept as one set, o
 Random numbers are functions of (seed, doc_id, sample, word, step), so a row's samples don't depend on its neighbours,
 on partitions or on retries. All texts of a batch walk the graph side by side.
 
+SentencePiece's own encoding of a text is its chunks' encodings in a row, since no merge goes beyond a chunk: the library
+encodes each chunk a worker doesn't know yet. `round_trip` gives it (rank 0) beside the samples, with the text that
+`decode` makes of each row's ids.
+
 Null and empty texts have one segmentation, the empty one, with inclusion 1; texts with fewer than k segmentations give
 all they have. Characters outside the vocabulary become bytes. U+2581 in a text is taken as a blank. Rows with equal
 doc_id share their random numbers; a null doc_id counts as 0. An empty table gives an empty result. Extra columns are
@@ -29,10 +33,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +48,7 @@ RANK_SHIFT, EXPONENT = 2.7, 1.0
 #: Nodes that a worker keeps between batches (about 80 bytes each), characters of new chunks made at once, and nodes
 #: below which a backward step goes one by one.
 KEPT_NODES, BUILD, SIDE_BY_SIDE = 300_000, 1 << 16, 16
-BATCH_DOCS, BATCH_CHARS = 256, 500_000
+BATCH_DOCS, BATCH_CHARS, LINES = 256, 500_000, 512
 MARK = "▁"
 #: Kinds of characters: word-start mark, line break, letters and what goes with them, the others.
 BLANK, BREAK, INSIDE, OUTSIDE, UNSEEN = range(5)
@@ -166,6 +171,7 @@ class Vocabulary:
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         norm = math.log(math.log(n))
+        self.encoder, self.line = sp, sp.encode("\n")[1:]
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_ids: list[int] = [0] * 256
         self.bytes_of: list[bytes] = [b""] * n
@@ -179,9 +185,17 @@ class Vocabulary:
                 self.pieces[piece] = (i, -EXPONENT * math.log(rank + RANK_SHIFT) - norm)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.byte_weight = -EXPONENT * math.log(n + RANK_SHIFT) - norm
+        self.weight_of = np.full(n, self.byte_weight)
+        for i, w in self.pieces.values():
+            self.weight_of[i] = w
         self.add, self.drop = self._joined()
         self.kind_of = np.full(0x110000, UNSEEN, np.uint8)
-        self.trie = Trie(self.pieces)
+        if len(self.line) != 1 or (self.cut(list(self.pieces))[2] != 1).any():
+            raise ValueError("the model has pieces that go beyond a chunk, or a line break of several")
+
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie(self.pieces)
 
     def _joined(self) -> tuple[set[str], set[str]]:
         """Characters that count as letters because some piece joins them to letters, and letters that don't count."""
@@ -220,6 +234,25 @@ class Vocabulary:
         at = np.flatnonzero(begins)
         return codes, at, np.diff(np.searchsorted(at, np.append(starts, len(kind))))
 
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all chunks in order, and how many each has.
+
+        It sees chunks as lines behind an empty one, `LINES` at a time: nothing joins a line break, no blank is put before.
+        """
+        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(chunks), LINES):
+            lines = chunks[i : i + LINES]
+            breaks = np.array([c == "\n" for c in lines])  # a chunk that is one is left empty, and filled in afterwards
+            ids = np.array(self.encoder.encode("\n" + "\n".join("" if c == "\n" else c for c in lines) + "\n"), np.int32)[1:]
+            at = np.flatnonzero(ids == self.line[0])
+            own = np.diff(at) - 1
+            keep = np.ones(len(ids), bool)
+            keep[at] = False
+            keep[at[1:][breaks]] = True
+            flat.append(ids[keep])
+            sizes.append(own + breaks)
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def decode(self, ids) -> bytes:
         """The text of `ids`, as UTF-8."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).removeprefix(b" ")
@@ -246,6 +279,9 @@ class Graph:
         self.first = np.zeros(1 << 17, np.int32)
         self.to, self.id, self.owner = (np.empty(1 << 18, np.int32) for _ in range(3))
         self.cum, self.log_p = np.empty(1 << 18), np.empty(1 << 18)
+        self.mass, self.plain_log_p = np.empty(1 << 17), np.empty(1 << 17)
+        self.plain_at, self.plain_size = np.empty(1 << 17, np.int64), np.empty(1 << 17, np.int64)
+        self.n_plain, self.plain_ids = 0, np.empty(1 << 17, np.int32)  # the library's ids of chunks asked for
 
     def _room(self, of: dict[str, int]) -> None:
         """Make room for that many entries in the arrays named."""
@@ -332,7 +368,8 @@ class Graph:
             count[rank[place]] += 1
         first = np.concatenate(([0], np.cumsum(count)))
         n, m = len(codes), int(first[-1])
-        self._room({"first": self.n_nodes + n + 1} | dict.fromkeys(("to", "id", "owner", "cum", "log_p"), self.n_edges + m))
+        self._room(dict.fromkeys(("first", "mass", "plain_log_p", "plain_at", "plain_size"), self.n_nodes + n + 1))
+        self._room(dict.fromkeys(("to", "id", "owner", "cum", "log_p"), self.n_edges + m))
         own = slice(self.n_edges, self.n_edges + m)
         to, ids, owner, cum, log_p = (x[own] for x in (self.to, self.id, self.owner, self.cum, self.log_p))
         fill, slots = first[:-1].copy(), []
@@ -357,6 +394,7 @@ class Graph:
         to[to >= 0] += self.n_nodes
         owner += self.n_nodes
         self.first[self.n_nodes : self.n_nodes + n + 1] = first + self.n_edges
+        self.mass[self.n_nodes : self.n_nodes + n], self.plain_size[self.n_nodes : self.n_nodes + n] = total, -1
         heads = rank[np.cumsum(sizes) - sizes] + self.n_nodes
         self.n_nodes, self.n_edges = self.n_nodes + n, self.n_edges + m
         return heads
@@ -387,6 +425,23 @@ class Graph:
             weight[a:], total[:] = weights, sums
         return total[:-1]
 
+    def plain(self, nodes: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The library's own encoding of chunks (first nodes, and characters as in `starts`): all ids in order, each chunk's number of ids and log-probability."""
+        unseen = np.flatnonzero(self.plain_size[nodes] < 0)
+        if len(unseen):
+            new, example = np.unique(nodes[unseen], return_index=True)
+            chars, example = codes.tobytes().decode("utf-32-le", "surrogatepass"), unseen[example]
+            flat, sizes = self.vocabulary.encode([chars[a:b] for a, b in zip(at[example].tolist(), at[example + 1].tolist(), strict=True)])
+            heads = np.cumsum(sizes) - sizes
+            self._room({"plain_ids": self.n_plain + len(flat)})
+            self.plain_ids[self.n_plain : self.n_plain + len(flat)] = flat
+            self.plain_at[new], self.plain_size[new] = self.n_plain + heads, sizes
+            self.plain_log_p[new] = np.add.reduceat(self.vocabulary.weight_of[flat], heads) - self.mass[new]
+            self.n_plain += len(flat)
+        sizes = self.plain_size[nodes]
+        own = np.repeat(self.plain_at[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return self.plain_ids[own], sizes, self.plain_log_p[nodes]
+
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each node to its chunk's end: all edges in order, and each path's number of edges."""
         steps, count = [], np.zeros(len(nodes), np.int64)
@@ -488,10 +543,25 @@ def _open_rest(view: Graph, s: Search, entry: tuple, salt: int, k: int) -> tuple
     return bound, path, start + pick, ()
 
 
-def search(graph: Graph, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to `k` (ids, log-probability, perturbed value, inclusion score), in order of value."""
+def chunks(graph: Graph, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `cut` gives for the texts, and the first node of each chunk; it holds until the graph is asked again."""
     codes, at, count = graph.vocabulary.cut([marked(t) for t in texts])
-    starts = np.split(graph.starts(codes, at), np.cumsum(count)[:-1]) if texts else []
+    return codes, at, count, graph.starts(codes, at)
+
+
+def encode(graph: Graph, known: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, float, None, None]]:
+    """SentencePiece's own encoding of each text of `chunks`: its ids and their log-probability."""
+    codes, at, count, nodes = known
+    ids, sizes, log_p = graph.plain(nodes, codes, at)
+    chunk_at = np.concatenate(([0], np.cumsum(count)))
+    id_at, sums = np.concatenate(([0], np.cumsum(sizes)))[chunk_at].tolist(), chunk_at.tolist()
+    return [(ids[id_at[i] : id_at[i + 1]], float(log_p[sums[i] : sums[i + 1]].sum()), None, None) for i in range(len(count))]
+
+
+def search(graph: Graph, texts: list[str], keys: np.ndarray, k: int, known: tuple | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text up to `k` (ids, log-probability, perturbed value, inclusion score), in order of value; `known` is what `chunks` gives."""
+    _, _, count, nodes = known or chunks(graph, texts)
+    starts = np.split(nodes, np.cumsum(count)[:-1]) if texts else []
     view = graph
     searches = [Search(s, int(key)) for s, key in zip(starts, keys, strict=True)]
     first_value = -np.log(-np.log(uniform(mix(keys) ^ np.uint64(7)))) if len(keys) else np.empty(0)
@@ -585,6 +655,37 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str], np.nd
         at = to
 
 
+def _sampled(batches: Iterator[pa.RecordBatch], model: str, k: int, seed: int, names: list[str], own: bool = False, digest: bool = False) -> Iterator[pa.RecordBatch]:
+    """The work of `sample` on batches of (doc_id, text); with `own`, rank 0 and the column source as `round_trip` needs them."""
+    graph = worker_graph(model)
+    vocabulary = graph.vocabulary
+    for whole in batches:
+        for ids, texts, key in _batches(whole):
+            known = chunks(graph, texts)
+            found = search(graph, texts, mix(key ^ mix(np.array([seed], np.uint64))), k, known)
+            if own:
+                found = [[first, *samples] for first, samples in zip(encode(graph, known), found, strict=True)]
+            owner, rank, scores, content = [], [], [], []
+            for i, (text, samples) in enumerate(zip(texts, found, strict=True)):
+                plain = text.replace(MARK, " ").encode("utf-8", "replace") if digest else b""
+                for r, (pieces, *rest) in enumerate(samples, 0 if own else 1):
+                    owner.append(i)
+                    rank.append(r)
+                    scores.append(rest)
+                    content.append((len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), vocabulary.decode(pieces.tolist()) == plain) if digest else pieces.astype(np.int32))
+            owner = pa.array(owner, pa.int64())
+            cols = [ids.take(owner), pa.array(rank, pa.int32())]
+            if digest:
+                cols += [pa.array(c, t) for c, t in zip(zip(*content, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+            else:
+                offsets = np.cumsum([0, *map(len, content)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(content) if content else [], pa.int32())))
+            cols += [pa.array(c, pa.float64()) for c in zip(*scores, strict=True)]
+            if own:
+                cols.append(pa.array([t.replace(MARK, " ") for t in texts], pa.string()).take(owner))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
 def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, digest: bool = False) -> DataFrame:
     """Up to `k` segmentations of every row of `docs` (doc_id, text): doc_id, rank, ids, log_prob, perturbed, inclusion.
 
@@ -595,40 +696,65 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, dige
     what = "n_pieces long, ids_crc32 long, decoded boolean" if digest else "ids array<int>"
     schema = f"doc_id long, rank int, {what}, log_prob double, perturbed double, inclusion double"
     names = [x.split()[0] for x in schema.split(", ")]
+    return rows.mapInArrow(lambda batches: _sampled(batches, model, k, seed, names, digest=digest), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = worker_graph(model)
-        vocabulary = graph.vocabulary
-        for whole in batches:
-            for ids, texts, key in _batches(whole):
-                found = search(graph, texts, mix(key ^ mix(np.array([seed], np.uint64))), k)
-                owner, rank, scores, content = [], [], [], []
-                for i, (text, samples) in enumerate(zip(texts, found, strict=True)):
-                    plain = text.replace(MARK, " ").encode("utf-8", "replace") if digest else b""
-                    for r, (pieces, *rest) in enumerate(samples, 1):
-                        owner.append(i)
-                        rank.append(r)
-                        scores.append(rest)
-                        content.append((len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), vocabulary.decode(pieces.tolist()) == plain) if digest else pieces.astype(np.int32))
-                cols = [ids.take(pa.array(owner, pa.int64())), pa.array(rank, pa.int32())]
-                if digest:
-                    cols += [pa.array(c, t) for c, t in zip(zip(*content, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
-                else:
-                    offsets = np.cumsum([0, *map(len, content)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(content) if content else [], pa.int32())))
-                cols += [pa.array(c, pa.float64()) for c in zip(*scores, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, schema)
+@cache
+def piece_bytes(model: str) -> tuple[pa.Array, np.ndarray]:
+    """What each id stands for, and after those what it stands for at a text's start; whether that is anything."""
+    inside = Vocabulary(model).bytes_of
+    pieces = pa.array([*inside, *(b.removeprefix(b" ") for b in inside)], pa.binary())
+    return pieces, np.array([b != b"" for b in inside])
+
+
+def _decoded(lists: pa.Array, model: str) -> pa.Array:
+    """The text that each list of ids stands for."""
+    pieces, says = piece_bytes(model)
+    ids, at = _flat(lists)
+    which, heard = ids.copy(), np.append(np.flatnonzero(says[ids]), len(ids))
+    head = heard[np.searchsorted(heard, at[:-1])]
+    which[head[head < at[1:]]] += len(says)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), pieces.take(pa.array(which))), b"")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that no text has
+        return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists in order, and where each list begins (and the last ends); null is no number."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
 
 
 def decode(samples: DataFrame, model: str) -> DataFrame:
     """`samples` (doc_id, rank, ids) with the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = worker_graph(model).vocabulary
         for batch in batches:
-            texts = [vocabulary.decode(x or []).decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "rank", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(batch.column(2), model)], names=["doc_id", "rank", "text"])
 
     return samples.select("doc_id", "rank", "ids").mapInArrow(run, "doc_id long, rank int, text string")
+
+
+def round_trip(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """Each row of `docs` encoded and decoded again: as SentencePiece does (rank 0), and in up to `k` sampled segmentations.
+
+    doc_id, rank, ids, ids_crc32 (of the ids as little-endian 32-bit integers), log_prob, perturbed, inclusion (rank 0:
+    null both), text (decoded from the ids) and decoded (whether that is the row's text). One worker does both steps, so
+    that the ids needn't go through the JVM between them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    schema = "doc_id long, rank int, ids array<int>, ids_crc32 long, log_prob double, perturbed double, inclusion double, text string, decoded boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sampled(batches, model, k, seed, [*names[:3], *names[4:7], "source"], own=True):
+            *columns, source = batch.columns
+            ids, at = _flat(columns[2])
+            raw, places = memoryview(ids.astype("<u4").tobytes()), (4 * at.astype(np.int64)).tolist()
+            columns.insert(3, pa.array([zlib.crc32(raw[a:b]) for a, b in zip(places, places[1:], strict=False)], pa.int64()))
+            texts = _decoded(columns[2], model)
+            yield pa.RecordBatch.from_arrays([*columns, texts, pc.equal(texts, source)], names=names)
+
+    return rows.mapInArrow(run, schema)

@@ -27,7 +27,9 @@ from .common import table, tokenizer_path
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_piece_samples.sample(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    found = op1_piece_samples.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    n_pieces = F.size("ids").cast("long").alias("n_pieces")
+    return found.select("doc_id", "rank", n_pieces, "ids_crc32", "decoded", "log_prob", "perturbed", "inclusion", "ids")
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
