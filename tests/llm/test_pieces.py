@@ -113,7 +113,9 @@ def test_decoding_gives_the_text_back(spark):
     assert S.sample(docs.limit(0), MODEL).count() == 0
 
 
-def test_own_encoding_is_the_librarys(vocabulary):
+@pytest.mark.parametrize("remembered", [200_000, 3])
+def test_own_encoding_is_the_librarys(vocabulary, monkeypatch, remembered):
+    monkeypatch.setattr(S, "ENCODED", remembered)
     graph, rng = S.Graph(vocabulary), random.Random(3)
     parts = ["a", "the", "The", "ing", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", "..", "²", "é", "e\u0301", "日", "本語", "\U0001f600", "\u200d", "\0"]
     parts += ["<s>", "</s>", "<0x41>", "'s", "--", "23", "٣", "\u3000", "ǅ", "क्", "\ufffd", "//", "();", "▁", "x" * 40]
@@ -147,7 +149,7 @@ def test_query_gives_encodings_samples_and_decoded_texts(spark, vocabulary, tmp_
         else:
             assert 0 <= r.inclusion <= 1
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    assert {(r.doc_id, r.text) for r in S.round_trip(docs, MODEL).collect()} == {(d, (t or "").replace("▁", " ")) for d, t in texts.items()}
+    assert {(r.doc_id, r.text) for r in S.decode(S.round_trip(docs, MODEL), MODEL).collect()} == {(d, (t or "").replace("▁", " ")) for d, t in texts.items()}
     digest = S.sample(docs, MODEL, digest=True).collect()
     key = lambda r: (r.doc_id, r.rank, r.n_pieces, r.ids_crc32, r.decoded, r.log_prob, r.perturbed, r.inclusion)
     assert sorted(map(key, digest)) == sorted(key(r) for r in rows if r.rank)

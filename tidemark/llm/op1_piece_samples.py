@@ -19,8 +19,8 @@ Random numbers are functions of (seed, doc_id, sample, word, step), so a row's s
 on partitions or on retries. All texts of a batch walk the graph side by side.
 
 SentencePiece's own encoding of a text is its chunks' encodings in a row, since no merge goes beyond a chunk: the library
-encodes each chunk a worker doesn't know yet. `round_trip` gives it (rank 0) beside the samples, with the text that
-`decode` makes of each row's ids.
+encodes each chunk a worker doesn't know yet. `round_trip` gives it (rank 0) beside the samples, and decodes
+every row's ids again.
 
 Null and empty texts have one segmentation, the empty one, with inclusion 1; texts with fewer than k segmentations give
 all they have. Characters outside the vocabulary become bytes. U+2581 in a text is taken as a blank. Rows with equal
@@ -48,7 +48,9 @@ RANK_SHIFT, EXPONENT = 2.7, 1.0
 #: Nodes that a worker keeps between batches (about 80 bytes each), characters of new chunks made at once, and nodes
 #: below which a backward step goes one by one.
 KEPT_NODES, BUILD, SIDE_BY_SIDE = 300_000, 1 << 16, 16
-BATCH_DOCS, BATCH_CHARS, LINES = 256, 500_000, 512
+BATCH_DOCS, BATCH_CHARS = 256, 500_000
+#: Chunks whose own encoding a worker remembers (about 200 bytes each), and how many the library gets at once.
+ENCODED, LINES = 200_000, 512
 MARK = "▁"
 #: Kinds of characters: word-start mark, line break, letters and what goes with them, the others.
 BLANK, BREAK, INSIDE, OUTSIDE, UNSEEN = range(5)
@@ -172,6 +174,7 @@ class Vocabulary:
         n = sp.get_piece_size()
         norm = math.log(math.log(n))
         self.encoder, self.line = sp, sp.encode("\n")[1:]
+        self.encoded: dict[str, bytes] = {}
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_ids: list[int] = [0] * 256
         self.bytes_of: list[bytes] = [b""] * n
@@ -235,23 +238,20 @@ class Vocabulary:
         return codes, at, np.diff(np.searchsorted(at, np.append(starts, len(kind))))
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of all chunks in order, and how many each has.
-
-        It sees chunks as lines behind an empty one, `LINES` at a time: nothing joins a line break, no blank is put before.
-        """
-        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for i in range(0, len(chunks), LINES):
-            lines = chunks[i : i + LINES]
-            breaks = np.array([c == "\n" for c in lines])  # a chunk that is one is left empty, and filled in afterwards
-            ids = np.array(self.encoder.encode("\n" + "\n".join("" if c == "\n" else c for c in lines) + "\n"), np.int32)[1:]
-            at = np.flatnonzero(ids == self.line[0])
-            own = np.diff(at) - 1
-            keep = np.ones(len(ids), bool)
-            keep[at] = False
-            keep[at[1:][breaks]] = True
-            flat.append(ids[keep])
-            sizes.append(own + breaks)
-        return np.concatenate(flat), np.concatenate(sizes)
+        """The library's ids of all chunks in order, and how many each has; the first `ENCODED` chunks are remembered, often seen ones among them."""
+        known, fresh = self.encoded, {}
+        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        for i in range(0, len(new), LINES):
+            fresh.update(zip(new[i : i + LINES], self._lines(new[i : i + LINES]), strict=True))
+        found = [known.get(c) or fresh[c] for c in chunks]
+        known.update((c, fresh[c]) for c in new[: max(0, ENCODED - len(known))])
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _lines(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, which the library sees as lines behind an empty one: nothing joins a line break, no blank is put before."""
+        ids = np.array(self.encoder.encode("\n" + "\n".join("" if c == "\n" else c for c in chunks) + "\n"), np.int32)[1:]
+        at, raw = (4 * np.flatnonzero(ids == self.line[0])).tolist(), ids.tobytes()
+        return [raw[b : b + 4] if c == "\n" else raw[a + 4 : b] for c, a, b in zip(chunks, at, at[1:], strict=False)]
 
     def decode(self, ids) -> bytes:
         """The text of `ids`, as UTF-8."""
@@ -741,11 +741,11 @@ def round_trip(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED)
     """Each row of `docs` encoded and decoded again: as SentencePiece does (rank 0), and in up to `k` sampled segmentations.
 
     doc_id, rank, ids, ids_crc32 (of the ids as little-endian 32-bit integers), log_prob, perturbed, inclusion (rank 0:
-    null both), text (decoded from the ids) and decoded (whether that is the row's text). One worker does both steps, so
-    that the ids needn't go through the JVM between them.
+    null both) and decoded, whether the text that the ids stand for is the row's. `decode` gives those texts; here one
+    worker does both steps, so that neither ids nor texts go through the JVM between them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, rank int, ids array<int>, ids_crc32 long, log_prob double, perturbed double, inclusion double, text string, decoded boolean"
+    schema = "doc_id long, rank int, ids array<int>, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded boolean"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -754,7 +754,6 @@ def round_trip(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED)
             ids, at = _flat(columns[2])
             raw, places = memoryview(ids.astype("<u4").tobytes()), (4 * at.astype(np.int64)).tolist()
             columns.insert(3, pa.array([zlib.crc32(raw[a:b]) for a, b in zip(places, places[1:], strict=False)], pa.int64()))
-            texts = _decoded(columns[2], model)
-            yield pa.RecordBatch.from_arrays([*columns, texts, pc.equal(texts, source)], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pc.equal(_decoded(columns[2], model), source)], names=names)
 
     return rows.mapInArrow(run, schema)
