@@ -128,6 +128,34 @@ def test_own_encoding_is_the_librarys(vocabulary, monkeypatch, remembered):
         assert log_p == pytest.approx(all_paths(vocabulary, text)[tuple(ids.tolist())], abs=1e-9)
 
 
+def test_chunks_used_often_stay_when_others_are_forgotten(vocabulary, monkeypatch):
+    monkeypatch.setattr(S, "KEPT_NODES", 2500)
+    made, add = Counter(), S.Graph._add
+
+    def counted(self, codes, sizes):
+        at = np.cumsum([0, *sizes]).tolist()
+        made.update("".join(map(chr, codes[a:b])) for a, b in zip(at, at[1:], strict=False))
+        return add(self, codes, sizes)
+
+    rng, graph = random.Random(7), S.Graph(vocabulary)
+    word = lambda: "".join(rng.choice("etaoinshrdlué日\U0001f600") for _ in range(rng.randint(2, 12)))
+    common = [word() for _ in range(60)]
+    for _ in range(12):
+        texts = [" ".join(common), " ".join([*(word() for _ in range(150)), *common]) + "\n" + "x" * 400, "", *(word() for _ in range(20))]
+        keys = np.arange(len(texts), dtype=np.uint64)
+        alone = S.search(S.Graph(vocabulary), texts, keys, 3)
+        with monkeypatch.context() as m:
+            m.setattr(S.Graph, "_add", counted)
+            known = S.chunks(graph, texts)
+        for text, (ids, *_) in zip(texts, S.encode(graph, known), strict=True):
+            assert ids.tolist() == vocabulary.encoder.encode(text)
+        for a, b in zip(S.search(graph, texts, keys, 3, known), alone, strict=True):
+            assert [(i.tolist(), round(lp, 9), round(v, 9)) for i, lp, v, _ in a] == [(i.tolist(), round(lp, 9), round(v, 9)) for i, lp, v, _ in b]
+    assert sum(map(len, made)) > 4 * S.KEPT_NODES and made["x" * 400] > 1
+    assert all(made[c] == 1 for w in common[1:] for c in [S.MARK + w] if c in made)
+    assert sum(made[S.MARK + w] for w in common) > 20
+
+
 def test_decoding_passes_over_control_ids(spark, vocabulary):
     rows = [(0, [1, *vocabulary.encoder.encode("Hello  you"), 2]), (1, []), (2, None), (3, [1, 2]), (4, vocabulary.encoder.encode(" é"))]
     found = S.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").selectExpr("doc_id", "0 AS rank", "ids"), MODEL).collect()

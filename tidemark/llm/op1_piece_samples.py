@@ -5,7 +5,8 @@ the letters, or with the other characters, that follow; which characters go with
 so a text's lattice is its chunks' lattices in a row, and equal chunks share one. A batch's new chunks are made side by
 side, as arrays: pieces are matched by stepping through a trie, and backward sums over what is left of each chunk turn
 weights (Zipf's law over a piece's rank in the vocabulary) into the probability of each piece given the rest of its
-chunk. A worker keeps chunks between batches, up to `KEPT_NODES` characters of them.
+chunk. A worker keeps chunks between batches; beyond `KEPT_NODES` characters of them those used least go, so that the
+often used ones aren't made again.
 
 Gumbel top-k without replacement is a best-first (A*) search over sets of segmentations. The perturbed log-probability
 of the best member of a set is a Gumbel variable at the set's log-mass, so a set's bound is drawn without looking
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, cached_property
 
 import numpy as np
@@ -45,11 +46,14 @@ SAMPLES, SEED = 2, 20_260_101
 OPEN = 48
 #: Zipf-Mandelbrot law over vocabulary ranks.
 RANK_SHIFT, EXPONENT = 2.7, 1.0
-#: Nodes that a worker keeps between batches (about 80 bytes each), characters of new chunks made at once, and nodes
-#: below which a backward step goes one by one.
-KEPT_NODES, BUILD, SIDE_BY_SIDE = 300_000, 1 << 16, 16
+#: Nodes beyond which a worker forgets the chunks used least (about 80 bytes each), characters beyond which a chunk is
+#: always among them, characters of new chunks made at once, and nodes below which a backward step goes one by one.
+KEPT_NODES, LONG, BUILD, SIDE_BY_SIDE = 1_500_000, 256, 1 << 16, 16
+#: What is kept of each chunk: its hash, where its characters lie and how many, its first node, the log-sum of its paths, how
+#: often it was used, and where the library's ids lie, how many (-1: not asked for) and their log-probability.
+_CHUNK = {"hash_of": np.int64, "at_of": np.int64, "size_of": np.int64, "head": np.int64, "mass": np.float64, "uses": np.int64, "plain_at": np.int64, "plain_size": np.int64, "plain_log_p": np.float64}
 BATCH_DOCS, BATCH_CHARS = 256, 500_000
-#: Chunks whose own encoding a worker remembers (about 200 bytes each), and how many the library gets at once.
+#: Chunks, with their own encodings, beyond which it forgets those too, and how many the library gets at once.
 ENCODED, LINES = 200_000, 512
 MARK = "▁"
 #: Kinds of characters: word-start mark, line break, letters and what goes with them, the others.
@@ -62,14 +66,20 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function of uint64 values."""
     z = x + _M1
-    z = (z ^ (z >> np.uint64(30))) * _M2
-    z = (z ^ (z >> np.uint64(27))) * _M3
-    return z ^ (z >> np.uint64(31))
+    z ^= z >> np.uint64(30)
+    z *= _M2
+    z ^= z >> np.uint64(27)
+    z *= _M3
+    z ^= z >> np.uint64(31)
+    return z
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from uint64 counters."""
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    u = (mix(x) >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
@@ -93,8 +103,55 @@ def is_letter(c: str) -> bool:
     return c.isalnum() and not c.isdecimal()
 
 
+def runs(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs in order: sizes[i] of them from at[i] on."""
+    return np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class Places:
+    """An open hash table from numbers of 63 bits to numbers, asked by whole arrays."""
+
+    def __init__(self, size: int):
+        self.n, self.bits = 0, max(4, size.bit_length() + 2)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct keys that aren't there yet."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            held = self.keys >= 0
+            keys, values = np.concatenate((self.keys[held], keys)), np.concatenate((self.values[held], values))
+            self.__init__(len(keys))
+        self.n += len(keys)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # each free slot takes one of those that want it, the others move on
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at[left]] == keys[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray, missing: int) -> np.ndarray:
+        at = self._slot(keys)
+        seen = self.keys.take(at)
+        other = seen != keys
+        out = self.values.take(at)
+        out[other] = missing
+        left = np.flatnonzero(other & (seen >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[at[left]]
+            hit = seen == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (seen >= 0)]
+        return out
+
+
 class Trie:
-    """The pieces as a trie over characters; its moves lie in an open hash table, so that arrays of states step together."""
+    """The pieces as a trie over characters; its moves lie in a hash table, so that arrays of states step together."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]]):
         letters = sorted({c for p in pieces for c in p})
@@ -117,34 +174,12 @@ class Trie:
         rank = {c: i for i, c in enumerate(letters, 1)}
         keys = np.array([s * self.width + rank[c] for s, c in moves], np.int64)
         to = np.array(list(moves.values()), np.int32)
-        self.bits = max(4, len(keys).bit_length() + 2)
-        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):  # each free slot takes one of those that want it, the others move on
-            free = left[self.keys[at[left]] < 0]
-            self.keys[at[free]] = keys[free]
-            won = free[self.keys[at[free]] == keys[free]]
-            self.to[at[won]] = to[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.moves = Places(len(keys))
+        self.moves.put(keys, to)
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The states reached, 0 where no piece goes on so."""
-        key = state.astype(np.int64) * self.width + letter
-        at = self._slot(key)
-        seen = self.keys[at]
-        out = np.where(seen == key, self.to[at], 0)
-        left = np.flatnonzero((seen != key) & (seen >= 0))
-        while len(left):
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            seen = self.keys[at[left]]
-            hit = seen == key[left]
-            out[left[hit]] = self.to[at[left[hit]]]
-            left = left[~hit & (seen >= 0)]
-        return out
+        return self.moves.get(state.astype(np.int64) * self.width + letter, 0)
 
     def matches(self, letter: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length from 1: the places where a piece of that length starts and ends before `end`, and its state."""
@@ -174,7 +209,6 @@ class Vocabulary:
         n = sp.get_piece_size()
         norm = math.log(math.log(n))
         self.encoder, self.line = sp, sp.encode("\n")[1:]
-        self.encoded: dict[str, bytes] = {}
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_ids: list[int] = [0] * 256
         self.bytes_of: list[bytes] = [b""] * n
@@ -238,20 +272,24 @@ class Vocabulary:
         return codes, at, np.diff(np.searchsorted(at, np.append(starts, len(kind))))
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of all chunks in order, and how many each has; the first `ENCODED` chunks are remembered, often seen ones among them."""
-        known, fresh = self.encoded, {}
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        for i in range(0, len(new), LINES):
-            fresh.update(zip(new[i : i + LINES], self._lines(new[i : i + LINES]), strict=True))
-        found = [known.get(c) or fresh[c] for c in chunks]
-        known.update((c, fresh[c]) for c in new[: max(0, ENCODED - len(known))])
-        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
-
-    def _lines(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks, which the library sees as lines behind an empty one: nothing joins a line break, no blank is put before."""
-        ids = np.array(self.encoder.encode("\n" + "\n".join("" if c == "\n" else c for c in chunks) + "\n"), np.int32)[1:]
-        at, raw = (4 * np.flatnonzero(ids == self.line[0])).tolist(), ids.tobytes()
-        return [raw[b : b + 4] if c == "\n" else raw[a + 4 : b] for c, a, b in zip(chunks, at, at[1:], strict=False)]
+        """The library's ids of distinct chunks in order, and how many each has.
+
+        The library sees them as lines behind an empty one: nothing joins a line break, no blank is put before. A chunk
+        that is a line break is an empty line there.
+        """
+        flat, breaks = [], [np.zeros(1, np.int64)]
+        lone = chunks.index("\n") if "\n" in chunks else len(chunks)
+        lines = ["" if i == lone else c for i, c in enumerate(chunks)] if lone < len(chunks) else chunks
+        for i in range(0, len(lines), LINES):
+            ids = np.array(self.encoder.encode("\n" + "\n".join(lines[i : i + LINES]) + "\n"), np.int32)[2:]
+            at = np.flatnonzero(ids == self.line[0])  # each line's end, with as many ends before it as lines
+            breaks.append(breaks[-1][-1] + at - np.arange(len(at)))
+            flat.append(np.delete(ids, at))
+        flat, sizes = np.concatenate(flat), np.diff(np.concatenate(breaks))
+        if lone < len(chunks):
+            flat = np.insert(flat, sizes[:lone].sum(), self.line[0])
+            sizes[lone] = 1
+        return flat, sizes
 
     def decode(self, ids) -> bytes:
         """The text of `ids`, as UTF-8."""
@@ -273,15 +311,15 @@ class Graph:
 
     def clear(self, salt: int = 0) -> None:
         self.salt = np.uint64(salt)
-        self.hashes, self.starts_of, self.at_of, self.size_of = np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
-        self.n_nodes = self.n_edges = self.n_kept = 0
-        self.kept = np.empty(1 << 17, np.uint32)  # the characters of known chunks
-        self.first = np.zeros(1 << 17, np.int32)
-        self.to, self.id, self.owner = (np.empty(1 << 18, np.int32) for _ in range(3))
-        self.cum, self.log_p = np.empty(1 << 18), np.empty(1 << 18)
-        self.mass, self.plain_log_p = np.empty(1 << 17), np.empty(1 << 17)
-        self.plain_at, self.plain_size = np.empty(1 << 17, np.int64), np.empty(1 << 17, np.int64)
-        self.n_plain, self.plain_ids = 0, np.empty(1 << 17, np.int32)  # the library's ids of chunks asked for
+        self.n_nodes = self.n_edges = self.n_kept = self.n_plain = self.n_chunks = 0
+        self.place = Places(1 << 14)  # from a chunk's hash to its number
+        nodes, edges = (max(1 << 16, KEPT_NODES * x // 4) for x in (5, 12))  # memory is taken where it is written to
+        for name, kind in _CHUNK.items():
+            setattr(self, name, np.empty(nodes >> 2, kind))
+        self.kept, self.plain_ids = np.empty(nodes, np.uint32), np.empty(nodes, np.int32)  # known chunks' characters and the library's ids of them
+        self.first = np.zeros(nodes, np.int32)
+        self.to, self.id = np.empty(edges, np.int32), np.empty(edges, np.int32)
+        self.cum, self.log_p = np.empty(edges), np.empty(edges)
 
     def _room(self, of: dict[str, int]) -> None:
         """Make room for that many entries in the arrays named."""
@@ -292,46 +330,87 @@ class Graph:
                 fresh[: len(old)] = old
                 setattr(self, name, fresh)
 
-    def starts(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The first node of each chunk codes[at[i]:at[i + 1]]; makes the nodes of those that are new.
+    def numbers(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of each chunk codes[at[i]:at[i + 1]]; makes the nodes of those that are new.
 
         Chunks are looked up by a hash and compared with what is known under it; should two chunks share a hash, the
         graph starts anew with other hashes.
         """
-        if self.n_nodes > KEPT_NODES:
-            self.clear()
+        if self.n_nodes > KEPT_NODES or self.n_chunks > ENCODED:
+            self._forget()
         sizes = np.diff(at)
         while len(sizes):
-            within = np.arange(len(codes), dtype=np.uint64) - np.repeat(at[:-1], sizes).astype(np.uint64)
-            hashed = np.add.reduceat(mix(within << np.uint64(32) | codes ^ self.salt), at[:-1])
-            unique, example, which = np.unique(hashed, return_index=True, return_inverse=True)
-            place = np.searchsorted(self.hashes, unique)
-            known = place < len(self.hashes)
-            known[known] = self.hashes[place[known]] == unique[known]
-            new = example[~known]
-            self._learn(unique[~known], codes, at[new], sizes[new])
-            place = np.searchsorted(self.hashes, unique)[which]
-            if (self.size_of[place] == sizes).all() and (self.kept[np.repeat(self.at_of[place], sizes) + within.astype(np.int64)] == codes).all():
-                return self.starts_of[place]
+            within = np.arange(len(codes)) - np.repeat(at[:-1], sizes)
+            z = (codes ^ self.salt) * _M2
+            z += within.view(np.uint64) * _M1
+            z ^= z >> np.uint64(32)
+            z *= _M3
+            hashed = (mix(np.add.reduceat(z, at[:-1])) >> np.uint64(1)).view(np.int64)
+            found = self.place.get(hashed, -1)
+            if len(new := np.flatnonzero(found < 0)):
+                unique, example, which = np.unique(hashed[new], return_index=True, return_inverse=True)
+                example = new[example]
+                found[new] = self._learn(unique, codes, at[example], sizes[example])[which]
+            if (self.size_of[found] == sizes).all() and (self.kept.take(np.repeat(self.at_of[found], sizes) + within) == codes).all():
+                self.uses[: self.n_chunks] += np.bincount(found, minlength=self.n_chunks)
+                return found
             self.clear(int(self.salt) + 1)
         return np.empty(0, np.int64)
 
-    def _learn(self, hashes: np.ndarray, codes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
-        ends, nodes, i = np.cumsum(sizes), [], 0
-        kept_at = self.n_kept + ends - sizes
-        total = int(sizes.sum())
-        self._room({"kept": self.n_kept + total})
-        own = np.repeat(at - (ends - sizes), sizes) + np.arange(total)
-        self.kept[self.n_kept : self.n_kept + total] = codes[own]
+    def _learn(self, hashes: np.ndarray, codes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends, known, n, i = np.cumsum(sizes), self.n_chunks, len(sizes), 0
+        kept_at, total, new = self.n_kept + ends - sizes, int(ends[-1]), slice(known, known + n)
+        self._room({"kept": self.n_kept + total} | dict.fromkeys(_CHUNK, known + n))
+        self.kept[self.n_kept : self.n_kept + total] = codes[runs(at, sizes)]
         self.n_kept += total
-        while i < len(sizes):  # some at a time, for memory
+        while i < n:  # some at a time, for memory
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + BUILD)))
-            nodes.append(self._add(self.kept[kept_at[i] : kept_at[j - 1] + sizes[j - 1]], sizes[i:j]))
+            own = slice(known + i, known + j)
+            self.head[own], self.mass[own] = self._add(self.kept[kept_at[i] : kept_at[j - 1] + sizes[j - 1]], sizes[i:j])
             i = j
-        if nodes:
-            where = np.searchsorted(self.hashes, hashes)
-            for name, fresh in (("hashes", hashes), ("starts_of", np.concatenate(nodes)), ("at_of", kept_at), ("size_of", sizes)):
-                setattr(self, name, np.insert(getattr(self, name), where, fresh))
+        self.hash_of[new], self.at_of[new], self.size_of[new], self.plain_size[new], self.uses[new] = hashes, kept_at, sizes, -1, 0
+        self.n_chunks += n
+        found = np.arange(known, self.n_chunks, dtype=np.int32)
+        self.place.put(hashes, found)
+        return found
+
+    def _forget(self) -> None:
+        """Keep the chunks used most, up to half of `ENCODED` with half of `KEPT_NODES` characters; earlier uses count half from now on."""
+        stay = np.argsort(-self.uses[: self.n_chunks], kind="stable")
+        stay = stay[self.size_of[stay] <= LONG][: ENCODED // 2]
+        stay = np.sort(stay[np.cumsum(self.size_of[stay]) <= KEPT_NODES // 2])
+        keep, node = np.zeros(self.n_nodes, bool), self.head[stay]
+        while len(node):  # a node's last edge takes one character
+            keep[node] = True
+            node = self.to[self.first[node + 1] - 1]
+            node = node[node >= 0]
+        number = np.cumsum(keep, dtype=np.int32) - np.int32(1)
+        count = np.diff(self.first[: self.n_nodes + 1])
+        edges, count = np.flatnonzero(np.repeat(keep, count)), count[keep]
+        sizes, plain = self.size_of.take(stay), np.maximum(self.plain_size.take(stay), 0)
+        self._keep(("kept",), runs(self.at_of.take(stay), sizes))
+        self._keep(("plain_ids",), runs(self.plain_at.take(stay), plain))
+        self._keep(("to", "id", "cum", "log_p"), edges)
+        self._keep(_CHUNK, stay)
+        self._keep(("first",), np.arange(len(count) + 1))
+        self.n_chunks, self.n_nodes, self.n_edges, self.n_kept, self.n_plain = len(stay), len(count), len(edges), int(sizes.sum()), int(plain.sum())
+        chunk, to = slice(self.n_chunks), self.to[: self.n_edges]
+        self.first[: self.n_nodes + 1] = np.concatenate(([0], np.cumsum(count)))
+        to[:] = np.where(to >= 0, number.take(to, mode="wrap"), -1)
+        self.head[chunk] = number[self.head[chunk]]
+        self.at_of[chunk], self.plain_at[chunk] = np.cumsum(sizes) - sizes, np.cumsum(plain) - plain
+        self.uses[chunk] //= 2
+        self.place = Places(self.n_chunks)
+        self.place.put(self.hash_of[chunk], np.arange(self.n_chunks, dtype=np.int32))
+
+    def _keep(self, names: Iterable[str], where: np.ndarray) -> None:
+        """Of the arrays named, what lies at the (ascending) places, moved to the front; arrays far too long are cut."""
+        for name in names:
+            held = getattr(self, name)
+            stays = held.take(where)
+            if len(held) > 8 * len(where):
+                setattr(self, name, held := np.empty(max(1 << 14, 2 * len(where)), held.dtype))
+            held[: len(where)] = stays
 
     def _fallback(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The id and the weight of characters that are no pieces."""
@@ -346,8 +425,8 @@ class Graph:
             ids[i], weights[i] = several[0] if len(several) == 1 else -1 - self.several_of[c], len(several) * v.byte_weight
         return ids[which], weights[which]
 
-    def _add(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Make the nodes of new chunks (characters, and how many each chunk has), all side by side; the first of each.
+    def _add(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Make the nodes of new chunks (characters, and how many each chunk has), all side by side; the first of each, and the log-sum of its paths.
 
         Nodes are numbered by what is left of their chunk, so that each backward step sums a run of edges.
         """
@@ -363,41 +442,37 @@ class Graph:
         bare[found[0][0]] = False
         bare = np.flatnonzero(bare)
         edges.insert(1, (bare, 1, *self._fallback(codes[bare])))
-        count = np.zeros(len(codes), np.int64)
-        for place, *_ in edges:
-            count[rank[place]] += 1
+        nodes = [rank.take(place) for place, *_ in edges]
+        count = np.bincount(np.concatenate(nodes), minlength=len(codes))
         first = np.concatenate(([0], np.cumsum(count)))
         n, m = len(codes), int(first[-1])
-        self._room(dict.fromkeys(("first", "mass", "plain_log_p", "plain_at", "plain_size"), self.n_nodes + n + 1))
-        self._room(dict.fromkeys(("to", "id", "owner", "cum", "log_p"), self.n_edges + m))
+        self._room({"first": self.n_nodes + n + 1} | dict.fromkeys(("to", "id", "cum", "log_p"), self.n_edges + m))
         own = slice(self.n_edges, self.n_edges + m)
-        to, ids, owner, cum, log_p = (x[own] for x in (self.to, self.id, self.owner, self.cum, self.log_p))
-        fill, slots = first[:-1].copy(), []
-        for place, size, id_, weight in reversed(edges):
-            node = rank[place]
-            slot = fill[node]
-            fill[node] += 1
-            ids[slot], log_p[slot], owner[slot] = id_, weight, node
+        to, ids, cum, log_p = (x[own] for x in (self.to, self.id, self.cum, self.log_p))
+        fill, owner = first[:-1].copy(), np.repeat(np.arange(n), count)
+        for (place, size, id_, weight), node in zip(reversed(edges), reversed(nodes), strict=True):
+            slot = fill.take(node)
+            fill[node] = slot + 1
+            ids[slot], log_p[slot] = id_, weight
             ahead = place + size
-            inner = ahead < end[place]
-            to[slot] = np.where(inner, rank[np.where(inner, ahead, 0)], -1)
-            slots.append((slot, node))
+            inner = ahead < end.take(place)
+            to[slot] = np.where(inner, rank.take(ahead, mode="clip"), -1)
         total = self._sum(first, to, owner, log_p, left[order])
-        log_p -= total[owner]
+        log_p -= total.take(owner)
         log_p[first[:-1][count == 1]] = 0.0
-        run = np.zeros(n)
-        p = np.exp(log_p)
-        for slot, node in slots:
-            run[node] += p[slot]
-            cum[slot] = run[node]
+        np.exp(log_p, out=cum)
+        slot, last = first[:-1] + 1, first[1:] - 1
+        while len(slot):  # each node's next edge, all nodes side by side
+            go = np.flatnonzero(slot < last)
+            slot, last = slot.take(go), last.take(go)
+            cum[slot] += cum.take(slot - 1)
+            slot += 1
         cum[first[1:] - 1] = 2.0  # the last edge takes whatever rounding leaves
         to[to >= 0] += self.n_nodes
-        owner += self.n_nodes
         self.first[self.n_nodes : self.n_nodes + n + 1] = first + self.n_edges
-        self.mass[self.n_nodes : self.n_nodes + n], self.plain_size[self.n_nodes : self.n_nodes + n] = total, -1
-        heads = rank[np.cumsum(sizes) - sizes] + self.n_nodes
-        self.n_nodes, self.n_edges = self.n_nodes + n, self.n_edges + m
-        return heads
+        heads, before = rank[np.cumsum(sizes) - sizes], self.n_nodes
+        self.n_nodes, self.n_edges = before + n, self.n_edges + m
+        return heads + before, total[heads]
 
     @staticmethod
     def _sum(first: np.ndarray, to: np.ndarray, owner: np.ndarray, weight: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -425,11 +500,11 @@ class Graph:
             weight[a:], total[:] = weights, sums
         return total[:-1]
 
-    def plain(self, nodes: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The library's own encoding of chunks (first nodes, and characters as in `starts`): all ids in order, each chunk's number of ids and log-probability."""
-        unseen = np.flatnonzero(self.plain_size[nodes] < 0)
+    def plain(self, numbers: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The library's own encoding of chunks (what `numbers` gave for these characters): all ids in order, each chunk's number of ids and log-probability."""
+        unseen = np.flatnonzero(self.plain_size[numbers] < 0)
         if len(unseen):
-            new, example = np.unique(nodes[unseen], return_index=True)
+            new, example = np.unique(numbers[unseen], return_index=True)
             chars, example = codes.tobytes().decode("utf-32-le", "surrogatepass"), unseen[example]
             flat, sizes = self.vocabulary.encode([chars[a:b] for a, b in zip(at[example].tolist(), at[example + 1].tolist(), strict=True)])
             heads = np.cumsum(sizes) - sizes
@@ -438,39 +513,42 @@ class Graph:
             self.plain_at[new], self.plain_size[new] = self.n_plain + heads, sizes
             self.plain_log_p[new] = np.add.reduceat(self.vocabulary.weight_of[flat], heads) - self.mass[new]
             self.n_plain += len(flat)
-        sizes = self.plain_size[nodes]
-        own = np.repeat(self.plain_at[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return self.plain_ids[own], sizes, self.plain_log_p[nodes]
+        sizes = self.plain_size[numbers]
+        return self.plain_ids.take(runs(self.plain_at[numbers], sizes)), sizes, self.plain_log_p[numbers]
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each node to its chunk's end: all edges in order, and each path's number of edges."""
         steps, count = [], np.zeros(len(nodes), np.int64)
-        active = np.flatnonzero(nodes >= 0)
-        node, t = nodes[active], 0
+        active, t = np.flatnonzero(nodes >= 0), 0
+        node, key = nodes.take(active), keys.take(active)
         while len(active):
-            u, e = uniform(keys[active] + np.uint64(t)), self.first[node]
-            miss = np.flatnonzero(u >= self.cum[e])
+            u, e = uniform(key + np.uint64(t)), self.first.take(node).astype(np.int64)
+            miss = np.flatnonzero(u >= self.cum.take(e))
+            at, rest = e.take(miss), u.take(miss)
             while len(miss):
-                e[miss] += 1
-                miss = miss[u[miss] >= self.cum[e[miss]]]
-            count[active] += 1
+                at += 1
+                e[miss] = at
+                more = np.flatnonzero(rest >= self.cum.take(at))
+                miss, at, rest = miss.take(more), at.take(more), rest.take(more)
+            t += 1
+            count[active] = t
             steps.append((active, e))
-            node = self.to[e]
-            go = node >= 0
-            active, node, t = active[go], node[go], t + 1
+            node = self.to.take(e)
+            go = np.flatnonzero(node >= 0)
+            active, node, key = active.take(go), node.take(go), key.take(go)
         at = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for t, (who, e) in enumerate(steps):
-            out[at[who] + t] = e
+            out[at.take(who) + t] = e
         return out, count
 
     def range(self, edge: int) -> tuple[int, int]:
         """The edges of the node that `edge` leaves: the first, and the one beyond the last."""
-        owner = self.owner[edge]
-        return int(self.first[owner]), int(self.first[owner + 1])
+        beyond = int(np.searchsorted(self.first[: self.n_nodes + 1], np.int32(edge), side="right"))
+        return int(self.first[beyond - 1]), int(self.first[beyond])
 
     def ids(self, path: np.ndarray) -> np.ndarray:
-        ids = self.id[path]
+        ids = self.id.take(path)
         if not len(ids) or ids.min() >= 0:
             return ids
         out: list[int] = []
@@ -544,15 +622,15 @@ def _open_rest(view: Graph, s: Search, entry: tuple, salt: int, k: int) -> tuple
 
 
 def chunks(graph: Graph, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What `cut` gives for the texts, and the first node of each chunk; it holds until the graph is asked again."""
+    """What `cut` gives for the texts, and the number of each chunk; it holds until the graph is asked again."""
     codes, at, count = graph.vocabulary.cut([marked(t) for t in texts])
-    return codes, at, count, graph.starts(codes, at)
+    return codes, at, count, graph.numbers(codes, at)
 
 
 def encode(graph: Graph, known: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, float, None, None]]:
     """SentencePiece's own encoding of each text of `chunks`: its ids and their log-probability."""
-    codes, at, count, nodes = known
-    ids, sizes, log_p = graph.plain(nodes, codes, at)
+    codes, at, count, numbers = known
+    ids, sizes, log_p = graph.plain(numbers, codes, at)
     chunk_at = np.concatenate(([0], np.cumsum(count)))
     id_at, sums = np.concatenate(([0], np.cumsum(sizes)))[chunk_at].tolist(), chunk_at.tolist()
     return [(ids[id_at[i] : id_at[i + 1]], float(log_p[sums[i] : sums[i + 1]].sum()), None, None) for i in range(len(count))]
@@ -560,14 +638,14 @@ def encode(graph: Graph, known: tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def search(graph: Graph, texts: list[str], keys: np.ndarray, k: int, known: tuple | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to `k` (ids, log-probability, perturbed value, inclusion score), in order of value; `known` is what `chunks` gives."""
-    _, _, count, nodes = known or chunks(graph, texts)
-    starts = np.split(nodes, np.cumsum(count)[:-1]) if texts else []
+    _, _, count, numbers = known or chunks(graph, texts)
+    starts = np.split(graph.head[numbers], np.cumsum(count)[:-1]) if texts else []
     view = graph
     searches = [Search(s, int(key)) for s, key in zip(starts, keys, strict=True)]
     first_value = -np.log(-np.log(uniform(mix(keys) ^ np.uint64(7)))) if len(keys) else np.empty(0)
     active = searches
     for sample in range(k):
-        begin, seeds, where = [], [], []
+        begin, skips, where = [], [], []
         word_keys = mix(np.array([s.key for s in active], np.uint64) + np.uint64(sample + 11))
         draws = uniform(mix(word_keys ^ np.uint64(3))).tolist()
         for i, s in enumerate(active):
@@ -590,11 +668,13 @@ def search(graph: Graph, texts: list[str], keys: np.ndarray, k: int, known: tupl
                 where.append((word, chosen, left_out))
                 own, skip = np.concatenate((view.to[chosen : chosen + 1], s.nodes[word + 1 :])), word
             begin.append(own)
-            seeds.append(word_keys[i] + (np.arange(skip, skip + len(own), dtype=np.uint64) << np.uint64(20)))
-        sizes = [len(b) for b in begin]
-        edges, count = view.walk(np.concatenate(begin) if begin else np.empty(0, np.int64), np.concatenate(seeds) if seeds else np.empty(0, np.uint64))
-        word_at = np.cumsum([0, *sizes])
-        edge_at = np.concatenate(([0], np.cumsum(count)))[word_at].tolist()
+            skips.append(skip)
+        sizes = np.fromiter(map(len, begin), np.int64, len(begin))
+        word = runs(np.array(skips, np.int64), sizes).view(np.uint64)
+        edges, count = view.walk(np.concatenate(begin) if begin else np.empty(0, np.int64), np.repeat(word_keys, sizes) + (word << np.uint64(20)))
+        log_p = view.log_p.take(edges)
+        word_at = np.concatenate(([0], np.cumsum(sizes)))
+        edge_at, word_at = np.concatenate(([0], np.cumsum(count)))[word_at].tolist(), word_at.tolist()
         fresh, base, bound, from_edge = [], [], [], []
         for i, s in enumerate(active):
             new, own_count = edges[edge_at[i] : edge_at[i + 1]], count[word_at[i] : word_at[i + 1]]
@@ -617,7 +697,7 @@ def search(graph: Graph, texts: list[str], keys: np.ndarray, k: int, known: tupl
                 s.paths.append(np.concatenate((old[:edge], [chosen], new)))
                 s.ends.append(np.concatenate((old_ends[:word], edge + 1 + np.cumsum(own_count))))
                 start, before = edge + 1, before + float(view.log_p[chosen])
-            s.log_p.append(before + float(view.log_p[new].sum()))
+            s.log_p.append(before + float(log_p[edge_at[i] : edge_at[i + 1]].sum()))
             s.value.append(value)
             fresh.append(new)
             base.append(before)
@@ -702,7 +782,7 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, dige
 @cache
 def piece_bytes(model: str) -> tuple[pa.Array, np.ndarray]:
     """What each id stands for, and after those what it stands for at a text's start; whether that is anything."""
-    inside = Vocabulary(model).bytes_of
+    inside = worker_graph(model).vocabulary.bytes_of
     pieces = pa.array([*inside, *(b.removeprefix(b" ") for b in inside)], pa.binary())
     return pieces, np.array([b != b"" for b in inside])
 
