@@ -337,7 +337,7 @@ class Graph:
         graph starts anew with other hashes.
         """
         if self.n_nodes > KEPT_NODES or self.n_chunks > ENCODED:
-            self._forget()
+            self.forget(KEPT_NODES // 2)
         sizes = np.diff(at)
         while len(sizes):
             within = np.arange(len(codes)) - np.repeat(at[:-1], sizes)
@@ -374,11 +374,11 @@ class Graph:
         self.place.put(hashes, found)
         return found
 
-    def _forget(self) -> None:
-        """Keep the chunks used most, up to half of `ENCODED` with half of `KEPT_NODES` characters; earlier uses count half from now on."""
+    def forget(self, most: int) -> None:
+        """Keep the chunks used most, up to half of `ENCODED` with `most` characters together; earlier uses count half from now on."""
         stay = np.argsort(-self.uses[: self.n_chunks], kind="stable")
         stay = stay[self.size_of[stay] <= LONG][: ENCODED // 2]
-        stay = np.sort(stay[np.cumsum(self.size_of[stay]) <= KEPT_NODES // 2])
+        stay = np.sort(stay[np.cumsum(self.size_of[stay]) <= most])
         keep, node = np.zeros(self.n_nodes, bool), self.head[stay]
         while len(node):  # a node's last edge takes one character
             keep[node] = True
@@ -404,12 +404,12 @@ class Graph:
         self.place.put(self.hash_of[chunk], np.arange(self.n_chunks, dtype=np.int32))
 
     def _keep(self, names: Iterable[str], where: np.ndarray) -> None:
-        """Of the arrays named, what lies at the (ascending) places, moved to the front; arrays far too long are cut."""
+        """Of the arrays named, what lies at the (ascending) places, moved to the front; the memory of arrays far too long is given back."""
         for name in names:
             held = getattr(self, name)
             stays = held.take(where)
             if len(held) > 8 * len(where):
-                setattr(self, name, held := np.empty(max(1 << 14, 2 * len(where)), held.dtype))
+                setattr(self, name, held := np.empty_like(held))
             held[: len(where)] = stays
 
     def _fallback(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -764,6 +764,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], model: str, k: int, seed: int, n
             if own:
                 cols.append(pa.array([t.replace(MARK, " ") for t in texts], pa.string()).take(owner))
             yield pa.RecordBatch.from_arrays(cols, names=names)
+    graph.forget(KEPT_NODES // 16)  # what runs next in this worker may be no sampling
 
 
 def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, digest: bool = False) -> DataFrame:
